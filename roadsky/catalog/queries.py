@@ -543,6 +543,7 @@ def _flat(models: DataFrame, *extra) -> DataFrame:
 def main_sweep(spark: SparkSession, sf_dir: str):
     """Nine predictors, five log targets, at most three predictors: 645 models."""
     df = clean.clean_exact(incidents(spark, sf_dir))
+    df = clean.model_frame(df, WEATHER_PREDICTORS, TRAFFIC_TARGETS)
     sweep = ols.prepare(df, WEATHER_PREDICTORS, TRAFFIC_TARGETS, log_label=True)
     return sweep, plan_models(spark, TRAFFIC_TARGETS, WEATHER_PREDICTORS, 3)
 
@@ -577,14 +578,19 @@ def main_sweep_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def reversed_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     predictors, targets = list(reversed(WEATHER_PREDICTORS[:6])), list(reversed(TRAFFIC_TARGETS))
-    df = clean.clean_exact(incidents(spark, sf_dir))
+    df = clean.model_frame(clean.clean_exact(incidents(spark, sf_dir)), predictors, targets)
     sweep = ols.prepare(df, predictors, targets, log_label=True)
     return _flat(ols.run_sweep(sweep, plan_models(spark, targets, predictors, 2)), "formula")
 
 
+# with predictors of mean zero the intercept is the label's mean
+_SCALED_INTERCEPT = "CAST(abs(my) > t975 * sqrt(s2 / n) AS INT)"
+
+
 @query(
     "standardised_sweep",
-    f"{S.STANDARD_SWEEP} SELECT {_OLS_SQL}, {S.formula('plain')} AS formula, round(my, 5) AS intercept, "
+    f"{S.STANDARD_SWEEP} SELECT {_OLS_SQL.replace('sig_intercept', _SCALED_INTERCEPT)}, "
+    f"{S.formula('plain')} AS formula, round(my, 5) AS intercept, "
     f"round(b1 * sqrt(s11 * n / (n - 1)), 5) AS first_beta FROM ols",
 )
 def standardised_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -825,7 +831,7 @@ def experiment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The short sweep checked against the long plan: its models, and the ones it lacks."""
     predictors = list(reversed(WEATHER_PREDICTORS[:6]))
-    df = clean.clean_exact(incidents(spark, sf_dir))
+    df = clean.model_frame(clean.clean_exact(incidents(spark, sf_dir)), predictors, TRAFFIC_TARGETS)
     sweep = ols.prepare(df, predictors, TRAFFIC_TARGETS, log_label=True)
     models = ols.run_sweep(sweep, plan_models(spark, TRAFFIC_TARGETS, predictors, 2))
     return check_models(models, plan_models(spark, TRAFFIC_TARGETS, WEATHER_PREDICTORS, 3))

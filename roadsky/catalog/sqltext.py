@@ -81,7 +81,7 @@ rated AS (
   FROM incidents JOIN ratings ON "Weather_Conditions" IS NOT DISTINCT FROM condition
 )"""
 
-CLEAN = f"clean AS (SELECT * FROM rated WHERE {VALID})"
+CLEAN = f"clean AS MATERIALIZED (SELECT * FROM rated WHERE {VALID})"
 
 BASE = f"WITH {INCIDENTS_SQL}, {words_cte()}, {RATINGS_CTE}, {RATED}"
 BASE_CLEAN = f"{BASE}, {CLEAN}"

@@ -6,13 +6,15 @@ import math
 
 import numpy as np
 
-_erfc = np.vectorize(math.erfc, otypes=[float])
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _each(function, values) -> np.ndarray:
+    values = np.asarray(values, float)
+    return np.array([function(v) for v in values.ravel()]).reshape(values.shape)
 
 
 def normal_two_sided(z) -> np.ndarray:
     """P(|Z| > |z|) for the normal law."""
-    return _erfc(np.abs(np.asarray(z, float)) / math.sqrt(2.0))
+    return _each(math.erfc, np.abs(np.asarray(z, float)) / math.sqrt(2.0))
 
 
 def chi2_tail(x: float, df: int) -> float:
@@ -56,14 +58,28 @@ def _beta_fraction(a, b, x, rounds: int = 500) -> np.ndarray:
 
 
 def _beta_regularised(a, b, x) -> np.ndarray:
-    with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(
-            _lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(x) + b * np.log1p(-x)
-        )
-        direct = front * _beta_fraction(a, b, x) / a
-        mirrored = 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
-    value = np.where(x < (a + 1.0) / (a + b + 2.0), direct, mirrored)
-    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, value))
+    """Regularised incomplete beta function for 0 < x < 1."""
+    # the fraction converges fast on one side of the mean; mirror the other
+    mirror = x >= (a + 1.0) / (a + b + 2.0)
+    p, q, y = np.where(mirror, b, a), np.where(mirror, a, b), np.where(mirror, 1.0 - x, x)
+    logs = _each(math.lgamma, p + q) - _each(math.lgamma, p) - _each(math.lgamma, q)
+    value = np.exp(logs + p * np.log(y) + q * np.log1p(-y)) * _beta_fraction(p, q, y) / p
+    return np.where(mirror, 1.0 - value, value)
+
+
+def _t_exact(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    x = df / (df + t * t)
+    inside = (x > 0) & (x < 1)
+    value = _beta_regularised(df / 2, np.full_like(t, 0.5), np.where(inside, x, 0.5))
+    return np.where(inside, value, x)
+
+
+def _t_expanded(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    a = df - 0.5
+    b = 48.0 * a * a
+    y = a * np.log1p(t * t / df)
+    z = ((((-0.4 * y - 3.3) * y - 24.0) * y - 85.5) / (0.8 * y * y + 100.0 + b) + y + 3.0) / b
+    return normal_two_sided((z + 1.0) * np.sqrt(y))
 
 
 def t_two_sided(t, df) -> np.ndarray:
@@ -73,17 +89,11 @@ def t_two_sided(t, df) -> np.ndarray:
     expansion (1970) beyond, where its error is below double precision.
     """
     t, df = np.broadcast_arrays(np.asarray(t, float), np.asarray(df, float))
-    known = np.isfinite(t) & (df > 0)
-    ts, dfs = np.where(known, t, 1.0), np.where(known, df, 1.0)
-    few = dfs < 200
-    small_df = np.where(few, dfs, 1.0)
-    exact = _beta_regularised(small_df / 2, np.full_like(ts, 0.5), small_df / (small_df + ts**2))
-    large_df = np.where(few, 200.0, dfs)
-    a = large_df - 0.5
-    b = 48.0 * a * a
-    y = a * np.log1p(ts**2 / large_df)
-    z = ((((-0.4 * y - 3.3) * y - 24.0) * y - 85.5) / (0.8 * y * y + 100.0 + b) + y + 3.0) / b
-    expanded = normal_two_sided((z + 1.0) * np.sqrt(y))
-    result = np.where(few, exact, expanded)
-    result = np.where(np.isinf(t) & (df > 0), 0.0, result)
-    return np.where(known | (np.isinf(t) & (df > 0)), result, np.nan)
+    result = np.full(t.shape, np.nan)
+    known = ~np.isnan(t) & (df > 0)
+    for chosen, law in ((df < 200, _t_exact), (df >= 200, _t_expanded)):
+        chosen = known & chosen & np.isfinite(t)
+        if chosen.any():
+            result[chosen] = law(t[chosen], df[chosen])
+    result[known & np.isinf(t)] = 0.0
+    return result

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,10 +34,23 @@ def ensure_columns(df: DataFrame, names: Sequence[str], default: int = 0) -> Dat
     return df.withColumns(absent) if absent else df
 
 
+def computed_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add or replace columns that are costly and that later filters test.
+
+    Catalyst moves a filter below a projection by copying the projected
+    expression into it, so a parsed time would be parsed again for every
+    filter. It does not copy an expression out of a generator: ``inline`` over
+    one struct yields the same row with each column computed once.
+    """
+    cells = F.struct(*[column.alias(name) for name, column in columns.items()])
+    kept = [F.col(name) for name in df.columns if name not in columns]
+    return df.select(*kept, F.inline(F.array(cells)))
+
+
 def with_times(df: DataFrame, *names: str, parser=times.parse_offset_time) -> DataFrame:
     """Parse the text ones of these columns; time columns stay as they are."""
     texts = [name for name in names if isinstance(df.schema[name].dataType, T.StringType)]
-    return df.withColumns({name: parser(F.col(name)) for name in texts}) if texts else df
+    return computed_once(df, {name: parser(F.col(name)) for name in texts}) if texts else df
 
 
 def with_duration(
@@ -151,4 +164,5 @@ def model_frame(df: DataFrame, predictors: Sequence[str], targets: Sequence[str]
     """The complete rows of the model columns, all as double."""
     names = list(dict.fromkeys([*predictors, *targets]))
     require_columns(df, names)
-    return complete_rows(to_doubles(df.select(*names), names))
+    numbers = {name: F.col(name).try_cast("double") for name in names}
+    return complete_rows(computed_once(df.select(*names), numbers))

@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A column whose mean lies further than this many standard deviations from the
-# shift would lose digits; the pass is then repeated about the true mean.
-_FAR = 100.0
+# shift loses more than six of sixteen digits; the pass is then repeated about
+# the true mean.
+_FAR = 1000.0
 # Tables a task holds before it hands them on.
 _HELD_TABLES = 512
 # Tables kept per mask may take this many bytes at most; see `mask_bytes`.
