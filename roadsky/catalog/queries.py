@@ -25,6 +25,7 @@ from roadsky.schemas import (
 from roadsky.session import scratch_path
 from roadsky.sources import tables
 from roadsky.sources.modellog import resume_sweep
+from roadsky.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,7 +66,7 @@ SELECT *, round(100.0::DOUBLE * total_incidents / (SELECT sum(total_incidents) F
   AS percentage_of_total FROM grouped""",
 )
 def impact_by_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return impact.impact_by_rating(impact.with_impact_columns(incidents(spark, sf_dir)))
+    return impact.impact_by_rating(incidents(spark, sf_dir))
 
 
 @query(
@@ -75,7 +76,7 @@ def impact_by_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM rated GROUP BY weather_rating""",
 )
 def crosstab_rating_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return impact.crosstab_share(impact.with_impact_columns(incidents(spark, sf_dir)))
+    return impact.crosstab_share(impact.incidents_by_text(incidents(spark, sf_dir)), count="rows")
 
 
 _PEARSON = [
@@ -161,7 +162,7 @@ def parsed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "exact_minutes",
-    """SELECT event_id AS "ID", round(epoch_us(ts - TIMESTAMP '2024-01-01 00:00:00') / 6e7, 6) AS minutes,
+    """SELECT event_id AS "ID", round(epoch_us(ts - TIMESTAMP '2024-01-01 00:00:00') / 6e7, 9) AS minutes,
   round(CAST(date_diff('second', TIMESTAMP '2024-01-01 00:00:00', date_trunc('second', ts)) AS DOUBLE) / 60, 6)
     AS whole_minutes FROM events""",
 )
@@ -172,7 +173,7 @@ def exact_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
         times.minutes_between_exact(start, F.col("StartTime").cast("timestamp")).alias("minutes"),
         times.minutes_between(start, F.col("StartTime").cast("timestamp")).alias("whole_minutes"),
     )
-    return rounded(df, "minutes", "whole_minutes")
+    return rounded(rounded(df, "minutes", digits=9), "whole_minutes")
 
 
 @query(
@@ -422,7 +423,7 @@ FROM ranked WHERE place <= 20"""
 
 @query("top_values_lineitem", _top_sql("lineitem", _LINEITEM, ("l_discount", "l_tax")))
 def top_values_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "lineitem")
+    df = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
     df = df.withColumns({name: F.col(name) + F.lit(0.0) for name in ("l_discount", "l_tax")})
     return rounded(profile.top_values(df, _LINEITEM), "Percentage").withColumnRenamed("rank", "place")
 
@@ -495,8 +496,8 @@ _FILL_SQL = {
 }
 
 
-def _register_fill(method: str, spread: bool) -> None:
-    name = f"fill_{method}" + ("_ranges" if spread else "")
+def _register_fill(method: str, ranges: bool) -> None:
+    name = f"fill_{method}" + ("_ranges" if ranges else "")
     sql = (
         f'{S.BASE_READINGS} SELECT "ID", "State", "StartTime", {_FILL_SQL[method]} AS "Weather_Conditions" '
         "FROM readings"
@@ -505,15 +506,16 @@ def _register_fill(method: str, spread: bool) -> None:
     @query(name, sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = readings(spark, sf_dir).drop("value")
-        limit = {"max_group_rows": 40} if spread else {}
+        # a limit of no rows sends every group through the spread path
+        limit = {"max_group_rows": 0} if ranges else {}
         return fill.fill_missing(
             rows, ["Weather_Conditions"], ["State"], "StartTime", ["ID"], method, **limit
         ).select("ID", "State", "StartTime", "Weather_Conditions")
 
 
 for _method in fill.METHODS:
-    _register_fill(_method, spread=False)
-_register_fill("forward_then_backward", spread=True)
+    _register_fill(_method, ranges=False)
+_register_fill("forward_then_backward", ranges=True)
 
 
 # ---- regression sweeps -----------------------------------------------------

@@ -32,12 +32,14 @@ def fill_missing(
     tie: Sequence[str],
     method: str = "forward",
     max_group_rows: int = 2_000_000,
+    range_rows: int = 1_000_000,
 ) -> DataFrame:
     """Fill ``values`` within ``group`` along ``time``.
 
     One cheap aggregation finds the largest group. Up to ``max_group_rows`` a
     window per group does it in one shuffle. Beyond that a group would be too
-    much for one task, and :func:`fill_by_ranges` spreads it over many.
+    much for one task, and :func:`fill_by_ranges` spreads it over ranges of
+    about ``range_rows`` rows.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
@@ -45,7 +47,7 @@ def fill_missing(
     largest, rows = sizes[0] or 0, sizes[1] or 0
     if largest <= max_group_rows:
         return fill_by_group(df, values, group, time, tie, method)
-    ranges = math.ceil(rows / max(1, max_group_rows // 2))
+    ranges = max(math.ceil(rows / range_rows), df.sparkSession.sparkContext.defaultParallelism)
     return fill_by_ranges(df, values, group, time, tie, method, ranges)
 
 

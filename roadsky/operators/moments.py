@@ -38,7 +38,7 @@ def read_block(batch: pa.RecordBatch) -> np.ndarray:
     return block
 
 
-def read_blocks(batches: Iterable[pa.RecordBatch], rows: int = 65536) -> Iterator[np.ndarray]:
+def read_blocks(batches: Iterable[pa.RecordBatch], rows: int = 16384) -> Iterator[np.ndarray]:
     """Blocks of about ``rows`` rows, to spread the cost of each numpy call."""
     held: list[np.ndarray] = []
     count = 0

@@ -56,8 +56,9 @@ def compare(spark, connection, name: str, sf_dir: str) -> str:
     mine, theirs = as_sorted(rows, df.columns), as_sorted(expected, columns)
     if mine == theirs:
         return ""
-    only_mine = [row for row in mine if row not in set(theirs)][:3]
-    only_theirs = [row for row in theirs if row not in set(mine)][:3]
+    mine_set, theirs_set = set(mine), set(theirs)
+    only_mine = [row for row in mine if row not in theirs_set][:3]
+    only_theirs = [row for row in theirs if row not in mine_set][:3]
     return f"{len(mine)} rows against {len(theirs)}; only Spark {only_mine}; only SQL {only_theirs}"
 
 
