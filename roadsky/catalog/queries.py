@@ -462,7 +462,8 @@ def sample_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     "sample_lineitem_pairs",
     """WITH pairs AS (SELECT l_returnflag, l_linestatus, l_linenumber, l_quantity FROM lineitem)
 SELECT l_returnflag, l_linestatus, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (
-  ORDER BY md5(concat_ws('|', l_returnflag, l_linestatus, '3')), l_returnflag, l_linestatus, l_linenumber, l_quantity)
+  ORDER BY md5(concat_ws('|', l_returnflag, l_linestatus, '3')),
+    md5(concat_ws('|', l_returnflag, l_linestatus, l_linenumber, l_quantity, '3')))
   AS place, count(*) OVER () AS n FROM pairs) WHERE place <= floor(n * 0.3::DOUBLE)""",
 )
 def sample_lineitem_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -470,7 +471,7 @@ def sample_lineitem_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "lineitem").select(
         "l_returnflag", "l_linestatus", "l_linenumber", "l_quantity"
     )
-    return sample.sample_exact(pairs, 0.3, ["l_returnflag", "l_linestatus"], seed=3)
+    return sample.sample_exact(pairs, 0.3, ["l_returnflag", "l_linestatus"], seed=3, edge_rows=1000)
 
 
 @query(

@@ -99,7 +99,7 @@ def crosstab_share(
 
     ``count`` names a column of row counts where the frame is already folded.
     """
-    measure = F.sum(count) if count else F.count("*")
+    measure = F.sum(count) if count else F.count(F.lit(1))
     counts = df.groupBy(rows).pivot(columns, list(levels)).agg(measure).na.fill(0, list(levels))
     total = sum((F.col(level) for level in levels), F.lit(0))
     return counts.select(

@@ -27,7 +27,7 @@ _FAR = 1000.0
 # Tables a task holds before it hands them on.
 _HELD_TABLES = 512
 # Tables kept per mask may take this many bytes at most; see `mask_bytes`.
-MASK_BUDGET = 256 * 1024 * 1024
+MASK_BUDGET = 128 * 1024 * 1024
 
 
 def read_block(batch: pa.RecordBatch) -> np.ndarray:

@@ -249,7 +249,8 @@ def solve_plan(sweep: Sweep, plan: DataFrame, moments=None) -> DataFrame:
             rows = []
             for model in frame.itertuples(index=False):
                 fit = fit_model(moments, layout, model.model_id, model.target, list(model.predictors))
-                row = _row(fit, layout.standardised)
+                # arrays of unfitted models must be None, not a missing key
+                row = dict.fromkeys(_SOLVED.names) | _row(fit, layout.standardised)
                 row |= {
                     "model_id": model.model_id,
                     "target": model.target,

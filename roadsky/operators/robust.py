@@ -111,13 +111,8 @@ def _second_pass(sweep: ols.Sweep, bundles: list[dict]) -> DataFrame:
                     }
                 )
 
-    # Each task hands on a few numbers per model, so few and long tasks keep
-    # the exchange small; coalesce joins input splits without a shuffle.
-    tasks = 4 * sweep.frame.sparkSession.sparkContext.defaultParallelism
-    parts = (
-        sweep.frame.select(*sweep.columns)
-        .coalesce(tasks)
-        .mapInArrow(partial, "model_id long, position int, v double")
+    parts = sweep.frame.select(*sweep.columns).mapInArrow(
+        partial, "model_id long, position int, v double"
     )
     summed = parts.groupBy("model_id", "position").agg(F.sum("v").alias("v"))
     return summed.groupBy("model_id").agg(

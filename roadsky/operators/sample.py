@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 _PREFIX = 5  # hex digits: 16**5 buckets, about a million
+# An edge of at most this many rows may be sorted by one task.
+EDGE_ROWS = 1_000_000
 
 
 def row_hash(keys: Sequence[str], seed: int = 0) -> Column:
@@ -16,51 +19,71 @@ def row_hash(keys: Sequence[str], seed: int = 0) -> Column:
     return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
 
 
-def sample_exact(
-    df: DataFrame, fraction: float, keys: Sequence[str] | None = None, seed: int = 0
-) -> DataFrame:
-    """Exactly ``int(rows * fraction)`` rows: those with the smallest hash.
+def _edge(rows: DataFrame, level: Column, wanted: Column) -> Row | None:
+    """Where, in the order of ``level``, the first ``wanted`` rows end.
 
-    The sample grows with the data, so there is no sort and no top-k. A count
-    per hash prefix (at most a million rows, whatever the data) shows in which
-    prefix the sample ends. Rows below it pass a plain filter. Inside that one
-    prefix, equal rows are first folded to a count, so many copies of one row
-    do not meet in one task; the last ones are cut off by running count.
+    ``wanted`` may use ``total``, the number of all rows. Rows are counted per
+    level value, and only the counts are put in order.
     """
-    keys = list(keys or df.columns)
-    hashed = df.withColumn("_hash", row_hash(keys, seed))
-    prefix = F.substring("_hash", 1, _PREFIX)
-
-    counts = hashed.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("rows"))
-    running = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
+    counts = rows.groupBy(level.alias("level")).agg(F.count("*").alias("rows"))
+    running = Window.orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edge = (
+    return (
         counts.withColumn("upto", F.sum("rows").over(running))
-        .withColumn("wanted", F.floor(F.sum("rows").over(whole) * F.lit(fraction)))
+        .withColumn("total", F.sum("rows").over(whole))
+        .withColumn("wanted", F.floor(wanted))
         .filter(F.col("upto") >= F.col("wanted"))
-        .orderBy("prefix")
-        .select("prefix", (F.col("wanted") - F.col("upto") + F.col("rows")).alias("left"))
+        .orderBy("level")
+        .select("level", "rows", (F.col("wanted") - F.col("upto") + F.col("rows")).alias("left"))
         .first()
     )
-    if edge is None:
-        return df.limit(0)
 
-    below = hashed.filter(prefix < edge["prefix"]).drop("_hash")
-    names = [f"`{name}`" for name in df.columns]
-    order = Window.orderBy("_hash", *names).rowsBetween(Window.unboundedPreceding, 0)
+
+def sample_exact(
+    df: DataFrame,
+    fraction: float,
+    keys: Sequence[str] | None = None,
+    seed: int = 0,
+    edge_rows: int = EDGE_ROWS,
+) -> DataFrame:
+    """Exactly ``int(rows * fraction)`` rows: those with the smallest key hash.
+
+    Rows with equal keys follow in the order of the hash of the whole row. The
+    sample grows with the data, so there is no sort and no top-k. A count per
+    hash prefix (at most a million rows, whatever the data) shows in which
+    prefix the sample ends; rows below it pass a plain filter. If that prefix
+    still holds many rows, because a key is a large group, it is narrowed to
+    one key and then to one prefix of the row hash. At the last edge equal rows
+    are folded to a count, and the last ones are cut off by running count.
+    """
+    keys = list(keys or df.columns)
+    edge_of = df.withColumn("_hash", row_hash(keys, seed)).withColumn("_row", row_hash(df.columns, seed))
+    levels = [F.substring("_hash", 1, _PREFIX), F.col("_hash"), F.substring("_row", 1, _PREFIX)]
+    wanted = F.col("total") * F.lit(fraction)
+    parts = []
+    for level in levels:
+        edge = _edge(edge_of, level, wanted)
+        if edge is None:
+            return df.limit(0)
+        parts.append(edge_of.filter(level < edge["level"]).select(*df.columns))
+        edge_of = edge_of.filter(level == edge["level"])
+        left = edge["left"]
+        wanted = F.lit(left)
+        if edge["rows"] <= edge_rows:
+            break
+
+    names = df.columns
+    order = Window.orderBy("_hash", "_row", *names).rowsBetween(Window.unboundedPreceding, 0)
     at_edge = (
-        hashed.filter(prefix == edge["prefix"])
-        .groupBy("_hash", *names)
+        edge_of.groupBy("_hash", "_row", *names)
         .agg(F.count("*").alias("_copies"))
         .withColumn("_upto", F.sum("_copies").over(order))
-        .withColumn(
-            "_take", F.least("_copies", F.lit(edge["left"]) - F.col("_upto") + F.col("_copies"))
-        )
+        .withColumn("_take", F.least("_copies", F.lit(left) - F.col("_upto") + F.col("_copies")))
         .filter(F.col("_take") > 0)
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_take"))))
         .select(*names)
     )
-    return below.unionByName(at_edge)
+    return reduce(DataFrame.unionByName, [*parts, at_edge])
 
 
 def sample_approximate(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:

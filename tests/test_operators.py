@@ -165,6 +165,15 @@ def test_sample_splits_a_group_of_copies(spark):
     assert sample.sample_exact(df.limit(0), 0.5).count() == 0
 
 
+def test_sample_narrows_a_hot_key(spark):
+    """One key on most rows, each row different: the edge is narrowed level by level."""
+    df = spark.range(4000).select((F.col("id") % 10 == 0).cast("int").alias("k"), "id", F.lit(None).alias("z"))
+    wide = sample.sample_exact(df, 0.4, ["k"], seed=1)
+    deep = sample.sample_exact(df.repartition(6), 0.4, ["k"], seed=1, edge_rows=5)
+    kept = sorted(row.id for row in wide.collect())
+    assert len(set(kept)) == 1600 and kept == sorted(row.id for row in deep.collect())
+
+
 def test_splits(spark):
     df = spark.range(4000)
     split = sample.with_split(df, ["id"], 0.7)
