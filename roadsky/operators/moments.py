@@ -30,27 +30,16 @@ _HELD_TABLES = 512
 MASK_BUDGET = 128 * 1024 * 1024
 
 
-def read_block(batch: pa.RecordBatch) -> np.ndarray:
-    """Arrow batch of double columns to a rows x columns block, missing as NaN."""
-    block = np.empty((batch.num_rows, batch.num_columns))
-    for j in range(batch.num_columns):
-        block[:, j] = batch.column(j).to_numpy(zero_copy_only=False)
-    return block
-
-
-def read_blocks(batches: Iterable[pa.RecordBatch], rows: int = 16384) -> Iterator[np.ndarray]:
-    """Blocks of about ``rows`` rows, to spread the cost of each numpy call."""
-    held: list[np.ndarray] = []
-    count = 0
+def read_blocks(batches: Iterable[pa.RecordBatch], rows: int = 8192) -> Iterator[np.ndarray]:
+    """Arrow batches as blocks of columns x rows, missing values as NaN.
+
+    Columns are contiguous, so picking some of them is a plain copy, and a
+    block of about ``rows`` rows stays in the processor's cache.
+    """
     for batch in batches:
-        if batch.num_rows:
-            held.append(read_block(batch))
-            count += batch.num_rows
-        if count >= rows:
-            yield np.concatenate(held)
-            held, count = [], 0
-    if held:
-        yield np.concatenate(held)
+        columns = [batch.column(j).to_numpy(zero_copy_only=False) for j in range(batch.num_columns)]
+        for start in range(0, batch.num_rows, rows):
+            yield np.array([column[start : start + rows] for column in columns], float)
 
 
 def extend(block: np.ndarray, pairs: Sequence[tuple[int, int]]) -> np.ndarray:
@@ -58,18 +47,20 @@ def extend(block: np.ndarray, pairs: Sequence[tuple[int, int]]) -> np.ndarray:
     if not pairs:
         return block
     left, right = (list(side) for side in zip(*pairs))
-    return np.hstack([block, block[:, left] * block[:, right]])
+    return np.vstack([block, block[left] * block[right]])
 
 
 def masks_of(block: np.ndarray) -> np.ndarray:
     """Per row, the bit mask of missing columns."""
-    bits = np.left_shift(np.int64(1), np.arange(block.shape[1], dtype=np.int64))
-    return np.isnan(block) @ bits
+    bits = np.left_shift(np.int64(1), np.arange(len(block), dtype=np.int64))
+    return bits @ np.isnan(block)
 
 
 def _cross_products(block: np.ndarray, shift: np.ndarray) -> np.ndarray:
-    z = np.hstack([np.ones((len(block), 1)), np.nan_to_num(block - shift, nan=0.0)])
-    return z.T @ z
+    z = np.ones((len(block) + 1, block.shape[1]))
+    np.subtract(block, shift[:, None], out=z[1:])
+    np.nan_to_num(z, copy=False, nan=0.0)
+    return z @ z.T
 
 
 def _upper(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +149,7 @@ def collect_model_moments(
             for block in read_blocks(batches):
                 rows_lack, basis = masks_of(block), extend(block, pairs)
                 for key, chosen in todo.items():
-                    rows = basis[(rows_lack & masks[key]) == 0][:, chosen]
+                    rows = basis[chosen][:, (rows_lack & masks[key]) == 0]
                     part = _cross_products(rows, todo_shifts[key])
                     sums[key] = sums[key] + part if key in sums else part
             for key, table in sums.items():
@@ -194,7 +185,7 @@ def _collect(frame: DataFrame, columns: list[str], pairs: list, shift: np.ndarra
             if not masks.any():
                 groups = [(0, basis)]
             else:
-                groups = [(int(mask), basis[masks == mask]) for mask in np.unique(masks)]
+                groups = [(int(mask), basis[:, masks == mask]) for mask in np.unique(masks)]
             for mask, rows in groups:
                 part = _cross_products(rows, shift)
                 sums[mask] = sums[mask] + part if mask in sums else part

@@ -37,8 +37,11 @@ _TESTED = T.StructType(
 )
 
 
-def _bundles(fits: dict[int, ols.Fit], layout: ols.Layout, plan: list) -> list[dict]:
-    """Models grouped by equal terms and equal leverage."""
+def _bundles(fits: dict[int, ols.Fit], layout: ols.Layout, plan: list, source: list[int]) -> list[dict]:
+    """Models grouped by equal terms and equal leverage.
+
+    ``source`` is the mask of source columns behind each basis column.
+    """
     grouped = defaultdict(list)
     for row in plan:
         fit = fits[row.model_id]
@@ -48,11 +51,17 @@ def _bundles(fits: dict[int, ols.Fit], layout: ols.Layout, plan: list) -> list[d
     bundles = []
     for (terms, n, _), members in grouped.items():
         first = members[0][2]
+        labels = [layout.label(target) for _, target, _ in members]
         slopes = np.column_stack([fit.beta[1:] for _, _, fit in members])
         bundles.append(
             {
                 "terms": list(terms),
-                "labels": [layout.label(target) for _, target, _ in members],
+                # with one label its gaps are part of the mask, else zeroed later
+                "needed": np.bitwise_or.reduce(
+                    [source[i] for i in [*terms, *([labels[0]] if len(labels) == 1 else [])]]
+                ),
+                "gaps": len(labels) > 1,
+                "labels": labels,
                 "ids": [model_id for model_id, _, _ in members],
                 "n": n,
                 "mean": first.mean,
@@ -65,26 +74,31 @@ def _bundles(fits: dict[int, ols.Fit], layout: ols.Layout, plan: list) -> list[d
     return bundles
 
 
-def _bundle_sums(basis: np.ndarray, bundle: dict) -> np.ndarray:
+def _bundle_sums(basis: np.ndarray, masks: np.ndarray, bundle: dict) -> np.ndarray:
     """Sums of one block for one bundle: one column per model."""
-    x = basis[:, bundle["terms"]]
-    y = basis[:, bundle["labels"]]
-    there = ~np.isnan(x).any(axis=1)
-    if not there.all():
-        x, y = x[there], y[there]
-    centred = x - bundle["mean"]
-    lever = centred @ bundle["inverse"]
-    rest = 1.0 - 1.0 / bundle["n"] - np.einsum("ij,ij->i", lever, centred)
-    influence = np.hstack([(1.0 / bundle["n"] - lever @ bundle["mean"])[:, None], lever])
+    x, y = basis[bundle["terms"]], basis[bundle["labels"]]
+    lacking = masks & bundle["needed"]
+    if lacking.any():
+        there = lacking == 0
+        x, y = x[:, there], y[:, there]
+    mean, n = bundle["mean"], bundle["n"]
+    centred = x - mean[:, None]
+    lever = bundle["inverse"] @ centred
+    rest = (1.0 - 1.0 / n) - (lever * centred).sum(axis=0)
+    influence = np.vstack([1.0 / n - mean @ lever, lever])
     if bundle["projector"] is not None:
-        influence = influence @ bundle["projector"]
-    squared = np.nan_to_num((y - bundle["centre"] - centred @ bundle["slopes"]) ** 2, nan=0.0)
+        influence = bundle["projector"] @ influence
+    squared = y - bundle["centre"][:, None] - bundle["slopes"].T @ centred
+    np.square(squared, out=squared)
+    if bundle["gaps"]:
+        np.nan_to_num(squared, copy=False, nan=0.0)
+    np.square(influence, out=influence)
     return np.vstack(
         [
-            squared.sum(axis=0),
-            (squared**2).sum(axis=0),
-            centred.T @ squared,
-            (influence**2).T @ (squared / (rest**2)[:, None]),
+            squared.sum(axis=1),
+            np.einsum("ij,ij->i", squared, squared),
+            centred @ squared.T,
+            influence @ (squared / np.square(rest)).T,
         ]
     )
 
@@ -96,9 +110,9 @@ def _second_pass(sweep: ols.Sweep, bundles: list[dict]) -> DataFrame:
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: list[np.ndarray | None] = [None] * len(bundles)
         for block in M.read_blocks(batches):
-            basis = M.extend(block, pairs)
+            masks, basis = M.masks_of(block), M.extend(block, pairs)
             for i, bundle in enumerate(bundles):
-                part = _bundle_sums(basis, bundle)
+                part = _bundle_sums(basis, masks, bundle)
                 sums[i] = part if sums[i] is None else sums[i] + part
         for bundle, table in zip(bundles, sums):
             if table is not None:
@@ -122,7 +136,8 @@ def _second_pass(sweep: ols.Sweep, bundles: list[dict]) -> DataFrame:
 
 def _tested(sweep: ols.Sweep, fits: dict[int, ols.Fit], layout: ols.Layout, plan: list) -> DataFrame:
     """Test statistic, its p-value and HC3 p-values per model."""
-    bundles = _bundles(fits, layout, plan)
+    source = M.Moments(sweep.columns, sweep.pairs, np.zeros(0)).needed()
+    bundles = _bundles(fits, layout, plan, source)
     inverses = {
         model_id: (bundle["n"], bundle["inverse"], fits[model_id].beta)
         for bundle in bundles

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -57,16 +56,16 @@ def sample_exact(
     are folded to a count, and the last ones are cut off by running count.
     """
     keys = list(keys or df.columns)
-    edge_of = df.withColumn("_hash", row_hash(keys, seed)).withColumn("_row", row_hash(df.columns, seed))
+    hashed = df.withColumn("_hash", row_hash(keys, seed)).withColumn("_row", row_hash(df.columns, seed))
     levels = [F.substring("_hash", 1, _PREFIX), F.col("_hash"), F.substring("_row", 1, _PREFIX)]
     wanted = F.col("total") * F.lit(fraction)
-    parts = []
+    below, at_edge = F.lit(False), F.lit(True)
     for level in levels:
-        edge = _edge(edge_of, level, wanted)
+        edge = _edge(hashed.filter(at_edge), level, wanted)
         if edge is None:
             return df.limit(0)
-        parts.append(edge_of.filter(level < edge["level"]).select(*df.columns))
-        edge_of = edge_of.filter(level == edge["level"])
+        below = below | (at_edge & (level < edge["level"]))
+        at_edge = at_edge & (level == edge["level"])
         left = edge["left"]
         wanted = F.lit(left)
         if edge["rows"] <= edge_rows:
@@ -74,8 +73,9 @@ def sample_exact(
 
     names = df.columns
     order = Window.orderBy("_hash", "_row", *names).rowsBetween(Window.unboundedPreceding, 0)
-    at_edge = (
-        edge_of.groupBy("_hash", "_row", *names)
+    cut = (
+        hashed.filter(at_edge)
+        .groupBy("_hash", "_row", *names)
         .agg(F.count("*").alias("_copies"))
         .withColumn("_upto", F.sum("_copies").over(order))
         .withColumn("_take", F.least("_copies", F.lit(left) - F.col("_upto") + F.col("_copies")))
@@ -83,7 +83,7 @@ def sample_exact(
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_take"))))
         .select(*names)
     )
-    return reduce(DataFrame.unionByName, [*parts, at_edge])
+    return hashed.filter(below).select(*names).unionByName(cut)
 
 
 def sample_approximate(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
