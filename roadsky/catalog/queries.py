@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import combinations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,13 @@ from roadsky.catalog.views import incidents, readings, table
 from roadsky.functions import conditions, speed, text, times
 from roadsky.functions.weather_words import RATING_LEVELS
 from roadsky.operators import clean, fill, impact, ols, profile, ranking, robust, sample
-from roadsky.plans.subsets import check_models, count_experiments, plan_models
+from roadsky.operators.vectors import assemble, standardise
+from roadsky.plans.subsets import (
+    check_models,
+    count_experiments,
+    plan_models,
+    with_valid_predictors,
+)
 from roadsky.schemas import (
     JAM_TARGETS,
     MODEL_LOG_FULL,
@@ -155,7 +162,9 @@ def duration_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parsed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = incidents(spark, sf_dir).withColumn("start_text", F.col("StartTime"))
     df = clean.with_times(df, "StartTime", "EndTime")
-    return df.groupBy("start_text", F.col("StartTime").cast("timestamp_ntz").alias("start_utc")).agg(
+    wall_clock = F.col("StartTime").cast("timestamp_ntz")
+    in_utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), wall_clock)
+    return df.groupBy("start_text", in_utc.alias("start_utc")).agg(
         F.count("*").alias("n"), F.count("EndTime").alias("n_end")
     )
 
@@ -484,6 +493,22 @@ def split_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.groupBy("split").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("key_sum"))
 
 
+@query(
+    "sample_csv",
+    """SELECT o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER
+  (ORDER BY md5(concat_ws('|', o_orderkey, o_orderpriority, '5'))) AS place, count(*) OVER () AS n FROM orders)
+WHERE place <= floor(n * 0.02::DOUBLE)""",
+)
+def sample_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV to a smaller CSV, rows as text throughout."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    source, target = scratch_path(spark, "orders-csv"), scratch_path(spark, "sample-csv")
+    tables.write_csv(orders, source)
+    lines = tables.read_incident_csv(spark, source, schema="o_orderkey string, o_orderpriority string")
+    tables.write_csv(sample.sample_exact(lines, 0.02, seed=5), target)
+    return tables.read_incident_csv(spark, target, schema=orders.schema)
+
+
 # ---- fills -----------------------------------------------------------------
 
 _AHEAD = 'PARTITION BY "State" ORDER BY "StartTime", "ID" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW'
@@ -840,6 +865,41 @@ def model_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_models(models, plan_models(spark, TRAFFIC_TARGETS, WEATHER_PREDICTORS, 3))
 
 
+@query(
+    "valid_models",
+    f"""{S.MAIN_SWEEP} SELECT target, p <= 2 AND NOT list_has_any(predictors, ['GoodWeather', 'BadWeather',
+  'NeutralWeather']) AS valid_predictors, count(*) AS n FROM ols WHERE p <= 2 GROUP BY 1, 2""",
+)
+def valid_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished models split by whether their predictors are in a vocabulary."""
+    models = main_models(spark, sf_dir).filter(F.size("predictors") <= 2)
+    checked = with_valid_predictors(models, WEATHER_PREDICTORS[:6])
+    return checked.groupBy("target", "valid_predictors").agg(F.count("*").alias("n"))
+
+
+_SCALED = ["l_quantity", "l_extendedprice", "l_tax"]
+
+
+@query(
+    "standardised_features",
+    "SELECT l_orderkey, l_linenumber, "
+    + ", ".join(
+        f"round(({n} - (SELECT avg({n}) FROM lineitem)) / (SELECT stddev_samp({n}) FROM lineitem), 6) + 0 AS {n}"
+        for n in _SCALED
+    )
+    + " FROM lineitem",
+)
+def standardised_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assembled vectors with mean 0 and sample deviation 1."""
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
+    vectors = standardise(assemble(lines.select("l_orderkey", "l_linenumber", *_SCALED), _SCALED))
+    values = vector_to_array("scaled_features")
+    scaled = vectors.select(
+        "l_orderkey", "l_linenumber", *[values[i].alias(name) for i, name in enumerate(_SCALED)]
+    )
+    return rounded(scaled, *_SCALED)
+
+
 @query("resumed_sweep", f"{S.MAIN_SWEEP} SELECT {_OLS_SQL} FROM ols")
 def resumed_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main sweep in two runs over one log; the second runs only what is absent."""

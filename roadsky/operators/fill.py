@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 
 from roadsky.session import shared_folder
 
+# The driver samples some keys per range to place the bounds. Beyond this many
+# ranges they grow in rows instead; a range is sorted with spilling.
+MAX_RANGES = 20_000
+
 METHODS = ("forward", "backward", "forward_then_backward", "first_seen")
 
 
@@ -32,7 +36,7 @@ def fill_missing(
     tie: Sequence[str],
     method: str = "forward",
     max_group_rows: int = 2_000_000,
-    range_rows: int = 1_000_000,
+    range_rows: int = 5_000_000,
 ) -> DataFrame:
     """Fill ``values`` within ``group`` along ``time``.
 
@@ -47,7 +51,8 @@ def fill_missing(
     largest, rows = sizes[0] or 0, sizes[1] or 0
     if largest <= max_group_rows:
         return fill_by_group(df, values, group, time, tie, method)
-    ranges = max(math.ceil(rows / range_rows), df.sparkSession.sparkContext.defaultParallelism)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    ranges = min(max(math.ceil(rows / range_rows), cores), MAX_RANGES)
     return fill_by_ranges(df, values, group, time, tie, method, ranges)
 
 

@@ -33,12 +33,14 @@ def top_and_bottom(
 def predictor_influence(top_models: DataFrame) -> DataFrame:
     """Per target: how many of its best models use each predictor."""
     used = top_models.select("target", F.explode("predictors").alias("predictor"))
-    return used.groupBy("target", "predictor").agg(F.count("*").alias("frequency"))
+    counts = used.groupBy("target", "predictor").agg(F.count("*").alias("frequency"))
+    return counts.orderBy("target", F.desc("frequency"), "predictor")
 
 
 def influence_over_targets(influence: DataFrame) -> DataFrame:
     """The same counts summed over all targets."""
-    return influence.groupBy("predictor").agg(F.sum("frequency").alias("frequency"))
+    counts = influence.groupBy("predictor").agg(F.sum("frequency").alias("frequency"))
+    return counts.orderBy(F.desc("frequency"), "predictor")
 
 
 def robust_summary(models: DataFrame) -> DataFrame:

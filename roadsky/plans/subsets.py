@@ -86,6 +86,13 @@ def count_experiments(models: DataFrame) -> DataFrame:
     )
 
 
+def with_valid_predictors(models: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
+    """``valid_predictors``: the predictors are distinct and all in the vocabulary."""
+    distinct = F.size(F.array_distinct("predictors")) == F.size("predictors")
+    known = F.size(F.array_except("predictors", _names(vocabulary))) == 0
+    return models.withColumn("valid_predictors", distinct & known)
+
+
 def check_models(models: DataFrame, plan: DataFrame) -> DataFrame:
     """Per target: rows, repeated rows, rows off the plan, and planned models absent."""
 

@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 from roadsky.functions import tails
 from roadsky.operators import moments as M
 from roadsky.operators import ols, ranking, robust
-from roadsky.plans.subsets import check_models, count_experiments, pending_models, plan_models
+from roadsky.operators.vectors import assemble, standardise
+from roadsky.plans.subsets import (
+    check_models,
+    count_experiments,
+    pending_models,
+    plan_models,
+    with_valid_predictors,
+)
 from roadsky.schemas import TRAFFIC_TARGETS, WEATHER_PREDICTORS
 
 X = ["a", "b (x)", "c", "d"]
@@ -110,6 +117,20 @@ def test_pending_and_check(spark):
     assert tuple(check_models(doubled, plan).first()) == ("y", 5, 1, 1, 3)
 
 
+def test_valid_predictors(spark):
+    models = spark.createDataFrame([(["a", "b"],), (["a", "a"],), (["a", "q"],), (["b"],)], "predictors array<string>")
+    found = [row.valid_predictors for row in with_valid_predictors(models, ["a", "b", "c"]).collect()]
+    assert found == [True, False, False, True]
+
+
+def test_vectors(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, None), (5.0, 8.0)], "a double, b double")
+    rows = standardise(assemble(df, ["a", "b"], invalid="skip")).collect()
+    assert [round(row.scaled_features[0], 6) for row in rows] == [-0.707107, 0.707107]
+    with pytest.raises(Exception, match="(?i)null"):
+        assemble(df, ["a", "b"]).collect()
+
+
 # ---- ordinary least squares ------------------------------------------------
 
 
