@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from roadsky.catalog import sqltext as S
 from roadsky.catalog.views import incidents, readings, table
 from roadsky.functions import conditions, speed, text, times
-from roadsky.functions.weather_words import RATING_LEVELS
-from roadsky.operators import clean, fill, impact, ols, profile, ranking, robust, sample
+from roadsky.operators import clean, fill, ols, profile, ranking, robust, sample
 from roadsky.operators.vectors import assemble, standardise
+from roadsky.plans import studies
 from roadsky.plans.subsets import (
     check_models,
     count_experiments,
@@ -26,7 +26,6 @@ from roadsky.schemas import (
     MODEL_LOG_FULL,
     TRAFFIC_TARGETS,
     WEATHER_DUMMIES,
-    WEATHER_NUMERIC,
     WEATHER_PREDICTORS,
 )
 from roadsky.session import scratch_path
@@ -73,7 +72,7 @@ SELECT *, round(100.0::DOUBLE * total_incidents / (SELECT sum(total_incidents) F
   AS percentage_of_total FROM grouped""",
 )
 def impact_by_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return impact.impact_by_rating(incidents(spark, sf_dir))
+    return studies.impact_tables(incidents(spark, sf_dir))[0]
 
 
 @query(
@@ -83,7 +82,7 @@ def impact_by_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM rated GROUP BY weather_rating""",
 )
 def crosstab_rating_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return impact.crosstab_share(impact.incidents_by_text(incidents(spark, sf_dir)), count="rows")
+    return studies.impact_tables(incidents(spark, sf_dir))[1]
 
 
 _PEARSON = [
@@ -105,13 +104,7 @@ _PEARSON = [
 {" UNION ALL ".join(f"SELECT '{a}' AS left_column, '{b}' AS right_column, round(corr({S.q(a)}, {S.q(b)}), 6) AS pearson FROM whole" for a, b in _PEARSON)}""",
 )
 def pearson_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = clean.with_rating(incidents(spark, sf_dir)).withColumns(
-        {
-            "weather_ordinal": conditions.rating_ordinal(F.col("weather_rating")),
-            "speed_ordinal": speed.speed_ordinal(F.col("Congestion_Speed")),
-        }
-    )
-    pairs = impact.pearson_pairs(df, _PEARSON)
+    pairs = studies.correlations(incidents(spark, sf_dir), _PEARSON)
     return rounded(pairs, "pearson").withColumnsRenamed({"left": "left_column", "right": "right_column"})
 
 
@@ -570,10 +563,7 @@ def _flat(models: DataFrame, *extra) -> DataFrame:
 
 def main_sweep(spark: SparkSession, sf_dir: str):
     """Nine predictors, five log targets, at most three predictors: 645 models."""
-    df = clean.clean_exact(incidents(spark, sf_dir))
-    df = clean.model_frame(df, WEATHER_PREDICTORS, TRAFFIC_TARGETS)
-    sweep = ols.prepare(df, WEATHER_PREDICTORS, TRAFFIC_TARGETS, log_label=True)
-    return sweep, plan_models(spark, TRAFFIC_TARGETS, WEATHER_PREDICTORS, 3)
+    return studies.log_study(incidents(spark, sf_dir))
 
 
 def main_models(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -605,10 +595,8 @@ def main_sweep_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{S.REVERSED_SWEEP} SELECT {_OLS_SQL}, {S.formula('')} AS formula FROM ols",
 )
 def reversed_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    predictors, targets = list(reversed(WEATHER_PREDICTORS[:6])), list(reversed(TRAFFIC_TARGETS))
-    df = clean.model_frame(clean.clean_exact(incidents(spark, sf_dir)), predictors, targets)
-    sweep = ols.prepare(df, predictors, targets, log_label=True)
-    return _flat(ols.run_sweep(sweep, plan_models(spark, targets, predictors, 2)), "formula")
+    sweep, plan = studies.reversed_log_study(incidents(spark, sf_dir))
+    return _flat(ols.run_sweep(sweep, plan), "formula")
 
 
 # with predictors of mean zero the intercept is the label's mean
@@ -622,19 +610,7 @@ _SCALED_INTERCEPT = "CAST(abs(my) > t975 * sqrt(s2 / n) AS INT)"
     f"round(b1 * sqrt(s11 * n / (n - 1)), 5) AS first_beta FROM ols",
 )
 def standardised_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    predictors = list(reversed(WEATHER_NUMERIC + WEATHER_DUMMIES))
-    targets = list(reversed(JAM_TARGETS))
-    df = clean.to_doubles(clean.clean_substring(incidents(spark, sf_dir)), [*WEATHER_NUMERIC, *JAM_TARGETS])
-    sweep = ols.prepare(
-        df,
-        [*predictors, "Traffic Jam Duration"],
-        targets,
-        log_label=False,
-        missing="per_model",
-        standardised=True,
-    )
-    plan = plan_models(spark, targets, predictors, 2, always_include=["Traffic Jam Duration"])
-    models = ols.run_sweep(sweep, plan)
+    models = ols.run_sweep(*studies.standardised_study(incidents(spark, sf_dir)))
     out = _flat(models, "formula", "intercept", F.get("coefficients", F.lit(0)).alias("first_beta"))
     return rounded(out, "intercept", "first_beta", digits=5)
 
@@ -644,10 +620,8 @@ _SINGLE_MODEL = [(S.model_id(0, [0]), _SINGLE[0], S.q(_SINGLE[0]), [_SINGLE[1]],
 
 
 def _single(spark: SparkSession, sf_dir: str):
-    target, predictor = _SINGLE
-    df = clean.to_doubles(incidents(spark, sf_dir), [target, predictor])
-    sweep = ols.prepare(df, [predictor], [target], log_label=False)
-    return df, ols.run_sweep(sweep, plan_models(spark, [target], [predictor], 1))
+    df = clean.to_doubles(incidents(spark, sf_dir), _SINGLE)
+    return df, ols.run_sweep(*studies.single_study(df, *_SINGLE))
 
 
 @query(
@@ -675,7 +649,7 @@ def regression_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(with_residuals.select("ID", "residual"), "residual", digits=5)
 
 
-_REVERSE_TARGETS = ["Temperature(F)", "WindSpeed(mph)", "Humidity(%)", "Precipitation(in)"]
+_REVERSE_TARGETS = studies.WEATHER_TARGETS
 
 
 @query(
@@ -684,36 +658,12 @@ _REVERSE_TARGETS = ["Temperature(F)", "WindSpeed(mph)", "Humidity(%)", "Precipit
     f" SELECT {_OLS_SQL} FROM ols",
 )
 def traffic_to_weather_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The other direction, per-model deletion. A set of predictors has one fit in any order."""
-    df = clean.clean_substring(incidents(spark, sf_dir))
-    df = clean.to_doubles(df, [*JAM_TARGETS, *_REVERSE_TARGETS])
-    sweep = ols.prepare(df, JAM_TARGETS, _REVERSE_TARGETS, log_label=False, missing="per_model")
-    return _flat(ols.run_sweep(sweep, plan_models(spark, _REVERSE_TARGETS, JAM_TARGETS, 3)))
+    return _flat(ols.run_sweep(*studies.weather_from_traffic_study(incidents(spark, sf_dir))))
 
 
 # ---- heteroskedasticity ----------------------------------------------------
 
-_ROBUST_TARGETS = [
-    "Distance(mi)", "Traffic Jam Duration", "DelayFromTypicalTraffic(mins)",
-    "DelayFromFreeFlowSpeed(mins)", "speed_numeric",
-]
-_ROBUST_PREDICTORS = ["Temperature(F)", "Humidity(%)", "Pressure(in)"]
-_ROBUST_BASE = S.robust(S.interaction_models(_ROBUST_TARGETS, _ROBUST_PREDICTORS))
-
-
-def interaction_sweep(spark: SparkSession, sf_dir: str, targets, predictors, max_predictors: int):
-    df = clean.clean_substring(incidents(spark, sf_dir), exact=True)
-    numbers = [n for n in [*targets, *predictors] if not n.startswith("weather_")]
-    sweep = ols.prepare(
-        clean.to_doubles(df, numbers),
-        predictors,
-        targets,
-        log_label=False,
-        missing="per_model",
-        interactions=True,
-        collinear="shortest",
-    )
-    return sweep, plan_models(spark, targets, predictors, max_predictors, interactions=True)
+_ROBUST_BASE = S.robust(S.interaction_models(studies.HC3_TARGETS, studies.HC3_PREDICTORS))
 
 
 def _robust_sql(significant: str, hetero: str) -> str:
@@ -749,13 +699,13 @@ def _robust_flat(models: DataFrame) -> DataFrame:
     ),
 )
 def tested_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sweep, plan = interaction_sweep(spark, sf_dir, _ROBUST_TARGETS, _ROBUST_PREDICTORS, 2)
+    sweep, plan = studies.hc3_study(incidents(spark, sf_dir), 2)
     return _robust_flat(robust.run_robust_sweep(sweep, plan, "tested"))
 
 
 @query("hc3_sweep", _robust_sql("robust_predictors + robust_intercept", "'HC3'"))
 def hc3_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sweep, plan = interaction_sweep(spark, sf_dir, _ROBUST_TARGETS, _ROBUST_PREDICTORS, 2)
+    sweep, plan = studies.hc3_study(incidents(spark, sf_dir), 2)
     return _robust_flat(robust.run_robust_sweep(sweep, plan, "hc3"))
 
 
@@ -766,7 +716,7 @@ def hc3_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     AS hc3_percentage FROM judged""",
 )
 def robust_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sweep, plan = interaction_sweep(spark, sf_dir, _ROBUST_TARGETS, _ROBUST_PREDICTORS, 2)
+    sweep, plan = studies.hc3_study(incidents(spark, sf_dir), 2)
     summary = ranking.robust_summary(robust.run_robust_sweep(sweep, plan, "tested"))
     return rounded(summary.drop("hc3_ratio"), "hc3_percentage")
 
@@ -774,7 +724,7 @@ def robust_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("tested_sweep_three")
 def tested_sweep_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten predictors with the rating dummies, at most three and their products: 1,050 models."""
-    sweep, plan = interaction_sweep(spark, sf_dir, JAM_TARGETS, [*WEATHER_NUMERIC, *WEATHER_DUMMIES], 3)
+    sweep, plan = studies.interaction_study(incidents(spark, sf_dir))
     return _robust_flat(robust.run_robust_sweep(sweep, plan, "tested"))
 
 
@@ -799,7 +749,7 @@ UNION ALL SELECT 'bottom', from_last, target, '[' || array_to_string(predictors,
   n_sig_predictors + sig_intercept, r2_4 FROM placed WHERE from_last <= 5""",
 )
 def models_top_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = ranking.ranking_report(ranking.top_and_bottom(_logged(spark, sf_dir)))
+    report = studies.ranking_tables(_logged(spark, sf_dir))[0]
     return report.select(
         "section",
         "place",
@@ -813,23 +763,18 @@ def models_top_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
 _USED = f"{_PLACED}, used AS (SELECT target, unnest(predictors) AS predictor FROM placed WHERE place <= 10)"
 
 
-def _influence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = ranking.top_and_bottom(_logged(spark, sf_dir)).filter(F.col("section") == "top")
-    return ranking.predictor_influence(best)
-
-
 @query(
     "predictor_influence", f"{_USED} SELECT target, predictor, count(*) AS frequency FROM used GROUP BY 1, 2"
 )
 def predictor_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _influence(spark, sf_dir)
+    return studies.ranking_tables(_logged(spark, sf_dir))[1]
 
 
 @query(
     "influence_over_targets", f"{_USED} SELECT predictor, count(*) AS frequency FROM used GROUP BY 1"
 )
 def influence_over_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.influence_over_targets(_influence(spark, sf_dir))
+    return studies.ranking_tables(_logged(spark, sf_dir))[2]
 
 
 @query(
@@ -858,10 +803,8 @@ def experiment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def model_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The short sweep checked against the long plan: its models, and the ones it lacks."""
-    predictors = list(reversed(WEATHER_PREDICTORS[:6]))
-    df = clean.model_frame(clean.clean_exact(incidents(spark, sf_dir)), predictors, TRAFFIC_TARGETS)
-    sweep = ols.prepare(df, predictors, TRAFFIC_TARGETS, log_label=True)
-    models = ols.run_sweep(sweep, plan_models(spark, TRAFFIC_TARGETS, predictors, 2))
+    predictors = WEATHER_PREDICTORS[5::-1]
+    models = ols.run_sweep(*studies.log_study(incidents(spark, sf_dir), predictors, TRAFFIC_TARGETS, 2))
     return check_models(models, plan_models(spark, TRAFFIC_TARGETS, WEATHER_PREDICTORS, 3))
 
 
@@ -904,6 +847,7 @@ def standardised_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resumed_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main sweep in two runs over one log; the second runs only what is absent."""
     sweep, plan = main_sweep(spark, sf_dir)
+    sweep = ols.staged(sweep, scratch_path(spark, "frame"))
     log = scratch_path(spark, "models")
     first = plan_models(spark, TRAFFIC_TARGETS, WEATHER_PREDICTORS, 2)
     resume_sweep(spark, log, first, lambda todo: ols.run_sweep(sweep, todo))
@@ -980,8 +924,7 @@ SELECT condition, count(*) AS n, count(DISTINCT "State") AS n_states FROM filled
 )
 def filled_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Not-null filters, fill, write, read back."""
-    rows = clean.not_null_rows(readings(spark, sf_dir), "State", "StartTime")
-    filled = fill.fill_missing(rows, ["Weather_Conditions"], ["State"], "StartTime", ["ID"], "first_seen")
+    filled = studies.filled_incidents(readings(spark, sf_dir))
     path = scratch_path(spark, "filled")
     tables.write_parquet(filled, path, sort_by=["State", "StartTime"])
     return (

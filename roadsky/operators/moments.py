@@ -117,10 +117,9 @@ class Moments:
         return False
 
 
-def mask_bytes(frame: DataFrame, columns: Sequence[str], basis: int) -> int:
-    """Largest possible size of the per-mask tables: known from the schema alone."""
-    nullable = sum(frame.schema[name].nullable for name in columns)
-    return 2**nullable * (basis + 1) * (basis + 2) // 2 * 8
+def mask_bytes(may_lack: int, basis: int) -> int:
+    """Largest possible size of the per-mask tables: known before any row is read."""
+    return 2**may_lack * (basis + 1) * (basis + 2) // 2 * 8
 
 
 def collect_model_moments(

@@ -9,7 +9,7 @@ over what the solver returns.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -22,8 +22,10 @@ from roadsky.functions import tails, text
 from roadsky.operators import moments as M
 from roadsky.schemas import MODEL_RESULT
 
-# Relative size below which a direction of the scaled design counts as absent.
+# Relative size below which a direction of the scaled design counts as absent,
+# and the rounding noise allowed for on top where means are far from the shift.
 RANK_TOLERANCE = 1e-10
+ROUNDING = 64 * np.finfo(float).eps
 SIGNIFICANT = 0.05
 NONZERO = 1e-8
 
@@ -57,6 +59,8 @@ class Sweep:
     ``standardised`` predictors scaled to mean 0 and sample deviation 1
     ``collinear``    "null": no measures for a rank-deficient model;
                      "shortest": the solution of least length
+    ``gaps``         how many columns may lack values, where the schema of the
+                     frame no longer tells
     """
 
     frame: DataFrame
@@ -65,6 +69,14 @@ class Sweep:
     interactions: bool = False
     standardised: bool = False
     collinear: str = "null"
+    gaps: int | None = None
+
+    @property
+    def may_lack(self) -> int:
+        """How many columns may have missing values, as far as the schema tells."""
+        if self.gaps is not None:
+            return self.gaps
+        return sum(self.frame.schema[name].nullable for name in self.columns)
 
     @property
     def columns(self) -> list[str]:
@@ -136,6 +148,17 @@ def prepare(
     return Sweep(frame, predictors, labels, interactions, standardised, collinear)
 
 
+def staged(sweep: Sweep, path: str) -> Sweep:
+    """The same sweep over a written copy of its frame.
+
+    Worth it where several passes or several runs follow: the copy holds the
+    model columns only, as doubles, so raw rows are read and parsed once.
+    """
+    sweep.frame.write.mode("overwrite").parquet(path)
+    copy = sweep.frame.sparkSession.read.schema(sweep.frame.schema).parquet(path)
+    return replace(sweep, frame=copy, gaps=sweep.may_lack)
+
+
 @dataclass
 class Fit:
     """One solved model in raw coordinates; index 0 is the intercept."""
@@ -174,7 +197,8 @@ def solve(table: np.ndarray, shift: np.ndarray, terms: Sequence[int], label: int
     scaled[flat, :] = 0.0
     scaled[:, flat] = 0.0
     values, vectors = np.linalg.eigh(scaled)
-    kept = values > RANK_TOLERANCE
+    noise = ROUNDING * np.max(raw_square[~flat] / variance[~flat], initial=0.0)
+    kept = values > max(RANK_TOLERANCE, noise)
     rank = int(kept.sum())
     fit = Fit("OK", int(round(n)), rank, sst=sst)
     if sst <= 1e-12 * max(table[y, y], 1e-300):
@@ -274,7 +298,7 @@ class Gathered:
 def gather(sweep: Sweep, plan: DataFrame, mask_budget: int = M.MASK_BUDGET) -> Gathered:
     """Run the data pass for a plan."""
     columns, pairs = sweep.columns, sweep.pairs
-    if M.mask_bytes(sweep.frame, columns, len(columns) + len(pairs)) <= mask_budget:
+    if M.mask_bytes(sweep.may_lack, len(columns) + len(pairs)) <= mask_budget:
         return Gathered(M.collect_moments(sweep.frame, columns, pairs))
     layout = sweep.layout()
     models = {
