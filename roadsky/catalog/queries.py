@@ -721,6 +721,13 @@ def robust_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(summary.drop("hc3_ratio"), "hc3_percentage")
 
 
+@query("hc3_sweep_three")
+def hc3_sweep_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three predictors, all subsets with their products: 35 models."""
+    sweep, plan = studies.hc3_study(incidents(spark, sf_dir))
+    return _robust_flat(robust.run_robust_sweep(sweep, plan, "hc3"))
+
+
 @query("tested_sweep_three")
 def tested_sweep_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten predictors with the rating dummies, at most three and their products: 1,050 models."""

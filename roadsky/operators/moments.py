@@ -75,6 +75,11 @@ def _table(sums: dict[int, np.ndarray], size: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"mask": mask, "position": position, "v": value})
 
 
+def _mirrored(tables: np.ndarray) -> np.ndarray:
+    """Full tables from their upper triangles."""
+    return np.triu(tables) + np.triu(tables, 1).transpose(0, 2, 1)
+
+
 @dataclass
 class Moments:
     """Cross-products about ``shift``, one (1 + k) x (1 + k) table per mask."""
@@ -82,21 +87,24 @@ class Moments:
     columns: list[str]
     pairs: list[tuple[int, int]]
     shift: np.ndarray
-    tables: dict[int, np.ndarray] = field(default_factory=dict)
+    masks: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    tables: np.ndarray | None = None
 
-    def complete(self, needed: int) -> np.ndarray:
-        """Sum over the rows that miss none of the columns in the ``needed`` mask."""
-        size = 1 + len(self.shift)
-        chosen = [table for mask, table in self.tables.items() if not mask & needed]
-        return np.sum(chosen, axis=0) if chosen else np.zeros((size, size))
+    def complete(self, needed: int, basis: Sequence[int]) -> np.ndarray:
+        """Table of some basis columns over the rows that miss none of the ``needed`` mask."""
+        index = np.array([0, *[i + 1 for i in basis]])
+        chosen = np.flatnonzero((self.masks & needed) == 0)
+        if not len(chosen):
+            return np.zeros((len(index), len(index)))
+        return self.tables[np.ix_(chosen, index, index)].sum(axis=0)
 
     def means(self) -> np.ndarray:
         """Mean of each basis column over the rows that have it."""
         found = self.shift.copy()
         for i, needed in enumerate(self.needed()):
-            table = self.complete(needed)
+            table = self.complete(needed, [i])
             if table[0, 0] > 0:
-                found[i] += table[0, i + 1] / table[0, 0]
+                found[i] += table[0, 1] / table[0, 0]
         return found
 
     def needed(self) -> list[int]:
@@ -107,8 +115,8 @@ class Moments:
     def is_far(self) -> bool:
         """Whether some column's mean is too far from the shift for its spread."""
         for i, needed in enumerate(self.needed()):
-            table = self.complete(needed)
-            n, total, square = table[0, 0], table[0, i + 1], table[i + 1, i + 1]
+            table = self.complete(needed, [i])
+            n, total, square = table[0, 0], table[0, 1], table[1, 1]
             if n > 0:
                 mean = total / n
                 spread = square / n - mean * mean
@@ -160,10 +168,9 @@ def collect_model_moments(
             size = 1 + len(todo[key])
             table = np.zeros(size * size)
             table[rows["position"].to_numpy()] = rows["v"].to_numpy()
-            table = table.reshape(size, size)
-            own = Moments([str(i) for i in todo[key]], [], shifts[key])
-            own.tables[0] = np.triu(table) + np.triu(table, 1).T
-            result[int(key)] = own
+            names = [str(i) for i in todo[key]]
+            tables = _mirrored(table.reshape(1, size, size))
+            result[int(key)] = Moments(names, [], shifts[key], np.zeros(1, np.int64), tables)
 
     run(models)
     far = {key: models[key] for key, own in result.items() if own.is_far()}
@@ -196,13 +203,10 @@ def _collect(frame: DataFrame, columns: list[str], pairs: list, shift: np.ndarra
 
     parts = frame.select(*columns).mapInArrow(partial, "mask long, position int, v double")
     summed = parts.groupBy("mask", "position").agg(F.sum("v").alias("v")).toPandas()
-    moments = Moments(columns, pairs, shift)
-    for mask, rows in summed.groupby("mask"):
-        table = np.zeros(size * size)
-        table[rows["position"].to_numpy()] = rows["v"].to_numpy()
-        table = table.reshape(size, size)
-        moments.tables[int(mask)] = np.triu(table) + np.triu(table, 1).T
-    return moments
+    masks, at = np.unique(summed["mask"].to_numpy(), return_inverse=True)
+    tables = np.zeros((len(masks), size * size))
+    tables[at, summed["position"].to_numpy()] = summed["v"].to_numpy()
+    return Moments(columns, pairs, shift, masks, _mirrored(tables.reshape(-1, size, size)))
 
 
 def collect_moments(

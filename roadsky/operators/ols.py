@@ -176,20 +176,18 @@ class Fit:
     sst: float = np.nan
 
 
-def solve(table: np.ndarray, shift: np.ndarray, terms: Sequence[int], label: int, collinear: str) -> Fit:
-    """Least squares from moments about ``shift``."""
+def solve(table: np.ndarray, shift: np.ndarray, collinear: str) -> Fit:
+    """Least squares from a model's moments about ``shift``: its terms, then its label."""
     n = table[0, 0]
-    size = len(terms)
+    size = len(shift) - 1
     if n < size + 2:
         return Fit("INSUFFICIENT", int(round(n)))
-    index = [i + 1 for i in terms]
-    y = label + 1
-    offset = table[0, index] / n
-    y_offset = table[0, y] / n
-    inner = table[np.ix_(index, index)] - n * np.outer(offset, offset)
-    cross = table[index, y] - n * offset * y_offset
+    x, y = slice(1, -1), -1
+    offset, y_offset = table[0, x] / n, table[0, y] / n
+    inner = table[x, x] - n * np.outer(offset, offset)
+    cross = table[x, y] - n * offset * y_offset
     sst = max(table[y, y] - n * y_offset * y_offset, 0.0)
-    raw_square = np.diag(table)[index]
+    raw_square = np.diag(table)[x]
     variance = np.diag(inner).copy()
     flat = variance <= 1e-12 * np.maximum(raw_square, 1e-300)
     scale = np.sqrt(np.where(flat, 1.0, variance))
@@ -212,8 +210,8 @@ def solve(table: np.ndarray, shift: np.ndarray, terms: Sequence[int], label: int
     basis = vectors[:, kept]
     slopes_inverse = (basis / values[kept]) @ basis.T / np.outer(scale, scale)
     slopes = slopes_inverse @ np.where(flat, 0.0, cross)
-    mean = shift[list(terms)] + offset
-    beta = np.concatenate([[shift[label] + y_offset - mean @ slopes], slopes])
+    mean = shift[:-1] + offset
+    beta = np.concatenate([[shift[-1] + y_offset - mean @ slopes], slopes])
     corner = slopes_inverse @ mean
     inverse = np.empty((size + 1, size + 1))
     inverse[0, 0] = 1.0 / n + mean @ corner
@@ -310,17 +308,16 @@ def gather(sweep: Sweep, plan: DataFrame, mask_budget: int = M.MASK_BUDGET) -> G
 
 def fit_model(gathered: Gathered, layout: Layout, model_id: int, target: str, predictors: list[str]) -> Fit:
     """Solve one model from the gathered moments."""
-    terms, label = layout.terms(predictors), layout.label(target)
+    basis = [*layout.terms(predictors), layout.label(target)]
     if gathered.shared is not None:
         moments = gathered.shared
         needed = moments.needed()
-        mask = int(np.bitwise_or.reduce([needed[i] for i in [*terms, label]]))
-        return solve(moments.complete(mask), moments.shift, terms, label, layout.collinear)
+        mask = int(np.bitwise_or.reduce([needed[i] for i in basis]))
+        return solve(moments.complete(mask, basis), moments.shift[basis], layout.collinear)
     own = gathered.per_model.get(model_id)
-    size = len(terms)
     if own is None:
         return Fit("INSUFFICIENT", 0)
-    return solve(own.complete(0), own.shift, range(size), size, layout.collinear)
+    return solve(own.complete(0, range(len(basis))), own.shift, layout.collinear)
 
 
 def r2_of(sse: Column, sst: Column) -> Column:

@@ -13,7 +13,7 @@ def connection():
 
 def test_contract():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert len(contract.oracle_sql()) >= len(contract.queries()) - 1
+    assert len(contract.oracle_sql()) >= len(contract.queries()) - 2
 
 
 def test_entry(spark):
