@@ -20,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _offset_text(moment, offset):
-    return F.concat(F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSS"), offset)
+    # by cast, not date_format: that would go through the session's time zone
+    return F.concat(F.translate(moment.cast("string"), " ", "T"), F.lit(".000"), offset)
 
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,5 +31,10 @@ def minutes_between(start: Column, end: Column) -> Column:
 
 
 def minutes_between_exact(start: Column, end: Column) -> Column:
-    """Minutes from start to end with fractional seconds."""
-    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(6e7)
+    """Minutes from start to end with fractional seconds.
+
+    Between instants: ``timestampdiff`` would count local clock time, which
+    jumps where the session's zone changes its offset.
+    """
+    micros = [F.unix_micros(moment.cast("timestamp")) for moment in (start, end)]
+    return (micros[1] - micros[0]) / F.lit(6e7)

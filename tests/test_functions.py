@@ -109,6 +109,18 @@ def test_times_and_spans(spark):
     assert loose == [False, True, True]
 
 
+def test_spans_do_not_depend_on_the_session_zone(spark):
+    values = ["2021-03-14T06:30:00.000+00:00", "2021-03-14T07:45:30.500+00:00"]
+    start, end = (times.parse_offset_time(F.lit(value)) for value in values)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        row = spark.range(1).select(times.minutes_between(start, end), times.minutes_between_exact(start, end)).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert row[0] == 75.5 and row[1] == pytest.approx(75 + 30.5 / 60)
+
+
 def test_formula_texts(spark):
     df = spark.createDataFrame([("Traffic Jam", ["a(b)", "c"])], "t string, p array<string>")
     t, p = F.col("t"), F.col("p")
