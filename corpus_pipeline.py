@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from roadsky.llm.common import stored, table
+from roadsky.llm.decontaminate import keep_clean
+from roadsky.llm.secrets import redact
 from roadsky.llm.simhash import keep_one
 from roadsky.llm.toxicity import fit, score_documents
 
@@ -20,9 +22,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return keep_one(docs)
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of the benchmark go."""
+    return keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the text are replaced by a mark."""
+    return redact(docs)
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("simhash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scans", redact_secrets),
 ]
 
 #: Fitted scores and transitive closures: not for SQL.

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from roadsky.llm.decontaminate import op6_decontaminate
+from roadsky.llm.secrets import op2_secrets
 from roadsky.llm.simhash import op3_simhash
 from roadsky.llm.toxicity import op10_toxicity
 
 LLM_QUERIES = {
+    "op2_secrets": op2_secrets,
     "op3_simhash": op3_simhash,
+    "op6_decontaminate": op6_decontaminate,
     "op10_toxicity": op10_toxicity,
 }
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_bytes(uri: str, data: bytes) -> None:
+    """A file in the shared folder, by its URI or path."""
+    files, path = fs.FileSystem.from_uri(uri)
+    files.create_dir(path.rpartition("/")[0], recursive=True)
+    with files.open_output_stream(path) as out:
+        out.write(data)
+
+
+def read_bytes(uri: str) -> bytes:
+    files, path = fs.FileSystem.from_uri(uri)
+    with files.open_input_stream(path) as source:
+        return source.read()
+
+
 def held_out(doc_id: Column | str) -> Column:
     """Whether crc32 of the id as text leaves no remainder by 5; false for a null id."""
     text = F.col(doc_id) if isinstance(doc_id, str) else doc_id
