@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from roadsky.llm.common import stored, table
 from roadsky.llm.decontaminate import keep_clean
+from roadsky.llm.pieces import encode_documents
 from roadsky.llm.secrets import redact
 from roadsky.llm.simhash import keep_one
 from roadsky.llm.toxicity import fit, score_documents
@@ -32,11 +33,17 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return redact(docs)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of every document that is left."""
+    return encode_documents(docs)
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("simhash near-dedup", drop_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
     ("secret scans", redact_secrets),
+    ("sentencepiece encoding and decoding", encode),
 ]
 
 #: Fitted scores and transitive closures: not for SQL.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from roadsky.llm.decontaminate import op6_decontaminate
+from roadsky.llm.pieces import op7_sentencepiece
 from roadsky.llm.secrets import op2_secrets
 from roadsky.llm.simhash import op3_simhash
 from roadsky.llm.toxicity import op10_toxicity
@@ -11,6 +12,7 @@ LLM_QUERIES = {
     "op2_secrets": op2_secrets,
     "op3_simhash": op3_simhash,
     "op6_decontaminate": op6_decontaminate,
+    "op7_sentencepiece": op7_sentencepiece,
     "op10_toxicity": op10_toxicity,
 }
 
