@@ -6,13 +6,13 @@ both. So every distinct fingerprint emits all its variants within ``r`` bits
 share a variant are within ``2 r`` of one another, so a chain through them
 loses no component.
 
-Variants are not shuffled one by one. They are dealt out by a *linear* hash of
-their bits: every bit position has a fixed random code, and a variant's part
-is the exclusive or of the codes of its set bits. Which flips of a fingerprint
-end in a part depends on its own code alone, so a fingerprint goes to a part
-once, as eight bytes, and the task makes that part's variants from it. A dense
-group of near copies spreads over all parts, since each single flip leads to
-another part.
+Variants are not shuffled one by one. They are dealt out by the parities of
+``G`` groups of bits: flips of at most two bits reach ``1 + G + G (G - 1) / 2``
+of the 2^G parts, so a fingerprint goes to each of those once, as eight bytes,
+and the task makes that part's variants from it. ``G`` follows the logarithm
+of the number of fingerprints. A part that still gets many (a dense group of
+near copies has nearly equal parities) is split once more by a random linear
+hash of all bits, under which every single flip leads elsewhere.
 
 Documents of equal fingerprints are folded first. Links and components stay
 distributed; components come from rounds of large and small stars, each
@@ -40,8 +40,10 @@ from roadsky.llm.common import spread_lookup, stored, table
 
 SHINGLE = 4
 MAX_BITS = 4
-#: Fingerprints whose variants one part should hold, about; sets the number of parts.
-PART_FINGERPRINTS = 2048
+#: Fingerprints that a part should get, about; sets the number of parts.
+PART_FINGERPRINTS = 16_384
+#: A part that gets more than this is split by a second hash.
+FULL_PART = 32_768
 _SEED = 42
 _BITS = np.arange(64, dtype=np.uint64)
 _UPPER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -94,16 +96,39 @@ def flip_masks(radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for n in range(radius + 1) for c in combinations(range(64), n)], np.uint64)
 
 
-def linear_code(values: np.ndarray, bits: int) -> np.ndarray:
-    """The part of each value: exclusive or of a fixed code per set bit. Linear: code(a ^ b) = code(a) ^ code(b)."""
-    codes = np.random.default_rng(64).integers(1, max(2, 1 << bits), 64) if bits else np.zeros(64, np.int64)
+def parity_groups(rows: int, radius: int) -> int:
+    """The number of groups of bits for so many fingerprints."""
+    groups = 6
+    while groups < 24 and rows * len(_reached(groups, radius)) > PART_FINGERPRINTS << groups:
+        groups += 1
+    return groups
+
+
+def _reached(groups: int, radius: int) -> np.ndarray:
+    """What flips of at most ``radius`` bits do to the parities of groups: all sums of so many of them."""
+    out = np.zeros(1, np.int64)
+    for _ in range(radius):
+        out = np.unique(np.concatenate([out, *((out ^ (1 << g)) for g in range(groups))]))
+    return out
+
+
+def parity_codes(groups: int) -> np.ndarray:
+    return np.int64(1) << (np.arange(64) % groups)
+
+
+#: A code per bit for the second hash.
+SPLIT_CODES = np.random.default_rng(64).integers(1, 1 << 11, 64)
+
+
+def linear_code(values: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Exclusive or of the codes of a value's set bits. Linear: code(a ^ b) = code(a) ^ code(b)."""
     out = np.zeros(len(values), np.int64)
     for i in range(64):
         out ^= np.where((values >> np.uint64(i)) & np.uint64(1), codes[i], 0)
     return out
 
 
-def part_links(values: np.ndarray, codes: np.ndarray, part: int, masks: np.ndarray, mask_codes: np.ndarray, bits: int) -> tuple:
+def part_links(values: np.ndarray, codes: np.ndarray, part: int, masks: np.ndarray, mask_codes: np.ndarray) -> tuple:
     """Links of fingerprints that share a variant of this part: each with the least one it is connected to here."""
     variants, owners = [], []
     for code in np.unique(codes):
@@ -147,27 +172,39 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(u, v), u > v as signed numbers: links that connect all distinct ``fp`` at most ``max_bits`` apart."""
     radius = (max_bits + 1) // 2
     masks = flip_masks(radius)
-    rows = max(1, distinct.count())
-    bits = min(20, max(0, int(rows / PART_FINGERPRINTS).bit_length()))
-    mask_codes = linear_code(masks, bits)
-    reached = [int(x) for x in np.unique(mask_codes)]
+    groups = parity_groups(distinct.count(), radius)
+    parities = parity_codes(groups)
+    reached = _reached(groups, radius)
+    mask_part, mask_split = linear_code(masks, parities), linear_code(masks, SPLIT_CODES)
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        offsets = np.array(reached)
         for frame in frames:
             for at in range(0, len(frame), 20_000):
                 fp = frame["fp"].to_numpy()[at : at + 20_000]
-                code = linear_code(fp.view(np.uint64), bits)
-                yield pd.DataFrame({"part": (code[:, None] ^ offsets[None, :]).ravel(), "fp": np.repeat(fp, len(offsets))})
+                code = linear_code(fp.view(np.uint64), parities)
+                yield pd.DataFrame({"part": (code[:, None] ^ reached[None, :]).ravel(), "fp": np.repeat(fp, len(reached))})
 
     def link(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        part, split, bits = (int(x) for x in key)
         values = np.unique(frame["fp"].to_numpy().view(np.uint64))
-        u, v = part_links(values, linear_code(values, bits), int(key[0]), masks, mask_codes, bits)
+        low = (1 << bits) - 1
+        # both hashes side by side in one number
+        codes = linear_code(values, parities) << 11 | (linear_code(values, SPLIT_CODES) & low)
+        u, v = part_links(values, codes, part << 11 | split, masks, mask_part << 11 | (mask_split & low))
         u, v = u.view(np.int64), v.view(np.int64)
         return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)})
 
     dealt = distinct.select("fp").mapInPandas(deal, "part long, fp long")
-    return dealt.groupBy("part").applyInPandas(link, "u long, v long").distinct()
+    full = dealt.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > FULL_PART)
+    bits = F.least(F.ceil(F.log2(F.col("n") / FULL_PART)), F.lit(11)).cast("int")
+    full = stored(full.select("part", bits.alias("bits")), "full-parts")
+    # rows of 16 bytes: broadcast when counted to be few, otherwise dealt like the parts
+    few = full.count() <= 100_000
+    split = dealt.join(F.broadcast(full), "part", "left") if few else spread_lookup(dealt, full, ["part"], [F.col("fp")])
+    split = split.na.fill(0, ["bits"])
+    splits = F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("bits")) - 1))
+    parts = split.select("part", splits.alias("split"), "bits", "fp")
+    return parts.groupBy("part", "split", "bits").applyInPandas(link, "u long, v long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
