@@ -7,12 +7,16 @@ from roadsky.llm.pieces import op7_sentencepiece
 from roadsky.llm.secrets import op2_secrets
 from roadsky.llm.simhash import op3_simhash
 from roadsky.llm.toxicity import op10_toxicity
+from roadsky.llm.vantage import op9_vantage
+from roadsky.llm.warc import op1_warc
 
 LLM_QUERIES = {
+    "op1_warc": op1_warc,
     "op2_secrets": op2_secrets,
     "op3_simhash": op3_simhash,
     "op6_decontaminate": op6_decontaminate,
     "op7_sentencepiece": op7_sentencepiece,
+    "op9_vantage": op9_vantage,
     "op10_toxicity": op10_toxicity,
 }
 
