@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from roadsky.llm.decontaminate import op6_decontaminate
+from roadsky.llm.html_text import op8_html
 from roadsky.llm.pieces import op7_sentencepiece
 from roadsky.llm.secrets import op2_secrets
 from roadsky.llm.simhash import op3_simhash
@@ -16,6 +17,7 @@ LLM_QUERIES = {
     "op3_simhash": op3_simhash,
     "op6_decontaminate": op6_decontaminate,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_html": op8_html,
     "op9_vantage": op9_vantage,
     "op10_toxicity": op10_toxicity,
 }
