@@ -33,6 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from roadsky.llm.common import bounds, chunks, ranges, table
 
@@ -375,7 +376,7 @@ def encode_documents(docs: DataFrame, text: str = "text", keep: list[str] | None
     """``keep`` of every row with ``ids`` (null for a null text), ``n_pieces`` and ``round_trip``: whether decoding gives the text back."""
     vocabulary = Vocabulary.load(model)
     names = [c for c in (keep if keep is not None else ["doc_id"]) if c not in ("ids", "n_pieces", "round_trip")]
-    schema = docs.select(*names).schema.add("ids", "array<int>").add("n_pieces", "long").add("round_trip", "boolean")
+    schema = docs.select(*names).schema.add("ids", T.ArrayType(T.IntegerType())).add("n_pieces", "long").add("round_trip", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(vocabulary), Decoder(vocabulary.decoded)
