@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from roadsky.llm.crf_quality import op4_quality
 from roadsky.llm.decontaminate import op6_decontaminate
 from roadsky.llm.html_text import op8_html
 from roadsky.llm.pieces import op7_sentencepiece
@@ -15,6 +16,7 @@ LLM_QUERIES = {
     "op1_warc": op1_warc,
     "op2_secrets": op2_secrets,
     "op3_simhash": op3_simhash,
+    "op4_quality": op4_quality,
     "op6_decontaminate": op6_decontaminate,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_html": op8_html,
