@@ -6,6 +6,7 @@ from roadsky.llm.crf_quality import op4_quality
 from roadsky.llm.decontaminate import op6_decontaminate
 from roadsky.llm.html_text import op8_html
 from roadsky.llm.pieces import op7_sentencepiece
+from roadsky.llm.runlength import op5_runlength
 from roadsky.llm.secrets import op2_secrets
 from roadsky.llm.simhash import op3_simhash
 from roadsky.llm.toxicity import op10_toxicity
@@ -17,6 +18,7 @@ LLM_QUERIES = {
     "op2_secrets": op2_secrets,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
+    "op5_runlength": op5_runlength,
     "op6_decontaminate": op6_decontaminate,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_html": op8_html,
