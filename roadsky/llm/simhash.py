@@ -41,7 +41,7 @@ from roadsky.llm.common import spread_lookup, stored, table
 SHINGLE = 4
 MAX_BITS = 4
 #: Fingerprints that a part should get, about; sets the number of parts.
-PART_FINGERPRINTS = 16_384
+PART_FINGERPRINTS = 32_768
 #: A part that gets more than this is split by a second hash.
 FULL_PART = 32_768
 _SEED = 42
@@ -98,7 +98,7 @@ def flip_masks(radius: int) -> np.ndarray:
 
 def parity_groups(rows: int, radius: int) -> int:
     """The number of groups of bits for so many fingerprints."""
-    groups = 6
+    groups = 8
     while groups < 24 and rows * len(_reached(groups, radius)) > PART_FINGERPRINTS << groups:
         groups += 1
     return groups
