@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from roadsky.llm.common import stored, table
+from roadsky.llm.common import fresh, stored, table
 from roadsky.llm.decontaminate import keep_clean
 from roadsky.llm.pieces import encode_documents
 from roadsky.llm.secrets import redact
@@ -15,7 +16,8 @@ from roadsky.llm.toxicity import fit, score_documents
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator rejects go."""
     scorer = fit(docs, table(spark, sf_dir, "labels"))
-    return score_documents(docs, scorer, score="_toxic").filter("_toxic < 0.5").select(*docs.columns)
+    score = fresh(docs.columns, "_toxic")
+    return score_documents(docs, scorer, score=score).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

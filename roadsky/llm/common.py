@@ -28,6 +28,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores in front until no column is called so."""
+    while name in columns:
+        name = "_" + name
+    return name
+
+
 def write_bytes(uri: str, data: bytes) -> None:
     """A file in the shared folder, by its URI or path."""
     files, path = fs.FileSystem.from_uri(uri)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadsky.llm.common import bounds, chunks, ranges, read_bytes, table, write_bytes
+from roadsky.llm.common import bounds, chunks, fresh, ranges, read_bytes, table, write_bytes
 from roadsky.session import scratch_path
 
 WINDOW = 10
@@ -255,19 +255,20 @@ def matched(docs: DataFrame, benchmark: DataFrame, columns: list[str], n: int =
     for name, kind in _FOUND:
         schema = schema.add(name, kind)
     names = [x for x, _ in _FOUND]
+    own = fresh(kept, "_text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
         for frame in frames:
-            for part in chunks(frame["_text"].tolist(), 2_000_000):
+            for part in chunks(frame[own].tolist(), 2_000_000):
                 piece = frame.iloc[part]
-                found = find_matches(piece["_text"].tolist(), paths, cache)
+                found = find_matches(piece[own].tolist(), paths, cache)
                 columns_found = dict(zip(names, map(list, zip(*found, strict=True)), strict=True))
                 for name in names[4:]:
                     columns_found[name] = pd.array(columns_found[name], "Int64")
                 yield piece[kept].assign(**columns_found)
 
-    return docs.select(*kept, docs["text"].alias("_text")).mapInPandas(run, schema)
+    return docs.select(*kept, docs["text"].alias(own)).mapInPandas(run, schema)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadsky.llm.common import table
+from roadsky.llm.common import fresh, table
 
 DEEPEST = 200
 #: Columns wider than this are not padded further.
@@ -399,13 +399,14 @@ def render(page: str | None) -> str:
 def extract_text(pages: DataFrame, page: str = "html", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (the id) of every row with ``text``."""
     names = [c for c in (keep or ["page_id"]) if c != "text"]
+    own = fresh(names, "_page")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame[names].assign(text=[render(x) for x in frame["_page"]])
+            yield frame[names].assign(text=[render(x) for x in frame[own]])
 
     schema = pages.select(*names).schema.add("text", "string")
-    return pages.select(*names, F.col(page).alias("_page")).mapInPandas(run, schema)
+    return pages.select(*names, F.col(page).alias(own)).mapInPandas(run, schema)
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

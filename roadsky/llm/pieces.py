@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from roadsky.llm.common import bounds, chunks, ranges, table
+from roadsky.llm.common import bounds, chunks, fresh, ranges, table
 
 #: Where the public vocabulary file lies; only the driver opens it.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -394,7 +394,7 @@ def encode_documents(docs: DataFrame, text: str = "text", keep: list[str] | None
                 columns = [*(rows.column(i) for i in range(len(names))), listed, pa.array(np.diff(at)), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(columns, [*names, "ids", "n_pieces", "round_trip"])
 
-    return docs.select(*names, docs[text].alias("_text")).mapInArrow(run, schema)
+    return docs.select(*names, docs[text].alias(fresh(names, "_text"))).mapInArrow(run, schema)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

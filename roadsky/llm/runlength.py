@@ -134,11 +134,19 @@ def spans_of(docs: list[int], raws: list[bytes], length: int = LENGTH, gram: int
     at = (start - first[owner]) << 16 | tags
     key = (h[at_anchor] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
     order = np.lexsort((at, ids, span, key))
-    kind = np.zeros(len(order), np.int32)
-    kind[order[1:]] = (key[order][1:] == key[order][:-1]) & (span[order][1:] == span[order][:-1])
-    out = pd.DataFrame({"kind": kind, "key": key, "span": span.view(np.int64), "doc": ids, "at": at, "n": n.astype(np.int32)})
-    marks = merged_marks(out["doc"].to_numpy()[kind == 1], at[kind == 1], n[kind == 1])
-    return pd.concat([out[kind == 0], marks], ignore_index=True) if len(marks) else out
+    key, span, ids, at, n = (x[order] for x in (key, span, ids, at, n))
+    first_of, later = _leaders(key, span, ids, at)
+    out = pd.DataFrame({"kind": np.int32(_SPAN), "key": key, "span": span.view(np.int64), "doc": ids, "at": at, "n": n.astype(np.int32)})
+    marks = merged_marks(ids[later], at[later], n[later])
+    return pd.concat([out[first_of], marks], ignore_index=True) if len(marks) else out[first_of]
+
+
+def _leaders(key: np.ndarray, span: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows: which are the first of their span, and which stand later; a row listed twice is neither."""
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (span[1:] != span[:-1])
+    leader = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    return new, (doc != doc[leader]) | (at != at[leader])
 
 
 def merged_marks(doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> pd.DataFrame:
@@ -172,12 +180,11 @@ def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, span = rows["key"].to_numpy(), rows["span"].to_numpy()
         new_key = np.ones(len(rows), bool)
         new_key[1:] = key[1:] != key[:-1]
-        new_span = new_key.copy()
-        new_span[1:] |= span[1:] != span[:-1]
+        new_span, later = _leaders(key, span, rows["doc"].to_numpy(), rows["at"].to_numpy())
         group = np.cumsum(new_key) - 1
         different = np.bincount(group[new_span], minlength=group[-1] + 1)[group]
         kind = np.where(~new_span, _MARK, np.where(different > HOT_SPANS, _HOT, _PART))
-        keep = ~new_span | (different > 1)
+        keep = later | (new_span & (different > 1))
         return rows[keep].assign(kind=kind[keep].astype(np.int32))
 
     for frame in frames:
@@ -268,7 +275,8 @@ class RunLengthIndex:
 
 def shard_marks(frame: pd.DataFrame, length: int = LENGTH) -> pd.DataFrame:
     """Marks of the windows of a shard's spans that are not the first of their text."""
-    frame = frame.sort_values(["doc", "at"], kind="stable")
+    # a document listed twice has sent its spans twice
+    frame = frame.drop_duplicates(["doc", "at"]).sort_values(["doc", "at"], kind="stable")
     texts = [bytes(t) for t in frame["bytes"]]
     index = RunLengthIndex(texts, length)
     again = np.flatnonzero(index.repeats())

@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from roadsky.llm.common import table
+from roadsky.llm.common import fresh, table
 
 # The base kinds, in the order in which they are listed, with what a match must have.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -226,11 +226,11 @@ def random_spans(text: Column, base: Column, level: dict[str, int]) -> Column:
     )
 
 
-def with_spans(docs: DataFrame, level: dict[str, int]) -> DataFrame:
-    """Documents with ``_base`` and ``_spans``, each sorted by start and kind."""
+def with_spans(docs: DataFrame, level: dict[str, int], base: str = "_base", spans: str = "_spans") -> DataFrame:
+    """Documents with the spans of the patterns in ``base`` and all spans in ``spans``, each sorted by start and kind."""
     text = _whole(F.col("text"))
-    found = docs.withColumn("_base", base_spans(text))
-    return found.withColumn("_spans", F.array_sort(F.concat("_base", random_spans(text, F.col("_base"), level))))
+    found = docs.withColumn(base, base_spans(text))
+    return found.withColumn(spans, F.array_sort(F.concat(base, random_spans(text, F.col(base), level))))
 
 
 def _told(spans_of: Column) -> Column:
@@ -240,9 +240,10 @@ def _told(spans_of: Column) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """Documents with every secret in ``text`` replaced; spans that overlap become one mark. Other rows stay as they are."""
-    found = with_spans(docs, levels(docs))
-    text = F.col("text")
-    hit = F.size("_spans") > 0
+    names = [fresh(docs.columns, n) for n in ("_base", "_spans")]
+    found = with_spans(docs, levels(docs), *names)
+    text, every = F.col("text"), F.col(names[1])
+    hit = F.size(every) > 0
     start = F.struct(F.lit(0).alias("at"), F.expr("array()").cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -254,7 +255,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         )
 
     cut = F.aggregate(
-        F.col("_spans"), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+        every, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
     )
     done = found.withColumn("text", F.when(hit, cut).otherwise(text))
     if "n_chars" in docs.columns:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadsky.llm.common import spread_lookup, stored, table
+from roadsky.llm.common import fresh, spread_lookup, stored, table
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -252,10 +252,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One document of each group: that with the smallest id. Rows without an id stand behind all others."""
-    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))))
-    found = near_duplicates(named.select(F.col("_id").alias("doc_id"), "text"), shingle, max_bits)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return named.join(kept, "_id").dropDuplicates(["_id"]).select(*docs.columns)
+    own = fresh(docs.columns, "_id")
+    named = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))))
+    found = near_duplicates(named.select(F.col(own).alias("doc_id"), "text"), shingle, max_bits)
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    return named.join(kept, own).dropDuplicates([own]).select(*docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
