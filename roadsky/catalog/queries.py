@@ -31,7 +31,6 @@ from roadsky.schemas import (
 from roadsky.session import scratch_path
 from roadsky.sources import tables
 from roadsky.sources.modellog import resume_sweep
-from roadsky.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -325,13 +324,14 @@ _FRAME = [*WEATHER_PREDICTORS, *TRAFFIC_TARGETS]
   count_if("StartText" IS NOT NULL AND "WindChill(F)" IS NOT NULL) AS n_subset FROM clean""",
 )
 def complete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows before and after either deletion, counted in one scan."""
     df = clean.clean_exact(incidents(spark, sf_dir))
-    framed = clean.model_frame(df, WEATHER_PREDICTORS, TRAFFIC_TARGETS).select(F.lit("n_complete").alias("part"))
-    subset = clean.complete_rows(df, ["StartTime", "WindChill(F)"]).select(F.lit("n_subset").alias("part"))
-    everything = df.select(F.lit("n_rows").alias("part"))
-    parts = framed.unionByName(subset).unionByName(everything)
-    return parts.agg(
-        *[F.count_if(F.col("part") == name).alias(name) for name in ("n_rows", "n_complete", "n_subset")]
+    subset = clean.is_complete(df, ["StartTime", "WindChill(F)"])
+    df = clean.to_doubles(df.withColumn("in_subset", subset), _FRAME)
+    return df.agg(
+        F.count("*").alias("n_rows"),
+        F.count_if(clean.is_complete(df, _FRAME)).alias("n_complete"),
+        F.count_if("in_subset").alias("n_subset"),
     )
 
 
@@ -369,18 +369,24 @@ def _blank_sql(name: str) -> str:
     f"WITH {S.INCIDENTS_SQL} "
     + _missing_sql(
         "incidents",
-        {
-            "State": _blank_sql("State"),
-            "Congestion_Speed": _blank_sql("Congestion_Speed"),
-            "WindChill(F)": '"WindChill(F)" IS NULL',
-            "Weather_Conditions": _blank_sql("Weather_Conditions"),
-            "Distance(mi)": '"Distance(mi)" IS NULL',
+        # texts that are no number or time still hold a value: they are not missing
+        dict.fromkeys(
+            ["ID", "Severity", "StartTime", "EndTime", "DelayFromFreeFlowSpeed(mins)", "Precipitation(in)"], "FALSE"
+        )
+        | {name: _blank_sql(name) for name in ("State", "Congestion_Speed", "Weather_Conditions")}
+        | {
+            name: f"{S.q(name)} IS NULL"
+            for name in (
+                "Distance(mi)", "DelayFromTypicalTraffic(mins)", "Temperature(F)", "WindChill(F)", "Humidity(%)",
+                "Pressure(in)", "Visibility(mi)", "WindSpeed(mph)",
+            )
         },
     ),
 )
 def missing_share_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["State", "Congestion_Speed", "WindChill(F)", "Weather_Conditions", "Distance(mi)"]
-    return rounded(profile.missing_share(incidents(spark, sf_dir), names), "Missing_Percentage")
+    """Every column of the incidents."""
+    rows = incidents(spark, sf_dir)
+    return rounded(profile.missing_share(rows, rows.columns), "Missing_Percentage")
 
 
 _DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -425,7 +431,7 @@ FROM ranked WHERE place <= 20"""
 
 @query("top_values_lineitem", _top_sql("lineitem", _LINEITEM, ("l_discount", "l_tax")))
 def top_values_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
+    df = table(spark, sf_dir, "lineitem")
     df = df.withColumns({name: F.col(name) + F.lit(0.0) for name in ("l_discount", "l_tax")})
     return rounded(profile.top_values(df, _LINEITEM), "Percentage").withColumnRenamed("rank", "place")
 
@@ -438,7 +444,7 @@ def top_values_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(top, "Percentage").withColumnRenamed("rank", "place")
 
 
-_ORDER_COLUMNS = ["o_orderstatus", "o_orderdate", "o_orderpriority"]
+_ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
 @query("value_counts_orders", f'{_counts_sql("orders", _ORDER_COLUMNS)} SELECT * FROM counts')
@@ -525,16 +531,47 @@ def _register_fill(method: str, ranges: bool) -> None:
     @query(name, sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = readings(spark, sf_dir).drop("value")
-        # a limit of no rows sends every group through the spread path
-        limit = {"max_group_rows": 0} if ranges else {}
+        # many ranges, so that groups lie across their bounds
+        cut = 200 if ranges else None
         return fill.fill_missing(
-            rows, ["Weather_Conditions"], ["State"], "StartTime", ["ID"], method, **limit
+            rows, ["Weather_Conditions"], ["State"], "StartTime", ["ID"], method, cut
         ).select("ID", "State", "StartTime", "Weather_Conditions")
 
 
 for _method in fill.METHODS:
     _register_fill(_method, ranges=False)
-_register_fill("forward_then_backward", ranges=True)
+    _register_fill(_method, ranges=True)
+
+
+def _register_csv_fill(method: str) -> None:
+    moment = 'CAST("StartText" AS TIMESTAMPTZ)'
+    filled = _FILL_SQL[method].replace('"StartTime"', "start_utc")
+
+    @query(
+        f"csv_filled_incidents_{method}",
+        f"""WITH {S.INCIDENTS_SQL}, timed AS (SELECT "ID", "State",
+  CAST(timezone('UTC', {moment}) AS TIMESTAMP) AS start_utc, nullif(trim("Weather_Conditions"), '') AS "Weather_Conditions"
+  FROM incidents WHERE "State" IS NOT NULL)
+SELECT "ID", "State", start_utc, {filled} AS condition FROM timed""",
+    )
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Raw rows as CSV: scan, parse, filter, fill along time in each state, write Parquet, read back.
+
+        Many rows of a state share a time. In the file a blank condition is no condition.
+        """
+        raw = incidents(spark, sf_dir)
+        source, target = scratch_path(spark, "raw-csv"), scratch_path(spark, "filled-incidents")
+        tables.write_csv(raw, source)
+        filled = studies.filled_incidents(tables.read_incident_csv(spark, source, raw.schema), method)
+        slim = clean.renamed(filled, {"Weather_Conditions": "condition"}, drop=["Congestion_Speed", "EndTime"])
+        tables.write_parquet(slim, target, sort_by=["State", "StartTime"])
+        wall_clock = F.col("StartTime").cast("timestamp_ntz")
+        start = F.convert_timezone(F.current_timezone(), F.lit("UTC"), wall_clock).alias("start_utc")
+        return tables.read_parquet(spark, target).select("ID", "State", start, F.trim("condition").alias("condition"))
+
+
+for _method in ("first_seen", "forward_then_backward"):
+    _register_csv_fill(_method)
 
 
 # ---- regression sweeps -----------------------------------------------------
@@ -661,6 +698,62 @@ def traffic_to_weather_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(ols.run_sweep(*studies.weather_from_traffic_study(incidents(spark, sf_dir))))
 
 
+_STATUS_COLUMNS = {
+    "quantity": "l_quantity",
+    "twice": "2 * l_quantity + 1",
+    "tax": "l_tax",
+    "rare": "CASE WHEN l_orderkey = 1 AND l_linenumber = 1 THEN l_tax END",
+    "price": "l_extendedprice",
+    "flat": "5",
+    "wild": "CASE WHEN l_linenumber = 3 THEN CAST('Infinity' AS DOUBLE) ELSE l_discount END",
+}
+_STATUS_PREDICTORS, _STATUS_TARGETS = ["quantity", "twice", "tax", "rare"], ["price", "flat", "wild"]
+
+
+def _status_sql() -> str:
+    cells = ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in _STATUS_COLUMNS.items())
+    models = []
+    for target in _STATUS_TARGETS:
+        for names in (c for k in (1, 2) for c in combinations(_STATUS_PREDICTORS, k)):
+            known = " AND ".join(f"isfinite({n})" for n in (target, *names))
+            alike = f"abs(corr({names[0]}, {names[-1]})) > 1 - 1e-9" if len(names) > 1 else "FALSE"
+            models.append(
+                f"SELECT '{target}' AS target, '{'|'.join(names)}' AS predictors, {len(names)} AS p, count(*) AS n, "
+                f"var_pop({target}) < 1e-12 AS constant, coalesce({alike}, FALSE) AS alike FROM cells WHERE {known}"
+            )
+    told = """SELECT '{mode}' AS collinear, target, predictors, n, CASE WHEN n < p + 2 THEN 'INSUFFICIENT'
+  WHEN constant THEN 'CONSTANT_TARGET' WHEN alike THEN '{status}' ELSE 'OK' END AS status FROM models"""
+    modes = {"null": "SINGULAR", "shortest": "RANK_DEFICIENT"}
+    both = " UNION ALL ".join(told.format(mode=mode, status=status) for mode, status in modes.items())
+    return (
+        f"WITH cells AS (SELECT {cells} FROM lineitem), models AS ({' UNION ALL '.join(models)}) "
+        f"SELECT *, status NOT IN ('OK', 'RANK_DEFICIENT') AS without_measures FROM ({both})"
+    )
+
+
+@query("model_statuses", _status_sql())
+def model_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models that cannot be fitted, beside others that can: each is a row that tells why."""
+    lines = table(spark, sf_dir, "lineitem")
+    cells = lines.select(*[F.expr(f"CAST({e} AS DOUBLE)").alias(n) for n, e in _STATUS_COLUMNS.items()])
+    plan = plan_models(spark, _STATUS_TARGETS, _STATUS_PREDICTORS, 2)
+    found = None
+    for mode in ("null", "shortest"):
+        sweep = ols.prepare(
+            cells, _STATUS_PREDICTORS, _STATUS_TARGETS, log_label=False, missing="per_model", collinear=mode
+        )
+        models = ols.run_sweep(sweep, plan).select(
+            F.lit(mode).alias("collinear"),
+            "target",
+            F.array_join("predictors", "|").alias("predictors"),
+            "n",
+            "status",
+            F.col("r2").isNull().alias("without_measures"),
+        )
+        found = models if found is None else found.unionByName(models)
+    return found
+
+
 # ---- heteroskedasticity ----------------------------------------------------
 
 _ROBUST_BASE = S.robust(S.interaction_models(studies.HC3_TARGETS, studies.HC3_PREDICTORS))
@@ -841,7 +934,7 @@ _SCALED = ["l_quantity", "l_extendedprice", "l_tax"]
 )
 def standardised_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assembled vectors with mean 0 and sample deviation 1."""
-    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
+    lines = table(spark, sf_dir, "lineitem")
     vectors = standardise(assemble(lines.select("l_orderkey", "l_linenumber", *_SCALED), _SCALED))
     values = vector_to_array("scaled_features")
     scaled = vectors.select(

@@ -125,9 +125,20 @@ def to_doubles(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.withColumns({name: F.col(name).try_cast("double") for name in names})
 
 
+def is_complete(df: DataFrame, names: Sequence[str]) -> Column:
+    """Whether a row has a value in all of these columns: no null, no NaN, no infinity."""
+    kinds = dict(df.dtypes)
+    held = []
+    for name in names:
+        held.append(F.col(name).isNotNull())
+        if kinds[name] in ("double", "float"):
+            held.append(F.abs(F.col(name)) < float("inf"))
+    return reduce(and_, held)
+
+
 def complete_rows(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """Rows without null or NaN in these columns (all columns by default)."""
-    return df.na.drop("any", subset=list(names) if names else None)
+    """Rows that are complete in these columns (all columns by default)."""
+    return df.filter(is_complete(df, list(names or df.columns)))
 
 
 def not_null_rows(df: DataFrame, *names: str) -> DataFrame:

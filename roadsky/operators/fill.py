@@ -5,13 +5,19 @@
 ``forward_then_backward``  forward, then backward for what is still missing
 ``first_seen``    earliest value of the group up to the row
 
-Rows are ordered by time and then by the ``tie`` columns, which should tell
-apart rows of a group at one time; if they do not, the order of those is open.
+Rows are ordered by time, then by the ``tie`` columns, and last by a hash of
+the whole row. So the order does not depend on how the rows are partitioned;
+rows that are equal in every column change places freely without effect.
+
+One way serves all sizes. The rows are dealt into ranges of (group, order) and
+written once; each range of a group is filled by itself, and what the ranges
+before and after it hold is carried over, at most two small rows a range. A
+group of any size falls into as many ranges as its rows need, and no row is
+looked up by its key.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
@@ -19,13 +25,10 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadsky.session import shared_folder
-
-# The driver samples some keys per range to place the bounds. Beyond this many
-# ranges they grow in rows instead; a range is sorted with spilling.
-MAX_RANGES = 20_000
+from roadsky.session import scratch_path
 
 METHODS = ("forward", "backward", "forward_then_backward", "first_seen")
+_ROW, _OTHER, _RANGE = "_row_hash", "_row_check", "_range"
 
 
 def fill_missing(
@@ -33,27 +36,79 @@ def fill_missing(
     values: Sequence[str],
     group: Sequence[str],
     time: str,
-    tie: Sequence[str],
+    tie: Sequence[str] = (),
     method: str = "forward",
-    max_group_rows: int = 2_000_000,
-    range_rows: int = 5_000_000,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Fill ``values`` within ``group`` along ``time``.
 
-    One cheap aggregation finds the largest group. Up to ``max_group_rows`` a
-    window per group does it in one shuffle. Beyond that a group would be too
-    much for one task, and :func:`fill_by_ranges` spreads it over ranges of
-    about ``range_rows`` rows.
+    ``ranges`` is the number of ranges, by default that of shuffle partitions;
+    the result is the same for any number.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
-    sizes = df.groupBy(*group).count().agg(F.max("count"), F.sum("count")).first()
-    largest, rows = sizes[0] or 0, sizes[1] or 0
-    if largest <= max_group_rows:
-        return fill_by_group(df, values, group, time, tie, method)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    ranges = min(max(math.ceil(rows / range_rows), cores), MAX_RANGES)
-    return fill_by_ranges(df, values, group, time, tie, method, ranges)
+    order = [time, *tie, _ROW, _OTHER]
+    parts = [*group, _RANGE]
+    whole = [F.col(f"`{name}`") for name in df.columns]
+    hashed = df.withColumns({_ROW: F.xxhash64(*whole), _OTHER: F.hash(*whole)})
+    keys = [*group, *order]
+    dealt = hashed.repartitionByRange(ranges, *keys) if ranges else hashed.repartitionByRange(*keys)
+    # The bounds come from a sample and the rows are read twice below: written once, they stay as they are.
+    path = scratch_path(df.sparkSession, "fill")
+    dealt = dealt.withColumn(_RANGE, F.spark_partition_id())
+    dealt.write.parquet(path)
+    rows = df.sparkSession.read.schema(dealt.schema).parquet(path)
+
+    carry = _carried(rows, values, group, order)
+    same_part = reduce(and_, [F.col(name).eqNullSafe(F.col(f"_c_{name}")) for name in parts])
+    along, against = _windows(parts, order)
+    local = rows.withColumns(
+        {
+            key: value
+            for v in values
+            for key, value in (
+                (f"_fwd_{v}", F.last(v, ignorenulls=True).over(along)),
+                (f"_bwd_{v}", F.last(v, ignorenulls=True).over(against)),
+                (f"_first_{v}", F.first(v, ignorenulls=True).over(along)),
+            )
+        }
+    )
+    found = {
+        v: _pick(
+            method,
+            F.col(v),
+            F.coalesce(f"_fwd_{v}", f"_from_before_{v}"),
+            F.coalesce(f"_bwd_{v}", f"_from_behind_{v}"),
+            F.coalesce(f"_earliest_{v}", f"_first_{v}"),
+        ).alias(v)
+        for v in values
+    }
+    joined = local.join(F.broadcast(carry), same_part, "left")
+    return joined.select(*[found.get(name, F.col(f"`{name}`")) for name in df.columns])
+
+
+def _carried(rows: DataFrame, values: Sequence[str], group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """What each range of a group gets from the ranges before and behind it.
+
+    Only a group's ranges take part here, not its rows. A range is entered by
+    one group from before and left by one, so at most two rows a range remain.
+    """
+    parts = [*group, _RANGE]
+    moment = F.struct(*order)
+    ends = rows.groupBy(*parts).agg(
+        *[F.min_by(F.col(v), F.when(F.col(v).isNotNull(), moment)).alias(f"_head_{v}") for v in values],
+        *[F.max_by(F.col(v), F.when(F.col(v).isNotNull(), moment)).alias(f"_tail_{v}") for v in values],
+    )
+    before = Window.partitionBy(*group).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy(*group).orderBy(F.desc(_RANGE)).rowsBetween(Window.unboundedPreceding, -1)
+    carried = {}
+    for v in values:
+        carried[f"_from_before_{v}"] = F.last(f"_tail_{v}", ignorenulls=True).over(before)
+        carried[f"_from_behind_{v}"] = F.last(f"_head_{v}", ignorenulls=True).over(behind)
+        carried[f"_earliest_{v}"] = F.first(f"_head_{v}", ignorenulls=True).over(before)
+    useful = reduce(or_, [F.col(name).isNotNull() for name in carried])
+    carry = ends.withColumns(carried).select(*parts, *carried).filter(useful)
+    return carry.withColumnsRenamed({name: f"_c_{name}" for name in parts})
 
 
 def _pick(method: str, value: Column, forward: Column, backward: Column, first: Column) -> Column:
@@ -75,121 +130,3 @@ def _windows(parts: Sequence[str], order: Sequence[str]) -> tuple:
     along = Window.partitionBy(*parts).orderBy(*order)
     against = Window.partitionBy(*parts).orderBy(*[F.desc(name) for name in order])
     return tuple(w.rowsBetween(Window.unboundedPreceding, 0) for w in (along, against))
-
-
-def fill_by_group(
-    df: DataFrame,
-    values: Sequence[str],
-    group: Sequence[str],
-    time: str,
-    tie: Sequence[str],
-    method: str = "forward",
-) -> DataFrame:
-    """One window per group: a single shuffle on the group columns."""
-    along, against = _windows(group, [time, *tie])
-    return df.withColumns(
-        {
-            name: _pick(
-                method,
-                F.col(name),
-                F.last(name, ignorenulls=True).over(along),
-                F.last(name, ignorenulls=True).over(against),
-                F.first(name, ignorenulls=True).over(along),
-            )
-            for name in values
-        }
-    )
-
-
-def fill_by_ranges(
-    df: DataFrame,
-    values: Sequence[str],
-    group: Sequence[str],
-    time: str,
-    tie: Sequence[str],
-    method: str,
-    ranges: int,
-) -> DataFrame:
-    """The same result for groups of any size.
-
-    Only the key and value columns are range-partitioned by (group, time, tie),
-    so a large group falls into many ranges. Each range is filled by itself;
-    a group's last and first value per range carry over to the ranges after
-    and before it. The wide rows are never sorted: those without a gap pass
-    straight through, and those with one fetch their value by key.
-    """
-    shared_folder(df.sparkSession)
-    keys = [*group, time, *tie]
-    parts = [*group, "_range"]
-    # The range number is used on two paths and the range bounds come from a
-    # sample, so the partitioned rows are written once.
-    rows = (
-        df.select(*keys, *values)
-        .repartitionByRange(ranges, *keys)
-        .withColumn("_range", F.spark_partition_id())
-        .checkpoint()
-    )
-
-    moment = F.struct(time, *tie)
-    ends = rows.groupBy(*parts).agg(
-        *[F.min_by(F.col(v), F.when(F.col(v).isNotNull(), moment)).alias(f"_head_{v}") for v in values],
-        *[F.max_by(F.col(v), F.when(F.col(v).isNotNull(), moment)).alias(f"_tail_{v}") for v in values],
-    )
-    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    behind = (
-        Window.partitionBy(*group).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = {}
-    for v in values:
-        carried[f"_from_before_{v}"] = F.last(f"_tail_{v}", ignorenulls=True).over(before)
-        carried[f"_from_behind_{v}"] = F.last(f"_head_{v}", ignorenulls=True).over(behind)
-        carried[f"_earliest_{v}"] = F.first(f"_head_{v}", ignorenulls=True).over(before)
-    # A range is entered by at most one group from before and left by at most
-    # one, so at most two rows per range remain here.
-    carry = (
-        ends.withColumns(carried)
-        .select(*parts, *carried)
-        .filter(reduce(or_, [F.col(name).isNotNull() for name in carried]))
-    )
-    carry = carry.withColumnsRenamed({name: f"_c_{name}" for name in parts})
-    same_part = reduce(and_, [F.col(name).eqNullSafe(F.col(f"_c_{name}")) for name in parts])
-
-    along, against = _windows(parts, [time, *tie])
-    local = rows.withColumns(
-        {
-            key: value
-            for v in values
-            for key, value in (
-                (f"_fwd_{v}", F.last(v, ignorenulls=True).over(along)),
-                (f"_bwd_{v}", F.last(v, ignorenulls=True).over(against)),
-                (f"_first_{v}", F.first(v, ignorenulls=True).over(along)),
-            )
-        }
-    )
-    gaps = local.filter(reduce(or_, [F.col(v).isNull() for v in values]))
-    found = gaps.join(F.broadcast(carry), same_part, "left").select(
-        *[F.col(name).alias(f"_k_{name}") for name in keys],
-        *[
-            _pick(
-                method,
-                F.col(v),
-                F.coalesce(f"_fwd_{v}", f"_from_before_{v}"),
-                F.coalesce(f"_bwd_{v}", f"_from_behind_{v}"),
-                F.coalesce(f"_earliest_{v}", f"_first_{v}"),
-            ).alias(f"_found_{v}")
-            for v in values
-        ],
-    )
-    # One row per key, so that the join below can never multiply rows.
-    lookup = found.groupBy(*[f"_k_{name}" for name in keys]).agg(
-        *[F.max(f"_found_{v}").alias(f"_found_{v}") for v in values]
-    )
-    whole = reduce(and_, [F.col(v).isNotNull() for v in values])
-    same_key = reduce(and_, [F.col(name).eqNullSafe(F.col(f"_k_{name}")) for name in keys])
-    filled = df.filter(~whole).join(lookup, same_key, "left").select(
-        *[
-            F.coalesce(name, f"_found_{name}").alias(name) if name in values else F.col(name)
-            for name in df.columns
-        ]
-    )
-    return df.filter(whole).unionByName(filled)

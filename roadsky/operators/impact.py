@@ -103,7 +103,9 @@ def crosstab_share(
     counts = df.groupBy(rows).pivot(columns, list(levels)).agg(measure).na.fill(0, list(levels))
     total = sum((F.col(level) for level in levels), F.lit(0))
     return counts.select(
-        rows, *[F.round(100.0 * F.col(level) / total, 2).alias(level) for level in levels]
+        # a group that has none of the levels has no share of them
+        rows,
+        *[F.round(F.coalesce(F.try_divide(100.0 * F.col(level), total), F.lit(0.0)), 2).alias(level) for level in levels],
     )
 
 

@@ -116,6 +116,11 @@ class Layout:
         return self.at[self.labels[target]]
 
 
+def finite(number: Column) -> Column:
+    """NaN and infinities hold no measurement: they count as missing."""
+    return F.when(F.abs(number) < float("inf"), number)
+
+
 def prepare(
     df: DataFrame,
     predictors: Sequence[str],
@@ -137,7 +142,7 @@ def prepare(
         if isinstance(df.schema[name].dataType, T.StringType):
             raise ValueError(f"target is not numeric: {name}")
     names = list(dict.fromkeys([*predictors, *targets]))
-    frame = df.select(*[F.col(name).try_cast("double").alias(name) for name in names])
+    frame = df.select(*[finite(F.col(name).try_cast("double")).alias(name) for name in names])
     if missing == "global":
         frame = frame.na.drop()
     labels = {name: name for name in targets}
@@ -180,6 +185,9 @@ def solve(table: np.ndarray, shift: np.ndarray, collinear: str) -> Fit:
     """Least squares from a model's moments about ``shift``: its terms, then its label."""
     n = table[0, 0]
     size = len(shift) - 1
+    if not np.isfinite(table).all():
+        # sums beyond the range of doubles: no measure of this model can be told
+        return Fit("OVERFLOW", int(round(n)) if np.isfinite(n) else 0)
     if n < size + 2:
         return Fit("INSUFFICIENT", int(round(n)))
     x, y = slice(1, -1), -1

@@ -22,8 +22,10 @@ def resume_sweep(
     """Run the models the log lacks, append them in one commit, return the whole log.
 
     A run that is lost midway appends nothing, so it can simply be started
-    again. ``run`` turns a plan into model results.
+    again. ``run`` turns a plan into model results; it is not called where
+    nothing is left to do.
     """
     pending = pending_models(plan, finished_models(spark, path))
-    append_parquet(run(pending), path)
+    if not pending.isEmpty():
+        append_parquet(run(pending), path)
     return finished_models(spark, path)

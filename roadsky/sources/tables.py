@@ -23,16 +23,6 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Shuffle by key only where a scan has fewer splits than the session has cores.
-
-    A small file in one piece would keep one core busy. A large table has many
-    splits, and is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_incident_csv(
     spark: SparkSession,
     path: str,

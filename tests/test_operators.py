@@ -105,39 +105,57 @@ def series(spark):
 
 
 @pytest.mark.parametrize("method", fill.METHODS)
-def test_fills_match_brute_force(series, method):
+@pytest.mark.parametrize("ranges", [None, 1, 23])
+def test_fills_match_brute_force(series, method, ranges):
     rows, df = series
-    expected = brute_fill(rows, method)
-    grouped = fill.fill_missing(df, ["v"], ["g"], "t", ["id"], method)
-    spread = fill.fill_by_ranges(df, ["v"], ["g"], "t", ["id"], method, ranges=23)
-    for filled in (grouped, spread):
-        assert filled.columns == df.columns
-        found = [(row.id, row.v) for row in filled.collect()]
-        assert len(found) == len(rows) and dict(found) == expected
+    filled = fill.fill_missing(df, ["v"], ["g"], "t", ["id"], method, ranges)
+    assert filled.columns == df.columns
+    found = [(row.id, row.v) for row in filled.collect()]
+    assert len(found) == len(rows) and dict(found) == brute_fill(rows, method)
 
 
-def test_fill_chooses_by_largest_group(series):
-    rows, df = series
-    spread = fill.fill_missing(df, ["v"], ["g"], "t", ["id"], "forward", max_group_rows=100, range_rows=100)
-    assert {row.id: row.v for row in spread.collect()} == brute_fill(rows, "forward")
+def test_fill_knows_its_methods(series):
     with pytest.raises(ValueError, match="method"):
-        fill.fill_missing(df, ["v"], ["g"], "t", ["id"], "sideways")
+        fill.fill_missing(series[1], ["v"], ["g"], "t", ["id"], "sideways")
 
 
-def test_ranges_keep_rows_that_share_a_key(spark):
+@pytest.mark.parametrize("method", fill.METHODS)
+def test_ties_do_not_depend_on_partitions(spark, method):
+    """Equal times without a tie column: the same rows for any partitions and ranges, told by the order of the row hash."""
+    rng = random.Random(4)
+    pick = lambda: rng.choice(["a", "b", "c", None, None])
+    rows = [(f"g{rng.randrange(3)}", rng.randrange(4), pick(), pick(), i) for i in range(120)]
+    rows += rows[:20]
+    frame = spark.createDataFrame(rows, "g string, t int, v string, w string, x int")
+    results = [
+        sorted(map(tuple, fill.fill_missing(frame.repartition(p), ["v", "w"], ["g"], "t", [], method, r).collect()), key=str)
+        for p, r in ((3, None), (7, 1), (5, 29))
+    ]
+    assert results[0] == results[1] == results[2]
+    # both columns follow one order of the rows
+    whole = [F.col(c) for c in frame.columns]
+    keyed = frame.withColumns({"h": F.xxhash64(*whole), "k": F.hash(*whole)}).collect()
+    expected = []
+    for column in (2, 3):
+        plain = [(r["g"], (r["t"], r["h"], r["k"]), i, r[column]) for i, r in enumerate(keyed)]
+        expected.append(brute_fill(plain, method))
+    told = [(r["g"], r["t"], expected[0][i], expected[1][i], r["x"]) for i, r in enumerate(keyed)]
+    assert results[0] == sorted(told, key=str)
+
+
+def test_rows_that_share_a_key_stay(spark):
     rows = [("x", 1, 7, "a"), ("x", 1, 7, None), ("x", 1, 7, None), (None, 2, 8, None), (None, 1, 9, "n")]
     df = spark.createDataFrame(rows, "g string, t int, id int, v string")
-    spread = fill.fill_by_ranges(df, ["v"], ["g"], "t", ["id"], "forward_then_backward", ranges=3)
-    assert sorted(row.v for row in spread.collect()) == ["a", "a", "a", "n", "n"]
+    for ranges in (None, 3):
+        filled = fill.fill_missing(df, ["v"], ["g"], "t", ["id"], "forward_then_backward", ranges)
+        assert sorted(row.v for row in filled.collect()) == ["a", "a", "a", "n", "n"]
 
 
 def test_fill_several_columns(spark):
     rows = [("x", 1, "a", None), ("x", 2, None, 5), ("x", 3, None, None), ("x", 4, "d", 6)]
     df = spark.createDataFrame(rows, "g string, t int, v string, w int")
-    for filled in (
-        fill.fill_missing(df, ["v", "w"], ["g"], "t", [], "forward"),
-        fill.fill_by_ranges(df, ["v", "w"], ["g"], "t", [], "forward", ranges=3),
-    ):
+    for ranges in (None, 3):
+        filled = fill.fill_missing(df, ["v", "w"], ["g"], "t", [], "forward", ranges)
         found = sorted((row.t, row.v, row.w) for row in filled.collect())
         assert found == [(1, "a", None), (2, "a", 5), (3, "a", 5), (4, "d", 6)]
 
