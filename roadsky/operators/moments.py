@@ -2,23 +2,29 @@
 
 Every ordinary least squares fit over any subset of columns follows from the
 sums of z z' with z = (1, columns, products of column pairs). A task adds up
-its own rows and hands on one small table; Spark sums the tables by position.
-What reaches the driver depends on the number of columns, never on the rows.
+its own rows and hands on one table; Spark sums the tables.
 
 Rows may lack values. Sums are kept apart by *which* columns a row lacks (a
 bit mask), so the rows complete for one model are the masks that miss none of
-its columns, and per-model deletion needs no further pass.
+its columns, and per-model deletion needs no further pass. Tables stay rows of
+a DataFrame, one a mask, summed in two steps; each model is sent its own small
+block of them. Only masks that occur cost anything, and none reaches the
+driver.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from roadsky.session import scratch_path
 
 # A column whose mean lies further than this many standard deviations from the
 # shift loses more than six of sixteen digits; the pass is then repeated about
@@ -26,8 +32,8 @@ from pyspark.sql import functions as F
 _FAR = 1000.0
 # Tables a task holds before it hands them on.
 _HELD_TABLES = 512
-# Tables kept per mask may take this many bytes at most; see `mask_bytes`.
-MASK_BUDGET = 128 * 1024 * 1024
+# Parts in which the tables of one mask are summed first.
+_BUCKETS = 64
 
 
 def read_blocks(batches: Iterable[pa.RecordBatch], rows: int = 8192) -> Iterator[np.ndarray]:
@@ -63,128 +69,96 @@ def _cross_products(block: np.ndarray, shift: np.ndarray) -> np.ndarray:
     return z @ z.T
 
 
-def _upper(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.triu_indices(size)
-
+def source_masks(columns: int, pairs: Sequence[tuple[int, int]]) -> list[int]:
+    """Mask of source columns behind each basis column."""
+    return [1 << i for i in range(columns)] + [(1 << a) | (1 << b) for a, b in pairs]
 
-def _table(sums: dict[int, np.ndarray], size: int) -> pa.RecordBatch:
-    rows, cols = _upper(size)
-    position = np.tile((rows * size + cols).astype(np.int32), len(sums))
-    mask = np.repeat(np.fromiter(sums, np.int64, len(sums)), len(rows))
-    value = np.concatenate([table[rows, cols] for table in sums.values()]) if sums else np.empty(0)
-    return pa.RecordBatch.from_pydict({"mask": mask, "position": position, "v": value})
 
-
-def _mirrored(tables: np.ndarray) -> np.ndarray:
-    """Full tables from their upper triangles."""
-    return np.triu(tables) + np.triu(tables, 1).transpose(0, 2, 1)
+def mask_of(needed: Sequence[int], basis: Sequence[int]) -> int:
+    """All source columns behind some basis columns."""
+    return int(np.bitwise_or.reduce([needed[i] for i in basis]))
 
 
 @dataclass
 class Moments:
-    """Cross-products about ``shift``, one (1 + k) x (1 + k) table per mask."""
+    """Cross-products about ``shift``: a DataFrame of (mask, table)."""
 
     columns: list[str]
     pairs: list[tuple[int, int]]
     shift: np.ndarray
-    masks: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    tables: np.ndarray | None = None
-
-    def complete(self, needed: int, basis: Sequence[int]) -> np.ndarray:
-        """Table of some basis columns over the rows that miss none of the ``needed`` mask."""
-        index = np.array([0, *[i + 1 for i in basis]])
-        chosen = np.flatnonzero((self.masks & needed) == 0)
-        if not len(chosen):
-            return np.zeros((len(index), len(index)))
-        return self.tables[np.ix_(chosen, index, index)].sum(axis=0)
-
-    def means(self) -> np.ndarray:
-        """Mean of each basis column over the rows that have it."""
-        found = self.shift.copy()
-        for i, needed in enumerate(self.needed()):
-            table = self.complete(needed, [i])
-            if table[0, 0] > 0:
-                found[i] += table[0, 1] / table[0, 0]
-        return found
-
-    def needed(self) -> list[int]:
-        """Mask of source columns behind each basis column."""
-        single = [1 << i for i in range(len(self.columns))]
-        return single + [(1 << a) | (1 << b) for a, b in self.pairs]
-
-    def is_far(self) -> bool:
-        """Whether some column's mean is too far from the shift for its spread."""
-        for i, needed in enumerate(self.needed()):
-            table = self.complete(needed, [i])
+    tables: DataFrame
+
+    def blocks(self, models: dict[int, Sequence[int]]) -> DataFrame:
+        """(model_id, block): the table of each model's basis columns over the rows complete for it.
+
+        ``models`` maps a model to its basis columns. A model without rows has no block.
+        """
+        needed = source_masks(len(self.columns), self.pairs)
+        size = 1 + len(needed)
+        by_width = defaultdict(list)
+        for key, basis in models.items():
+            by_width[len(basis)].append((key, mask_of(needed, basis), [0, *[i + 1 for i in basis]]))
+        groups = [tuple(np.array(x, np.int64) for x in zip(*rows, strict=True)) for rows in by_width.values()]
+
+        def pick(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums = [np.zeros((len(keys), index.shape[1], index.shape[1])) for keys, _, index in groups]
+            seen = [np.zeros(len(keys), bool) for keys, _, _ in groups]
+            for frame in frames:
+                for mask, data in zip(frame["mask"], frame["table"], strict=True):
+                    table = np.frombuffer(data).reshape(size, size)
+                    for (_, masks, index), own, met in zip(groups, sums, seen, strict=True):
+                        fits = np.flatnonzero((masks & mask) == 0)
+                        at = index[fits]
+                        own[fits] += table[at[:, :, None], at[:, None, :]]
+                        met[fits] = True
+            for (keys, _, _), own, met in zip(groups, sums, seen, strict=True):
+                yield pd.DataFrame({"model_id": keys[met], "table": [x.tobytes() for x in own[met]]})
+
+        parts = self.tables.mapInPandas(pick, "model_id long, table binary")
+        return _summed(parts, ["model_id"], "model_id long").withColumnRenamed("table", "block")
+
+    def column_means(self) -> tuple[np.ndarray, bool]:
+        """Mean of each basis column over the rows that have it, and whether one is too far from the shift for its
+        spread. A column without spread loses nothing: its products are those of one number."""
+        found, far = self.shift.copy(), False
+        alone = {i: [i] for i in range(len(self.shift))}
+        for row in self.blocks(alone).collect():  # one row a column
+            table = np.frombuffer(row["block"]).reshape(2, 2)
             n, total, square = table[0, 0], table[0, 1], table[1, 1]
             if n > 0:
                 mean = total / n
                 spread = square / n - mean * mean
-                if mean * mean > _FAR * _FAR * max(spread, 0.0):
-                    return True
-        return False
+                found[row["model_id"]] += mean
+                far |= bool(spread > 1e-14 * mean * mean and mean * mean > _FAR * _FAR * spread)
+        return found, far
 
 
-def mask_bytes(may_lack: int, basis: int) -> int:
-    """Largest possible size of the per-mask tables: known before any row is read."""
-    return 2**may_lack * (basis + 1) * (basis + 2) // 2 * 8
+def _summed(parts: DataFrame, keys: list[str], schema: str) -> DataFrame:
+    """Tables added up by key."""
 
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(x) for x in frame["table"]], axis=0)
+        return frame[keys].head(1).assign(table=[total.tobytes()])
 
-def collect_model_moments(
-    frame: DataFrame,
-    columns: Sequence[str],
-    pairs: Sequence[tuple[int, int]],
-    models: dict[int, list[int]],
-) -> dict[int, Moments]:
-    """Moments per model, for data whose masks could be too many to keep apart.
+    return parts.groupBy(*keys).applyInPandas(add, f"{schema}, table binary")
 
-    ``models`` maps a model to its basis columns. Each model's sums run over
-    the rows complete for it, about the shift zero and then, where needed,
-    about the means of the first pass.
-    """
-    columns, pairs = list(columns), list(pairs)
-    needed = Moments(columns, pairs, np.zeros(0)).needed()
-    masks = {key: int(np.bitwise_or.reduce([needed[i] for i in basis])) for key, basis in models.items()}
-    shifts = {key: np.zeros(len(basis)) for key, basis in models.items()}
-    result: dict[int, Moments] = {}
-
-    def run(todo: dict[int, list[int]]) -> None:
-        todo_shifts = {key: shifts[key] for key in todo}
-
-        def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, np.ndarray] = {}
-            for block in read_blocks(batches):
-                rows_lack, basis = masks_of(block), extend(block, pairs)
-                for key, chosen in todo.items():
-                    rows = basis[chosen][:, (rows_lack & masks[key]) == 0]
-                    part = _cross_products(rows, todo_shifts[key])
-                    sums[key] = sums[key] + part if key in sums else part
-            for key, table in sums.items():
-                yield _table({key: table}, len(table))
-
-        parts = frame.select(*columns).mapInArrow(partial, "mask long, position int, v double")
-        summed = parts.groupBy("mask", "position").agg(F.sum("v").alias("v")).toPandas()
-        for key, rows in summed.groupby("mask"):
-            size = 1 + len(todo[key])
-            table = np.zeros(size * size)
-            table[rows["position"].to_numpy()] = rows["v"].to_numpy()
-            names = [str(i) for i in todo[key]]
-            tables = _mirrored(table.reshape(1, size, size))
-            result[int(key)] = Moments(names, [], shifts[key], np.zeros(1, np.int64), tables)
-
-    run(models)
-    far = {key: models[key] for key, own in result.items() if own.is_far()}
-    if far:
-        shifts.update({key: result[key].means() for key in far})
-        run(far)
-    return result
-
-
-def _collect(frame: DataFrame, columns: list[str], pairs: list, shift: np.ndarray) -> Moments:
-    size = 1 + len(columns) + len(pairs)
+
+def _pass(frame: DataFrame, columns: list[str], pairs: list, shift: np.ndarray) -> Moments:
+    """One pass over the data; the summed tables are written, since they are read more than once."""
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
+        bucket = TaskContext.get().partitionId() % _BUCKETS
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict(
+                {
+                    "mask": np.fromiter(sums, np.int64, len(sums)),
+                    "bucket": np.full(len(sums), bucket, np.int32),
+                    "table": pa.array([x.tobytes() for x in sums.values()], pa.binary()),
+                }
+            )
+
         for block in read_blocks(batches):
             masks = masks_of(block)
             basis = extend(block, pairs)
@@ -196,25 +170,22 @@ def _collect(frame: DataFrame, columns: list[str], pairs: list, shift: np.ndarra
                 part = _cross_products(rows, shift)
                 sums[mask] = sums[mask] + part if mask in sums else part
             if len(sums) > _HELD_TABLES:
-                yield _table(sums, size)
+                yield out()
                 sums = {}
         if sums:
-            yield _table(sums, size)
+            yield out()
 
-    parts = frame.select(*columns).mapInArrow(partial, "mask long, position int, v double")
-    summed = parts.groupBy("mask", "position").agg(F.sum("v").alias("v")).toPandas()
-    masks, at = np.unique(summed["mask"].to_numpy(), return_inverse=True)
-    tables = np.zeros((len(masks), size * size))
-    tables[at, summed["position"].to_numpy()] = summed["v"].to_numpy()
-    return Moments(columns, pairs, shift, masks, _mirrored(tables.reshape(-1, size, size)))
+    parts = frame.select(*columns).mapInArrow(partial, "mask long, bucket int, table binary")
+    first = _summed(parts, ["mask", "bucket"], "mask long, bucket int")
+    tables = _summed(first.drop("bucket"), ["mask"], "mask long")
+    path = scratch_path(frame.sparkSession, "moments")
+    tables.write.parquet(path)
+    return Moments(columns, pairs, shift, frame.sparkSession.read.schema(tables.schema).parquet(path))
 
 
-def collect_moments(
-    frame: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[int, int]] = ()
-) -> Moments:
+def moments_of(frame: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[int, int]] = ()) -> Moments:
     """Moments of double columns: one pass, and a second only if digits were at stake."""
     columns, pairs = list(columns), list(pairs)
-    moments = _collect(frame, columns, pairs, np.zeros(len(columns) + len(pairs)))
-    if moments.is_far():
-        moments = _collect(frame, columns, pairs, moments.means())
-    return moments
+    found = _pass(frame, columns, pairs, np.zeros(len(columns) + len(pairs)))
+    means, far = found.column_means()
+    return _pass(frame, columns, pairs, means) if far else found

@@ -8,6 +8,7 @@ over what the solver returns.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
 from itertools import combinations
@@ -59,8 +60,6 @@ class Sweep:
     ``standardised`` predictors scaled to mean 0 and sample deviation 1
     ``collinear``    "null": no measures for a rank-deficient model;
                      "shortest": the solution of least length
-    ``gaps``         how many columns may lack values, where the schema of the
-                     frame no longer tells
     """
 
     frame: DataFrame
@@ -69,14 +68,6 @@ class Sweep:
     interactions: bool = False
     standardised: bool = False
     collinear: str = "null"
-    gaps: int | None = None
-
-    @property
-    def may_lack(self) -> int:
-        """How many columns may have missing values, as far as the schema tells."""
-        if self.gaps is not None:
-            return self.gaps
-        return sum(self.frame.schema[name].nullable for name in self.columns)
 
     @property
     def columns(self) -> list[str]:
@@ -161,7 +152,7 @@ def staged(sweep: Sweep, path: str) -> Sweep:
     """
     sweep.frame.write.mode("overwrite").parquet(path)
     copy = sweep.frame.sparkSession.read.schema(sweep.frame.schema).parquet(path)
-    return replace(sweep, frame=copy, gaps=sweep.may_lack)
+    return replace(sweep, frame=copy)
 
 
 @dataclass
@@ -269,63 +260,50 @@ def _row(fit: Fit, standardised: bool) -> dict:
     return row
 
 
-def solve_plan(sweep: Sweep, plan: DataFrame, moments=None) -> DataFrame:
-    """Solved models of a plan: coefficients, errors, p-values and sums of squares."""
-    moments = moments or gather(sweep, plan)
+def gather(sweep: Sweep) -> M.Moments:
+    """Run the data pass of a sweep."""
+    return M.moments_of(sweep.frame, sweep.columns, sweep.pairs)
+
+
+def solve_plan(sweep: Sweep, plan: DataFrame, moments: M.Moments | None = None, keep_fit: bool = False) -> DataFrame:
+    """Solved models of a plan: coefficients, errors, p-values and sums of squares.
+
+    ``keep_fit`` adds the whole fit, for what is computed from it later.
+    """
+    moments = moments or gather(sweep)
     layout = sweep.layout()
+    bases = {
+        row.model_id: [*layout.terms(row.predictors), layout.label(row.target)]
+        for row in plan.select("model_id", "target", "predictors").toLocalIterator()
+    }
+    shift = moments.shift
+    schema = T.StructType([*_SOLVED.fields, *([T.StructField("fit", T.BinaryType())] if keep_fit else [])])
 
     def solver(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for model in frame.itertuples(index=False):
-                fit = fit_model(moments, layout, model.model_id, model.target, list(model.predictors))
+                basis = [*layout.terms(list(model.predictors)), layout.label(model.target)]
+                if model.block is None:
+                    fit = Fit("INSUFFICIENT", 0)
+                else:
+                    table = np.frombuffer(model.block).reshape(len(basis) + 1, -1)
+                    fit = solve(table, shift[basis], layout.collinear)
                 # arrays of unfitted models must be None, not a missing key
-                row = dict.fromkeys(_SOLVED.names) | _row(fit, layout.standardised)
+                row = dict.fromkeys(schema.names) | _row(fit, layout.standardised)
                 row |= {
                     "model_id": model.model_id,
                     "target": model.target,
                     "predictors": list(model.predictors),
                     "formula": model.formula,
                 }
+                if keep_fit:
+                    row["fit"] = pickle.dumps(vars(fit))
                 rows.append(row)
-            yield pd.DataFrame(rows, columns=_SOLVED.names)
-
-    return plan.mapInPandas(solver, _SOLVED)
+            yield pd.DataFrame(rows, columns=schema.names)
 
-
-@dataclass
-class Gathered:
-    """Result of the data pass: shared tables, or one per model."""
-
-    shared: M.Moments | None
-    per_model: dict[int, M.Moments] | None = None
-
-
-def gather(sweep: Sweep, plan: DataFrame, mask_budget: int = M.MASK_BUDGET) -> Gathered:
-    """Run the data pass for a plan."""
-    columns, pairs = sweep.columns, sweep.pairs
-    if M.mask_bytes(sweep.may_lack, len(columns) + len(pairs)) <= mask_budget:
-        return Gathered(M.collect_moments(sweep.frame, columns, pairs))
-    layout = sweep.layout()
-    models = {
-        row.model_id: [*layout.terms(row.predictors), layout.label(row.target)]
-        for row in plan.select("model_id", "target", "predictors").collect()
-    }
-    return Gathered(None, M.collect_model_moments(sweep.frame, columns, pairs, models))
-
-
-def fit_model(gathered: Gathered, layout: Layout, model_id: int, target: str, predictors: list[str]) -> Fit:
-    """Solve one model from the gathered moments."""
-    basis = [*layout.terms(predictors), layout.label(target)]
-    if gathered.shared is not None:
-        moments = gathered.shared
-        needed = moments.needed()
-        mask = int(np.bitwise_or.reduce([needed[i] for i in basis]))
-        return solve(moments.complete(mask, basis), moments.shift[basis], layout.collinear)
-    own = gathered.per_model.get(model_id)
-    if own is None:
-        return Fit("INSUFFICIENT", 0)
-    return solve(own.complete(0, range(len(basis))), own.shift, layout.collinear)
+    own = plan.join(moments.blocks(bases), "model_id", "left")
+    return own.select("model_id", "target", "predictors", "formula", "block").mapInPandas(solver, schema)
 
 
 def r2_of(sse: Column, sst: Column) -> Column:

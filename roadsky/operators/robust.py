@@ -9,6 +9,7 @@ predictor subset, not for each model.
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -23,9 +24,7 @@ from roadsky.functions import tails
 from roadsky.operators import moments as M
 from roadsky.operators import ols
 from roadsky.schemas import MODEL_RESULT
-
-# Models whose sums one pass keeps; longer plans take further passes.
-MODELS_PER_PASS = 4096
+from roadsky.session import scratch_path
 
 _TESTED = T.StructType(
     [
@@ -136,7 +135,7 @@ def _second_pass(sweep: ols.Sweep, bundles: list[dict]) -> DataFrame:
 
 def _tested(sweep: ols.Sweep, fits: dict[int, ols.Fit], layout: ols.Layout, plan: list) -> DataFrame:
     """Test statistic, its p-value and HC3 p-values per model."""
-    source = M.Moments(sweep.columns, sweep.pairs, np.zeros(0)).needed()
+    source = M.source_masks(len(sweep.columns), sweep.pairs)
     bundles = _bundles(fits, layout, plan, source)
     inverses = {
         model_id: (bundle["n"], bundle["inverse"], fits[model_id].beta)
@@ -179,18 +178,17 @@ def run_robust_sweep(sweep: ols.Sweep, plan: DataFrame, estimation: str = "teste
     """
     if estimation not in ("tested", "hc3"):
         raise ValueError("estimation must be tested or hc3")
-    gathered = ols.gather(sweep, plan)
-    layout = sweep.layout()
-    rows = plan.select("model_id", "target", "predictors").collect()
-    fits = {
-        row.model_id: ols.fit_model(gathered, layout, row.model_id, row.target, list(row.predictors))
-        for row in rows
-    }
-    tested = None
-    for start in range(0, len(rows), MODELS_PER_PASS):
-        part = _tested(sweep, fits, layout, rows[start : start + MODELS_PER_PASS])
-        tested = part if tested is None else tested.unionByName(part)
-    plain = ols.with_measures(ols.solve_plan(sweep, plan, gathered)).drop("bp_stat", "bp_pvalue")
+    spark = plan.sparkSession
+    # raw rows are read and parsed once: both passes run over the written model columns
+    sweep = ols.staged(sweep, scratch_path(spark, "robust-frame"))
+    solved = ols.solve_plan(sweep, plan, keep_fit=True)
+    path = scratch_path(spark, "robust-fits")
+    solved.write.parquet(path)
+    solved = spark.read.schema(solved.schema).parquet(path)
+    rows = solved.select("model_id", "target", "predictors", "fit").collect()  # one small row a model of the plan
+    fits = {row.model_id: ols.Fit(**pickle.loads(row.fit)) for row in rows}
+    tested = _tested(sweep, fits, sweep.layout(), rows)
+    plain = ols.with_measures(solved.drop("fit")).drop("bp_stat", "bp_pvalue")
     joined = plain.join(tested, "model_id", "left")
     robust = F.col("hc3_pvalues").isNotNull()
     if estimation == "tested":

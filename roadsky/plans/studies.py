@@ -36,10 +36,14 @@ DURATION = "Traffic Jam Duration"
 Study = tuple[ols.Sweep, DataFrame]
 
 
+def placed_incidents(raw: DataFrame) -> DataFrame:
+    """Rows with a state and a start time."""
+    return clean.not_null_rows(clean.with_times(raw, "StartTime"), "State", "StartTime")
+
+
 def filled_incidents(raw: DataFrame, method: str = "first_seen") -> DataFrame:
     """Rows with a state and a start time, missing conditions filled along time per state."""
-    rows = clean.not_null_rows(clean.with_times(raw, "StartTime"), "State", "StartTime")
-    return fill.fill_missing(rows, ["Weather_Conditions"], ["State"], "StartTime", ["ID"], method)
+    return fill.fill_missing(placed_incidents(raw), ["Weather_Conditions"], ["State"], "StartTime", ["ID"], method)
 
 
 def log_study(

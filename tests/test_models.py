@@ -163,19 +163,37 @@ def test_standardised_sweep_matches_the_library(spark):
         np.testing.assert_allclose(row.pvalues, model.summary.pValues, atol=1e-8)
 
 
-@pytest.mark.parametrize("budget", [M.MASK_BUDGET, 0])
-def test_per_model_deletion(spark, budget):
+def test_per_model_deletion(spark):
     table = raw_rows(holes=0.1)
     sweep = ols.prepare(frame_of(spark, table), X, Y, log_label=False, missing="per_model")
-    plan = plan_models(spark, Y, X, 3)
-    gathered = ols.gather(sweep, plan, budget)
-    assert (gathered.shared is None) == (budget == 0)
-    rows = ols.with_measures(ols.solve_plan(sweep, plan, gathered)).collect()
+    rows = ols.run_sweep(sweep, plan_models(spark, Y, X, 3)).collect()
     assert len(rows) == 28
     for row in rows:
         check(row, dense(table, (*X, *Y), row.target, row.predictors))
 
 
+def test_twenty_columns_with_gaps(spark):
+    rng = np.random.default_rng(11)
+    names = [f"x{i}" for i in range(20)]
+    x = rng.normal(size=(300, 20))
+    y = x[:, 0] - 2 * x[:, 19] + rng.normal(size=300)
+    x[rng.random(x.shape) < 0.15] = np.nan  # nearly every row lacks columns of its own
+    table = np.column_stack([x, y])
+    rows = [tuple(None if np.isnan(v) else float(v) for v in row) for row in table]
+    df = spark.createDataFrame(rows, ", ".join(f"{name} double" for name in [*names, "y"])).repartition(5)
+    sweep = ols.prepare(df, names, ["y"], log_label=False, missing="per_model")
+    found = ols.run_sweep(sweep, plan_models(spark, ["y"], names, 2)).collect()
+    assert len(found) == 210
+    for row in found[::15]:
+        check(row, dense(table, (*names, "y"), "y", row.predictors))
+
+
+def test_constant_column_does_not_repeat_the_pass(spark):
+    df = spark.range(50).selectExpr("double(id) AS a", "12345678.9D AS b", "double(id * 3 + id % 7) AS y")
+    gathered = M.moments_of(df, ["a", "b", "y"])
+    assert gathered.column_means()[1] is False
+
+
 def test_global_deletion_and_partition_invariance(spark):
     table = raw_rows(holes=0.05)
     whole = table[~np.isnan(table).any(axis=1)]
@@ -285,15 +303,9 @@ def test_robust_sweep_matches_dense_formulas(spark, estimation):
     assert kinds == ({"HC3"} if estimation == "hc3" else {"HC3", "OLS"})
 
 
-def test_robust_passes_can_be_split(spark, monkeypatch):
-    df = frame_of(spark, raw_rows())
-    sweep = ols.prepare(df, X, ["y"], log_label=False)
-    plan = plan_models(spark, ["y"], X, 2)
-    whole = {r.model_id: r.bp_stat for r in robust.run_robust_sweep(sweep, plan).collect()}
-    monkeypatch.setattr(robust, "MODELS_PER_PASS", 3)
-    parts = {r.model_id: r.bp_stat for r in robust.run_robust_sweep(sweep, plan).collect()}
-    assert set(parts) == set(whole) and all(parts[k] == pytest.approx(whole[k]) for k in whole)
-    summary = ranking.robust_summary(robust.run_robust_sweep(sweep, plan)).first()
+def test_robust_summary_counts_both_kinds(spark):
+    sweep = ols.prepare(frame_of(spark, raw_rows()), X, ["y"], log_label=False)
+    summary = ranking.robust_summary(robust.run_robust_sweep(sweep, plan_models(spark, ["y"], X, 2))).first()
     assert summary.total_models == 10 and summary.hc3_models + summary.ols_models == 10
 
 
