@@ -11,7 +11,7 @@ from roadsky.llm.secrets import op2_secrets
 from roadsky.llm.simhash import op3_simhash
 from roadsky.llm.toxicity import op10_toxicity
 from roadsky.llm.vantage import op9_vantage
-from roadsky.llm.warc import op1_warc
+from roadsky.llm.warc import OP1_SQL, op1_warc
 
 LLM_QUERIES = {
     "op1_warc": op1_warc,
@@ -26,4 +26,4 @@ LLM_QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES: dict[str, str] = {"op1_warc": OP1_SQL}

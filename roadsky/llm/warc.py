@@ -295,3 +295,23 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = build_index(write_archives(pages))
     found = read_records(locate(index, page_keys(pages)), payload=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+#: The contract's result without archives. The base-32 digest: 32 groups of five bits, four to five hexadecimal digits.
+OP1_SQL = """
+WITH payloads AS (
+    SELECT page_id, url, coalesce(html, '') AS payload,
+           max(page_id) OVER (PARTITION BY coalesce(html, '')) AS latest
+    FROM pages
+)
+SELECT page_id,
+       strlen(payload)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  1 + ((('0x' || substr(sha1(payload), 1 + 5 * (i // 4), 5))::INTEGER
+                        >> (15 - 5 * (i % 4))::INTEGER) & 31), 1)), '') AS payload_digest,
+       CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> latest THEN latest END AS refers_to,
+       coalesce(url, '') AS url
+FROM payloads
+"""
