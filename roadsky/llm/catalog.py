@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from roadsky.llm.crf_quality import op4_quality
-from roadsky.llm.decontaminate import op6_decontaminate
+from roadsky.llm.decontaminate import OP6_SQL, op6_decontaminate
 from roadsky.llm.html_text import op8_html
 from roadsky.llm.pieces import op7_sentencepiece
 from roadsky.llm.runlength import op5_runlength
@@ -26,4 +26,4 @@ LLM_QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-LLM_ORACLES: dict[str, str] = {"op1_warc": OP1_SQL}
+LLM_ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op6_decontaminate": OP6_SQL}

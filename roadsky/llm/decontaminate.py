@@ -289,6 +289,48 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        "longest_item",
         "longest_words",
     )
+
+
+_SQL_WORDS = r"""regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+#: Every window of every document joined to those of the items.
+OP6_SQL = f"""
+WITH docs AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+items AS (
+    SELECT item_id, w, least({WINDOW}, len(w)) AS n
+    FROM (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark) WHERE len(w) > 0
+),
+windows AS (
+    SELECT item_id, n, s AS item_at, array_to_string(w[s:s + n - 1], ' ') AS words
+    FROM items, unnest(range(1, len(w) - n + 2)) t(s)
+),
+spots AS (
+    SELECT doc_id, n, s AS doc_at, array_to_string(w[s:s + n - 1], ' ') AS words
+    FROM docs JOIN (SELECT DISTINCT n FROM windows) ON len(w) >= n, unnest(range(1, len(w) - n + 2)) t(s)
+),
+hits AS (SELECT doc_id, item_id, n, doc_at, item_at FROM spots JOIN windows USING (n, words)),
+covered AS (
+    SELECT doc_id, count(DISTINCT place) AS n_hit
+    FROM hits, unnest(range(doc_at, doc_at + n)) t(place) GROUP BY doc_id
+),
+named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hits) GROUP BY doc_id
+),
+runs AS (
+    SELECT doc_id, max(doc_at) + any_value(n) - min(doc_at) AS words
+    FROM (
+        SELECT *, doc_at - row_number() OVER (PARTITION BY doc_id, item_id, doc_at - item_at ORDER BY doc_at) AS run
+        FROM hits
+    ) GROUP BY doc_id, item_id, doc_at - item_at, run
+),
+longest AS (SELECT doc_id, max(words) AS longest_words FROM runs GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       longest_words::BIGINT AS longest_words
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN longest USING (doc_id)
+"""
