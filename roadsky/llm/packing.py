@@ -35,9 +35,14 @@ null; other columns of the table are not used; an empty table gives no rows.
 
 from __future__ import annotations
 
+import gc
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -48,7 +53,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from roadsky.llm.common import bounds, chunks, ranges, stored, table
+from roadsky.llm.common import bounds, ranges, stored, table
 
 #: Where the public vocabulary file lies; only the driver opens it.
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -62,34 +67,105 @@ GROUPS = 192
 MOST_COLUMNS = 4000
 #: Column generation ends where the total is within this share of the least one.
 GAP = 1e-5
-#: Characters that are encoded at once.
-STEP_CHARS = 8_000_000
+#: Bytes of text that are encoded at once; a longer text is one step.
+STEP_BYTES = 4_000_000
+#: Different stretches that a task remembers, about.
+REMEMBERED = 400_000
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, number long"
 
 
+#: What the tokenizer's pre-tokenizer cuts lower-cased ASCII into (fixed by the vocabulary file; tested against it).
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|\n|[^a-z0-9\n]+")
+
+
+def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
+
+
 class Encoder:
-    """Ids of many texts at once: every different stretch between ASCII blanks is encoded once."""
+    """Ids of many texts at once: every different stretch between ASCII blanks is encoded once, and remembered.
+
+    Stretches of printable ASCII are cut into the tokenizer's units here, and
+    units go to its model; all others, and those that may hold a special
+    token, go through the whole tokenizer.
+    """
 
     def __init__(self, data: str, end_id: int = END_ID):
         self.tokenizer = Tokenizer.from_str(data)
         self.end_id = end_id
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        self.forget()
+
+    def forget(self) -> None:
+        """Back to the end mark alone, which is entry 0; unit 0 stands between stretches and has no ids."""
+        self.index: dict[str, int] = {}
+        self.flat, self.sizes = np.array([self.end_id], np.uint32), np.array([1])
+        self.units = {"\n": 0}
+        self.unit_flat, self.unit_sizes = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def learn(self, stretches: list[str]) -> None:
+        plain = [s for s in stretches if s.isascii() and s.isprintable() and "<|" not in s]
+        if plain:
+            units = _PARTS.findall("\n".join(plain).lower())
+            new = [u for u in dict.fromkeys(units) if u not in self.units]
+            self.units.update(zip(new, range(len(self.units), len(self.units) + len(new)), strict=True))
+            tokenize = self.tokenizer.model.tokenize
+            ids, sizes = flattened([[token.id for token in tokenize(u)] for u in new])
+            self.unit_flat, self.unit_sizes = np.append(self.unit_flat, ids), np.append(self.unit_sizes, sizes)
+            codes = np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
+            counts = self.unit_sizes[codes]
+            between = np.flatnonzero(codes == 0)
+            self.add(plain, self.unit_flat[ranges(bounds(self.unit_sizes)[codes], counts)], np.diff(bounds(counts)[[0, *between, len(codes)]]))
+        others = [s for s in stretches if not (s.isascii() and s.isprintable() and "<|" not in s)]
+        for start in range(0, len(others), 2000):
+            some = others[start : start + 2000]
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self.add(some, *flattened([encoding.ids for encoding in found]))
+
+    def add(self, stretches: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        at = len(self.sizes)
+        self.index.update(zip(stretches, range(at, at + len(stretches)), strict=True))
+        self.flat, self.sizes = np.append(self.flat, ids), np.append(self.sizes, sizes)
+
+    @contextmanager
+    def without_collector(self) -> Iterator[None]:
+        """Learning makes very many small lists and no cycles: the collector would only walk them again and again."""
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            yield
+        finally:
+            if was:
+                gc.enable()
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end mark, and where each text's ids start."""
-        listed = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+        if len(self.index) > REMEMBERED:
+            self.forget()
+        listed = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         coded = listed.flatten().dictionary_encode()
-        found = self.tokenizer.encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)
-        lists = [e.ids for e in found]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for ids in lists for i in ids), np.uint32, int(sizes.sum()))
-        used = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        # the end mark of each text is one more stretch behind its own
+        stretches = coded.dictionary.to_pylist()
+        with self.without_collector():
+            self.learn([s for s in stretches if s not in self.index])
+        entry = np.fromiter(map(self.index.__getitem__, stretches), np.int64, len(stretches))
+        used = entry[coded.indices.to_numpy(zero_copy_only=False)]
+        # the end mark of each text stands behind its own stretches
         offsets = listed.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-        used = np.insert(used, offsets[1:] - offsets[0], len(lists))
-        flat, sizes = np.append(flat, np.uint32(self.end_id)), np.append(sizes, 1)
-        counts = sizes[used]
-        ids = flat[ranges(bounds(sizes)[used], counts)]
-        return ids, bounds(counts)[offsets - offsets[0] + np.arange(len(offsets))]
+        offsets = offsets - offsets[0]
+        used = np.insert(used, offsets[1:], 0)
+        counts = self.sizes[used]
+        ids = self.flat[ranges(bounds(self.sizes)[used], counts)]
+        return ids, bounds(counts)[offsets + np.arange(len(offsets))]
+
+
+def steps_of(sizes: np.ndarray, limit: int) -> Iterator[slice]:
+    """Slices of rows of about ``limit`` bytes each."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield slice(start, stop)
+        start = stop
 
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, end_id: int = END_ID, text: str = "text") -> DataFrame:
@@ -98,12 +174,14 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, en
         data = source.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         encoder, part = Encoder(data, end_id), TaskContext.get().partitionId()
         made = np.zeros(length + 1, np.int64)
         for batch in batches:
-            doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for own in chunks(texts, STEP_CHARS):
-                ids, at = encoder.encode(texts[own])
+            doc_ids, texts = batch.column(0), batch.column(1)
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            for own in steps_of(sizes, STEP_BYTES):
+                ids, at = encoder.encode(texts.slice(own.start, own.stop - own.start))
                 raw = ids.astype("<u4").tobytes()
                 total = np.diff(at)
                 cuts = -(-total // length)

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -24,7 +25,10 @@ def test_ids_are_those_of_the_library(library):
     with open(P.TOKENIZER, encoding="utf-8") as source:
         encoder = P.Encoder(source.read())
     rows = texts()
-    ids, at = encoder.encode(rows)
+    r = random.Random(5)
+    rows += ["".join(r.choice("abzAZ09'.,-_<|>\x7f\x01\u00e9 ") for _ in range(r.randint(1, 40))) for _ in range(3000)]
+    rows += ["It's DON'T we'Re they'LL I'd 'tis 's''s", "<|EndOfText|> <|endoftext|>x a<|b"]
+    ids, at = encoder.encode(pa.array(rows))
     for i, text in enumerate(rows):
         assert ids[at[i] : at[i + 1]].tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 0]
 
