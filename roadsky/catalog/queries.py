@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from roadsky.catalog import sqltext as S
 from roadsky.catalog.views import incidents, readings, table
 from roadsky.functions import conditions, speed, text, times
-from roadsky.operators import clean, fill, ols, profile, ranking, robust, sample
+from roadsky.operators import clean, fill, ols, profile, ranking, residuals, robust, sample
 from roadsky.operators.vectors import assemble, standardise
 from roadsky.plans import studies
 from roadsky.plans.subsets import (
@@ -814,13 +814,91 @@ def robust_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(summary.drop("hc3_ratio"), "hc3_percentage")
 
 
-@query("hc3_sweep_three")
+_WIDE_BASE = S.wide_robust(S.product_models(studies.HC3_TARGETS, studies.HC3_PREDICTORS, 3), 6)
+
+
+@query("hc3_sweep_three", _robust_sql("robust_predictors + robust_intercept", "'HC3'").replace(_ROBUST_BASE, _WIDE_BASE))
 def hc3_sweep_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three predictors, all subsets with their products: 35 models."""
     sweep, plan = studies.hc3_study(incidents(spark, sf_dir))
     return _robust_flat(robust.run_robust_sweep(sweep, plan, "hc3"))
 
 
+@query(
+    "robust_ratio",
+    f"""{_ROBUST_BASE}, counted AS (
+  SELECT 'all' AS models, count(*) AS total, count_if(heteroskedastic) AS hc3 FROM judged
+  UNION ALL SELECT 'robust', count(*), count(*) FROM judged WHERE heteroskedastic
+  UNION ALL SELECT 'none', 0, 0)
+SELECT models, total AS total_models, hc3 AS hc3_models, total - hc3 AS ols_models,
+  CASE WHEN total > 0 THEN round(100.0::DOUBLE * hc3 / total, 6) ELSE 0.0 END AS hc3_percentage,
+  CASE WHEN total > hc3 THEN round(hc3::DOUBLE / (total - hc3), 6) ELSE 'Infinity'::DOUBLE END AS hc3_ratio FROM counted""",
+)
+def robust_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Robust against plain models: of all, of the robust ones alone, and of none."""
+    path = scratch_path(spark, "tested-models")
+    robust.run_robust_sweep(*studies.hc3_study(incidents(spark, sf_dir), 2), "tested").write.parquet(path)
+    models = spark.read.parquet(path)
+    sets = {"all": models, "robust": models.filter("estimation = 'HC3'"), "none": models.filter(F.lit(False))}
+    found = None
+    for name, own in sets.items():
+        row = ranking.robust_summary(own).select(F.lit(name).alias("models"), "*")
+        found = row if found is None else found.unionByName(row)
+    return rounded(found, "hc3_percentage", "hc3_ratio")
+
+
+_SHARES = (0.05, 0.5, 0.95)
+
+
+@query(
+    "residual_summaries",
+    f"""{S.solve_models(S.interaction_models(studies.HC3_TARGETS, studies.HC3_PREDICTORS))},
+{S.model_rows(S.interaction_models(studies.HC3_TARGETS, studies.HC3_PREDICTORS))},
+e AS (SELECT model_id, y - my - b1 * d1 - b2 * d2 - b3 * d3 AS e FROM centred),
+counted AS (
+  SELECT model_id, CASE WHEN e = 0 THEN 0 ELSE sign(e) * (ceil(ln(abs(e)) / ln(1.02::DOUBLE)) + 40000) END AS bucket, count(*) AS n
+  FROM e GROUP BY 1, 2
+), running AS (
+  SELECT *, sum(n) OVER (PARTITION BY model_id ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY model_id) AS total FROM counted
+), reached AS (
+  SELECT model_id, {', '.join(f"min(CASE WHEN upto >= ceil({x}::DOUBLE * total) THEN bucket END) AS q{i}" for i, x in enumerate(_SHARES))}
+  FROM running GROUP BY model_id
+)
+SELECT model_id, n, mean_size, rmse, least, most,
+  {', '.join(f"CASE WHEN q{i} = 0 THEN 0 ELSE round(sign(q{i}) * 1.02::DOUBLE ** (abs(q{i}) - 40000) * 2 / 2.02::DOUBLE, 6) END AS q{i}" for i in range(3))}
+FROM (SELECT model_id, count(*) AS n, round(avg(abs(e)), 6) AS mean_size, round(sqrt(avg(e * e)), 6) AS rmse,
+  round(min(e), 6) AS least, round(max(e), 6) AS most FROM e GROUP BY 1) JOIN reached USING (model_id)""",
+)
+def residual_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residuals of every model of the small plan, in one pass."""
+    found = residuals.residual_summary(*studies.hc3_study(incidents(spark, sf_dir), 2), _SHARES)
+    names = [f"q{i}" for i in range(3)]
+    out = found.select("model_id", "n", "mean_size", "rmse", "least", "most", *[F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return rounded(out, "mean_size", "rmse", "least", "most", *names)
+
+
+#: More predictors than a machine word has bits, each with gaps of its own.
+_MODULI = range(2, 70)
+_WIDE_PREDICTORS = [f"mod{k}" for k in _MODULI]
+_WIDE_CELLS = {f"mod{k}": f"CASE WHEN l_linenumber <> {k % 7 + 1} THEN CAST(l_orderkey % {k} AS DOUBLE) END" for k in _MODULI} | {
+    "size": "CAST(l_partkey % 10 AS DOUBLE)",
+    "price": "CASE WHEN l_suppkey % 9 <> 0 THEN CAST(l_extendedprice AS DOUBLE) / 1000 END",
+}
+
+
+@query(
+    "wide_sweep",
+    f"""WITH clean AS (SELECT {', '.join(f"{e} AS {S.q(n)}" for n, e in _WIDE_CELLS.items())} FROM lineitem),
+{S.own_shape((S.model_id(0, [i]), "price", "price", [n, "size"], [S.q(n), "size"]) for i, n in enumerate(_WIDE_PREDICTORS))}, {S._SOLVE}
+SELECT {_OLS_SQL} FROM ols""",
+)
+def wide_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model for each of 68 predictors with gaps of their own, per-model deletion."""
+    cells = table(spark, sf_dir, "lineitem").select(*[F.expr(e).alias(n) for n, e in _WIDE_CELLS.items()])
+    sweep = ols.prepare(cells, [*_WIDE_PREDICTORS, "size"], ["price"], log_label=False, missing="per_model")
+    return _flat(ols.run_sweep(sweep, plan_models(spark, ["price"], _WIDE_PREDICTORS, 1, always_include=["size"])))
+
+
 @query("tested_sweep_three")
 def tested_sweep_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten predictors with the rating dummies, at most three and their products: 1,050 models."""
@@ -1032,3 +1110,66 @@ def filled_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("Weather_Conditions").alias("condition"))
         .agg(F.count("*").alias("n"), F.count_distinct("State").alias("n_states"))
     )
+
+
+# ---- small helpers ---------------------------------------------------------
+
+_DUCK_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string"}
+_EXAMPLES = {"nation": "n_nationkey", "customer": "c_custkey"}
+
+
+def _examples_sql(name: str, key: str, columns: tuple[str, ...]) -> str:
+    kind = "CASE column_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _DUCK_TYPES.items()) + " ELSE lower(column_type) END"
+    first = f"(SELECT * FROM {name} ORDER BY {key} LIMIT 3)"
+    told = " UNION ALL ".join(
+        f"SELECT '{c}' AS name, array_to_string(list(coalesce(CAST({c} AS VARCHAR), '') ORDER BY {key}), '|') AS examples FROM {first}" for c in columns
+    )
+    return f"SELECT '{name}' AS source, name, {kind} AS type, examples FROM (DESCRIBE SELECT * FROM {name}) JOIN ({told}) ON column_name = name"
+
+
+@query(
+    "schema_and_preview",
+    _examples_sql("nation", "n_nationkey", ("n_nationkey", "n_name", "n_regionkey"))
+    + " UNION ALL "
+    + _examples_sql("customer", "c_custkey", ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")),
+)
+def schema_and_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of two tables with their types and their values in the first rows."""
+    found = None
+    for name, key in _EXAMPLES.items():
+        told = tables.schema_with_examples(table(spark, sf_dir, name), [key])
+        examples = F.array_join(F.transform("examples", lambda x: F.coalesce(x, F.lit(""))), "|")
+        own = told.filter(F.col("name") != "c_acctbal").select(F.lit(name).alias("source"), "name", "type", examples.alias("examples"))
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+@query(
+    "defaulted_dummies",
+    f"""{S.BASE} SELECT CAST(weather_rating = 'good' AS INT) AS weather_good, CAST(weather_rating = 'bad' AS INT) AS weather_bad,
+  0 AS weather_neutral, 0 AS weather_unheard, count(*) AS n FROM rated GROUP BY ALL""",
+)
+def defaulted_dummies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dummies that a table lacks are added as zero; those it has are kept."""
+    rated = clean.with_rating(incidents(spark, sf_dir))
+    there = rated.select(*[(F.col("weather_rating") == k).cast("int").alias(f"weather_{k}") for k in ("good", "bad")])
+    names = ["weather_good", "weather_bad", "weather_neutral", "weather_unheard"]
+    return clean.ensure_columns(there, names).groupBy(*names).agg(F.count("*").alias("n"))
+
+
+@query(
+    "report_without_quotes",
+    f"""{S.MAIN_SWEEP} SELECT target, '[' || array_to_string(predictors, ', ') || ']' AS predictors FROM ols WHERE p > 1""",
+)
+def report_without_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictor lists as written by a text log, with the quotes taken off for a report."""
+    models = main_models(spark, sf_dir).filter(F.size("predictors") > 1)
+    written = F.concat(F.lit("['"), F.array_join("predictors", "', \""), F.lit("\"]"))
+    return models.select("target", text.without_quotes(written).alias("predictors"))
+
+
+@query("run_labels", "SELECT strftime(ts, '%m%d%H%M') AS label, count(*) AS n FROM events GROUP BY 1")
+def run_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label that a run at the time of an event would have."""
+    labelled = table(spark, sf_dir, "events").select(text.run_label(F.col("ts")).alias("label"))
+    return labelled.groupBy("label").agg(F.count("*").alias("n"))

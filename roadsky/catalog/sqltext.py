@@ -281,21 +281,26 @@ def solve_models(models, source: str = "clean") -> str:
 CHI2_95 = {1: 3.841458820694124, 2: 5.991464547107979, 3: 7.814727903251179}
 
 
-def robust(models) -> str:
-    """Test statistic and HC3 counts: a second look at every row of every model."""
-    models = list(models)
+def model_rows(models) -> str:
+    """``centred``: every row of every model, about the means, beside what was solved."""
     parts = []
     for number, _, label, _, terms in models:
         x = list(terms) + ["0.0"] * (3 - len(terms))
         columns = ", ".join(f"CAST({term} AS DOUBLE) AS x{i + 1}" for i, term in enumerate(x))
         parts.append(f"SELECT {number} AS model_id, CAST({label} AS DOUBLE) AS y, {columns} FROM clean")
-    critical = " ".join(f"WHEN {df} THEN {value!r}" for df, value in CHI2_95.items())
-    return f"""{solve_models(models)},
-long AS ({' UNION ALL '.join(parts)}),
+    return f"""long AS ({' UNION ALL '.join(parts)}),
 centred AS (
   SELECT ols.*, x1 - m1 AS d1, x2 - m2 AS d2, x3 - m3 AS d3, y
   FROM long JOIN ols USING (model_id) WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL
-), lever AS (
+)"""
+
+
+def robust(models) -> str:
+    """Test statistic and HC3 counts: a second look at every row of every model."""
+    models = list(models)
+    critical = " ".join(f"WHEN {df} THEN {value!r}" for df, value in CHI2_95.items())
+    return f"""{solve_models(models)},
+{model_rows(models)}, lever AS (
   SELECT *, (y - my - b1 * d1 - b2 * d2 - b3 * d3) ** 2 AS e2,
     (i11 * d1 + i12 * d2 + i13 * d3) / n AS a1, (i12 * d1 + i22 * d2 + i23 * d3) / n AS a2,
     (i13 * d1 + i23 * d2 + i33 * d3) / n AS a3
@@ -319,3 +324,112 @@ centred AS (
 ), judged AS (
   SELECT *, bp_stat > CASE p {critical} END AS heteroskedastic FROM tested
 )"""
+
+
+# ---- models of any width -----------------------------------------------------
+
+CHI2_95_WIDE = {**CHI2_95, 4: 9.487729036781154, 5: 11.070497693516351, 6: 12.591587243743977}
+
+
+def _cells(width: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(width) for j in range(i + 1)]
+
+
+def wide_robust(models, width: int, source: str = "clean") -> str:
+    """Least squares, test and HC3 of models with up to ``width`` terms, by Cholesky factors told column by column.
+
+    Terms that a model lacks, and terms without spread, are left out: a unit
+    row and column stand for them.
+    """
+    models, places = list(models), range(width)
+    long = []
+    for number, target, label, names, terms in models:
+        x = [*terms, *["0.0"] * (width - len(terms))]
+        columns = ", ".join(f"CAST({term} AS DOUBLE) AS x{i}" for i, term in enumerate(x))
+        long.append(
+            f"SELECT {number} AS model_id, {text(target)} AS target, [{', '.join(text(n) for n in names)}] AS predictors, "
+            f"{len(terms)} AS p, CAST({label} AS DOUBLE) AS y, {columns} FROM {source}"
+        )
+    steps, above = [], "shape"
+
+    def step(columns: str) -> None:
+        nonlocal above
+        name = f"step{len(steps)}"
+        steps.append(f"{name} AS MATERIALIZED (SELECT *, {columns} FROM {above})")
+        above = name
+
+    # L L' = S
+    for j in places:
+        square = f"s{j}{j}" + "".join(f" - l{j}{k} * l{j}{k}" for k in range(j))
+        step(f"sqrt({square}) AS l{j}{j}")
+        below = [f"(s{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j)) + f") / l{j}{j} AS l{i}{j}" for i in range(j + 1, width)]
+        if below:
+            step(", ".join(below))
+    # the inverse of L, row by row
+    for i in places:
+        step(
+            ", ".join(
+                f"1 / l{i}{i} AS v{i}{i}" if i == j else "-(" + " + ".join(f"l{i}{k} * v{k}{j}" for k in range(j, i)) + f") / l{i}{i} AS v{i}{j}"
+                for j in range(i + 1)
+            )
+        )
+    step(", ".join(f"{' + '.join(f'v{k}{i} * v{k}{j}' for k in range(max(i, j), width))} AS i{i}{j}" for i in places for j in places))
+    step(", ".join(f"{' + '.join(f'i{i}{j} * c{j}' for j in places)} AS b{i}" for i in places))
+    both = [(i, j) for i in places for j in places]
+    explained = " + ".join(f"b{i} * c{i}" for i in places)
+    corner = " + ".join(f"m{i} * m{j} * i{i}{j}" for i, j in both)
+    step(f"my - ({' + '.join(f'b{i} * m{i}' for i in places)}) AS b, ({explained}) / vy AS r2, n - rank - 1 AS v, {corner} AS corner")
+    z = Z975
+    step(
+        f"n * vy * (1 - r2) / v AS s2, {z!r} + {(z**3 + z) / 4!r} / v + {(5 * z**5 + 16 * z**3 + 3 * z) / 96!r} / (v * v) AS t975, "
+        "1 - (1 - r2) * (n - 1) / v AS adj_r2"
+    )
+    plain = " + ".join(f"CAST(u{i} AND abs(b{i}) > t975 * sqrt(s2 * i{i}{i} / n) AS INT)" for i in places)
+    step(f"{plain} AS n_sig_predictors, CAST(abs(b) > t975 * sqrt(s2 * (1 + corner) / n) AS INT) AS sig_intercept")
+    solved = above
+    lever = ", ".join(f"({' + '.join(f'i{i}{j} * d{j}' for j in places)}) / n AS a{i}" for i in places)
+    critical = " ".join(f"WHEN {k} THEN {v!r}" for k, v in CHI2_95_WIDE.items())
+    gathered = " + ".join(f"i{i}{j} * g{i} * g{j}" for i, j in both)
+    robust = " + ".join(f"CAST(u{i} AND abs(b{i}) > {z!r} * sqrt(h{i}) AS INT)" for i in places)
+    # left out: the unit rows keep their place, but have no slope and no influence
+    return f"""{BASE_CLEAN},
+long AS ({' UNION ALL '.join(long)}),
+whole AS (SELECT * FROM long WHERE y IS NOT NULL AND {' AND '.join(f'x{i} IS NOT NULL' for i in places)}),
+raw AS (
+  SELECT model_id, target, predictors, p, count(*) AS n, avg(y) AS my, var_pop(y) AS vy,
+    {', '.join(f'avg(x{i}) AS m{i}, covar_pop(x{i}, y) AS c{i}, var_pop(x{i}) > 0 AS u{i}' for i in places)},
+    {', '.join(f'covar_pop(x{i}, x{j}) AS r{i}{j}' for i, j in _cells(width))}
+  FROM whole GROUP BY ALL
+), shape AS (
+  SELECT *, {', '.join(f'CASE WHEN u{i} THEN r{i}{i} ELSE 1 END AS s{i}{i}' if i == j else f'r{i}{j} AS s{i}{j}' for i, j in _cells(width))},
+    {' + '.join(f'CAST(u{i} AS INT)' for i in places)} AS rank
+  FROM raw
+), {', '.join(steps)},
+centred AS (
+  SELECT s.*, {', '.join(f'x{i} - m{i} AS d{i}' for i in places)}, y FROM whole w JOIN {solved} s USING (model_id)
+), lever AS (
+  SELECT *, (y - my - {' - '.join(f'b{i} * d{i}' for i in places)}) ** 2 AS e2, {lever} FROM centred
+), weighted AS (
+  SELECT *, e2 / (1 - 1.0 / n - {' - '.join(f'a{i} * d{i}' for i in places)}) ** 2 AS weight,
+    1.0 / n - {' - '.join(f'a{i} * m{i}' for i in places)} AS a
+  FROM lever
+), sums AS (
+  SELECT model_id, var_pop(e2) AS ve, sum(weight * a * a) AS h,
+    {', '.join(f'covar_pop(d{i}, e2) AS g{i}, sum(weight * a{i} * a{i}) AS h{i}' for i in places)}
+  FROM weighted GROUP BY model_id
+), judged AS (
+  SELECT *, bp_stat > CASE p {critical} END AS heteroskedastic FROM (
+    SELECT s.*, n * ({gathered}) / ve AS bp_stat, CAST(abs(b) > {z!r} * sqrt(h) AS INT) AS robust_intercept,
+      {robust} AS robust_predictors
+    FROM {solved} s JOIN sums USING (model_id))
+)"""
+
+
+def product_models(targets, predictors, max_predictors: int):
+    """Main effects and all products of pairs, for any number of predictors."""
+    for t, target in enumerate(targets):
+        for size in range(1, max_predictors + 1):
+            for subset in combinations(range(len(predictors)), size):
+                names = [predictors[i] for i in subset]
+                terms = [q(n) for n in names]
+                yield model_id(t, subset), target, q(target), names, terms + [f"{a} * {b}" for a, b in combinations(terms, 2)]

@@ -54,9 +54,9 @@ def four_decimals(number: Column) -> Column:
     return F.format_string("%.4f", number)
 
 
-def run_label() -> Column:
-    """Month, day, hour and minute of the query's start."""
-    return F.date_format(F.current_timestamp(), "MMddHHmm")
+def run_label(moment: Column | None = None) -> Column:
+    """Month, day, hour and minute of a moment, by default the query's start."""
+    return F.date_format(F.current_timestamp() if moment is None else moment, "MMddHHmm")
 
 
 def log_label(value: Column) -> Column:

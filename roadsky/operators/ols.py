@@ -1,9 +1,8 @@
 """Every regression of a plan from one pass over the data.
 
-The data pass (:mod:`roadsky.operators.moments`) yields a table whose size
-depends on the columns only. It travels to the tasks that hold the plan, and
-each task solves its models; the fit measures are ordinary column expressions
-over what the solver returns.
+The data pass (:mod:`roadsky.operators.moments`) yields exact sums, a small
+block a model. The task that adds a model's blocks up solves it; the fit
+measures are ordinary column expressions over what the solver returns.
 """
 
 from __future__ import annotations
@@ -24,9 +23,9 @@ from roadsky.operators import moments as M
 from roadsky.schemas import MODEL_RESULT
 
 # Relative size below which a direction of the scaled design counts as absent,
-# and the rounding noise allowed for on top where means are far from the shift.
+# and spread relative to the mean below which a column counts as constant.
 RANK_TOLERANCE = 1e-10
-ROUNDING = 64 * np.finfo(float).eps
+CONSTANT = 1e-12
 SIGNIFICANT = 0.05
 NONZERO = 1e-8
 
@@ -172,33 +171,26 @@ class Fit:
     sst: float = np.nan
 
 
-def solve(table: np.ndarray, shift: np.ndarray, collinear: str) -> Fit:
-    """Least squares from a model's moments about ``shift``: its terms, then its label."""
-    n = table[0, 0]
-    size = len(shift) - 1
-    if not np.isfinite(table).all():
+def solve(n: int, mean: np.ndarray, table: np.ndarray, collinear: str) -> Fit:
+    """Least squares from the means of a model's terms and its label, and their products about them."""
+    size = len(mean) - 1
+    if not (np.isfinite(table).all() and np.isfinite(mean).all()):
         # sums beyond the range of doubles: no measure of this model can be told
-        return Fit("OVERFLOW", int(round(n)) if np.isfinite(n) else 0)
+        return Fit("OVERFLOW", n)
     if n < size + 2:
-        return Fit("INSUFFICIENT", int(round(n)))
-    x, y = slice(1, -1), -1
-    offset, y_offset = table[0, x] / n, table[0, y] / n
-    inner = table[x, x] - n * np.outer(offset, offset)
-    cross = table[x, y] - n * offset * y_offset
-    sst = max(table[y, y] - n * y_offset * y_offset, 0.0)
-    raw_square = np.diag(table)[x]
-    variance = np.diag(inner).copy()
-    flat = variance <= 1e-12 * np.maximum(raw_square, 1e-300)
+        return Fit("INSUFFICIENT", n)
+    inner, cross, sst = table[:-1, :-1], table[:-1, -1], table[-1, -1]
+    constant = np.diag(table) <= n * np.square(CONSTANT * mean)
+    variance, flat = np.diag(inner).copy(), constant[:-1]
     scale = np.sqrt(np.where(flat, 1.0, variance))
     scaled = inner / np.outer(scale, scale)
     scaled[flat, :] = 0.0
     scaled[:, flat] = 0.0
     values, vectors = np.linalg.eigh(scaled)
-    noise = ROUNDING * np.max(raw_square[~flat] / variance[~flat], initial=0.0)
-    kept = values > max(RANK_TOLERANCE, noise)
+    kept = values > RANK_TOLERANCE
     rank = int(kept.sum())
-    fit = Fit("OK", int(round(n)), rank, sst=sst)
-    if sst <= 1e-12 * max(table[y, y], 1e-300):
+    fit = Fit("OK", n, rank, sst=sst)
+    if constant[-1]:
         fit.status = "CONSTANT_TARGET"
         return fit
     if rank < size:
@@ -209,8 +201,8 @@ def solve(table: np.ndarray, shift: np.ndarray, collinear: str) -> Fit:
     basis = vectors[:, kept]
     slopes_inverse = (basis / values[kept]) @ basis.T / np.outer(scale, scale)
     slopes = slopes_inverse @ np.where(flat, 0.0, cross)
-    mean = shift[:-1] + offset
-    beta = np.concatenate([[shift[-1] + y_offset - mean @ slopes], slopes])
+    mean, label_mean = mean[:-1], mean[-1]
+    beta = np.concatenate([[label_mean - mean @ slopes], slopes])
     corner = slopes_inverse @ mean
     inverse = np.empty((size + 1, size + 1))
     inverse[0, 0] = 1.0 / n + mean @ corner
@@ -260,35 +252,29 @@ def _row(fit: Fit, standardised: bool) -> dict:
     return row
 
 
-def gather(sweep: Sweep) -> M.Moments:
-    """Run the data pass of a sweep."""
-    return M.moments_of(sweep.frame, sweep.columns, sweep.pairs)
-
-
-def solve_plan(sweep: Sweep, plan: DataFrame, moments: M.Moments | None = None, keep_fit: bool = False) -> DataFrame:
+def solve_plan(sweep: Sweep, plan: DataFrame, keep_fit: bool = False) -> DataFrame:
     """Solved models of a plan: coefficients, errors, p-values and sums of squares.
 
     ``keep_fit`` adds the whole fit, for what is computed from it later.
     """
-    moments = moments or gather(sweep)
     layout = sweep.layout()
-    bases = {
-        row.model_id: [*layout.terms(row.predictors), layout.label(row.target)]
-        for row in plan.select("model_id", "target", "predictors").toLocalIterator()
-    }
-    shift = moments.shift
     schema = T.StructType([*_SOLVED.fields, *([T.StructField("fit", T.BinaryType())] if keep_fit else [])])
 
+    def basis_of(row) -> list[int]:
+        return [*layout.terms(list(row.predictors)), layout.label(row.target)]
+
+    def fitted(model, sums: M.Limbs | None, overflowed: bool) -> Fit:
+        if sums is None:
+            return Fit("INSUFFICIENT", 0)
+        n, mean, table = M.about_means(sums, len(basis_of(model)) + 1)
+        return Fit("OVERFLOW", n) if overflowed else solve(n, mean, table, layout.collinear)
+
     def solver(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        models = M.summed_models(frames, lambda row: len(basis_of(row)))
+        for some in M.in_lots(models, 1000):
             rows = []
-            for model in frame.itertuples(index=False):
-                basis = [*layout.terms(list(model.predictors)), layout.label(model.target)]
-                if model.block is None:
-                    fit = Fit("INSUFFICIENT", 0)
-                else:
-                    table = np.frombuffer(model.block).reshape(len(basis) + 1, -1)
-                    fit = solve(table, shift[basis], layout.collinear)
+            for model, sums, overflowed in some:
+                fit = fitted(model, sums, overflowed)
                 # arrays of unfitted models must be None, not a missing key
                 row = dict.fromkeys(schema.names) | _row(fit, layout.standardised)
                 row |= {
@@ -302,8 +288,9 @@ def solve_plan(sweep: Sweep, plan: DataFrame, moments: M.Moments | None = None,
                 rows.append(row)
             yield pd.DataFrame(rows, columns=schema.names)
 
-    own = plan.join(moments.blocks(bases), "model_id", "left")
-    return own.select("model_id", "target", "predictors", "formula", "block").mapInPandas(solver, schema)
+    wanted = plan.select("model_id", "target", "predictors", "formula")
+    rows = M.model_sums(sweep.frame, sweep.columns, sweep.pairs, wanted, basis_of)
+    return rows.repartition("model_id").sortWithinPartitions("model_id").mapInPandas(solver, schema)
 
 
 def r2_of(sse: Column, sst: Column) -> Column:

@@ -5,6 +5,10 @@ models. Per task and model a handful of sums is kept: of e², e⁴, x e² and of
 the squared HC3 influence of each coefficient. Models with the same terms
 share the leverage, so the cost per row is one small matrix product for each
 predictor subset, not for each model.
+
+The solved models are written to the shared folder by the tasks that solved
+them, and read from there by the tasks of the second pass: about half a
+kilobyte a model in each. The driver sees neither plan nor fits.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from roadsky.operators import moments as M
 from roadsky.operators import ols
 from roadsky.schemas import MODEL_RESULT
 from roadsky.session import scratch_path
+from roadsky.sources.shared import read_parquet
 
 _TESTED = T.StructType(
     [
@@ -36,17 +41,15 @@ _TESTED = T.StructType(
 )
 
 
-def _bundles(fits: dict[int, ols.Fit], layout: ols.Layout, plan: list, source: list[int]) -> list[dict]:
-    """Models grouped by equal terms and equal leverage.
-
-    ``source`` is the mask of source columns behind each basis column.
-    """
+def bundles_of(path: str, layout: ols.Layout, columns: int, pairs: list) -> list[dict]:
+    """Solved models of ``path``, grouped by equal terms and equal leverage. Read in tasks, file by file."""
     grouped = defaultdict(list)
-    for row in plan:
-        fit = fits[row.model_id]
-        if fit.beta is not None:
-            terms = tuple(layout.terms(row.predictors))
-            grouped[(terms, fit.n, fit.mean.tobytes())].append((row.model_id, row.target, fit))
+    for rows in read_parquet(path, ["model_id", "target", "predictors", "fit"]):
+        for row in rows:
+            fit = ols.Fit(**pickle.loads(row["fit"]))
+            if fit.beta is not None:
+                terms = tuple(layout.terms(row["predictors"]))
+                grouped[(terms, fit.n, fit.mean.tobytes())].append((row["model_id"], row["target"], fit))
     bundles = []
     for (terms, n, _), members in grouped.items():
         first = members[0][2]
@@ -56,9 +59,7 @@ def _bundles(fits: dict[int, ols.Fit], layout: ols.Layout, plan: list, source: l
             {
                 "terms": list(terms),
                 # with one label its gaps are part of the mask, else zeroed later
-                "needed": np.bitwise_or.reduce(
-                    [source[i] for i in [*terms, *([labels[0]] if len(labels) == 1 else [])]]
-                ),
+                "needed": M.sources(columns, pairs, [*terms, *([labels[0]] if len(labels) == 1 else [])]),
                 "gaps": len(labels) > 1,
                 "labels": labels,
                 "ids": [model_id for model_id, _, _ in members],
@@ -73,12 +74,12 @@ def _bundles(fits: dict[int, ols.Fit], layout: ols.Layout, plan: list, source: l
     return bundles
 
 
-def _bundle_sums(basis: np.ndarray, masks: np.ndarray, bundle: dict) -> np.ndarray:
+def _bundle_sums(basis: np.ndarray, missing: np.ndarray, bundle: dict) -> np.ndarray:
     """Sums of one block for one bundle: one column per model."""
     x, y = basis[bundle["terms"]], basis[bundle["labels"]]
-    lacking = masks & bundle["needed"]
+    lacking = missing[bundle["needed"]].any(axis=0)
     if lacking.any():
-        there = lacking == 0
+        there = ~lacking
         x, y = x[:, there], y[:, there]
     mean, n = bundle["mean"], bundle["n"]
     centred = x - mean[:, None]
@@ -102,56 +103,52 @@ def _bundle_sums(basis: np.ndarray, masks: np.ndarray, bundle: dict) -> np.ndarr
     )
 
 
-def _second_pass(sweep: ols.Sweep, bundles: list[dict]) -> DataFrame:
+def _second_pass(sweep: ols.Sweep, path: str) -> DataFrame:
     """Sums per model, as an array, over the whole frame."""
-    pairs = sweep.pairs
+    columns, pairs, layout = sweep.columns, sweep.pairs, sweep.layout()
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: list[np.ndarray | None] = [None] * len(bundles)
+        bundles: list[dict] | None = None
+        sums: list[np.ndarray | None] = []
         for block in M.read_blocks(batches):
-            masks, basis = M.masks_of(block), M.extend(block, pairs)
+            if bundles is None:
+                bundles = bundles_of(path, layout, len(columns), pairs)
+                sums = [None] * len(bundles)
+            missing, basis = np.isnan(block), M.extend(block, pairs)
             for i, bundle in enumerate(bundles):
-                part = _bundle_sums(basis, masks, bundle)
+                part = _bundle_sums(basis, missing, bundle)
                 sums[i] = part if sums[i] is None else sums[i] + part
-        for bundle, table in zip(bundles, sums):
-            if table is not None:
-                depth = len(table)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "model_id": np.repeat(np.array(bundle["ids"], np.int64), depth),
-                        "position": np.tile(np.arange(depth, dtype=np.int32), table.shape[1]),
-                        "v": table.T.ravel(),
-                    }
-                )
-
-    parts = sweep.frame.select(*sweep.columns).mapInArrow(
-        partial, "model_id long, position int, v double"
-    )
+        for bundle, table in zip(bundles or [], sums, strict=True):
+            depth = len(table)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "model_id": np.repeat(np.array(bundle["ids"], np.int64), depth),
+                    "position": np.tile(np.arange(depth, dtype=np.int32), table.shape[1]),
+                    "v": table.T.ravel(),
+                }
+            )
+
+    parts = sweep.frame.select(*columns).mapInArrow(partial, "model_id long, position int, v double")
+    # one exchange: what is dealt by model serves both groupings
     summed = parts.groupBy("model_id", "position").agg(F.sum("v").alias("v"))
     return summed.groupBy("model_id").agg(
         F.array_sort(F.collect_list(F.struct("position", "v"))).alias("sums")
     ).select("model_id", F.col("sums.v").alias("sums"))
 
 
-def _tested(sweep: ols.Sweep, fits: dict[int, ols.Fit], layout: ols.Layout, plan: list) -> DataFrame:
+def _tested(sweep: ols.Sweep, solved: DataFrame, path: str) -> DataFrame:
     """Test statistic, its p-value and HC3 p-values per model."""
-    source = M.source_masks(len(sweep.columns), sweep.pairs)
-    bundles = _bundles(fits, layout, plan, source)
-    inverses = {
-        model_id: (bundle["n"], bundle["inverse"], fits[model_id].beta)
-        for bundle in bundles
-        for model_id in bundle["ids"]
-    }
 
     def finish(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for model_id, sums in zip(frame["model_id"], frame["sums"]):
-                n, inverse, beta = inverses[model_id]
+            for model_id, sums, data in zip(frame["model_id"], frame["sums"], frame["fit"]):
+                fit = ols.Fit(**pickle.loads(data))
+                n, beta = fit.n, fit.beta
                 sums = np.asarray(sums, float)
                 size = len(beta) - 1
                 cross, spread = sums[2 : 2 + size], sums[1] - sums[0] ** 2 / n
-                statistic = n * float(cross @ inverse @ cross) / spread if spread > 0 else np.nan
+                statistic = n * float(cross @ fit.slopes_inverse @ cross) / spread if spread > 0 else np.nan
                 with np.errstate(divide="ignore", invalid="ignore"):
                     pvalues = tails.normal_two_sided(beta / np.sqrt(sums[2 + size :]))
                 rows.append(
@@ -167,7 +164,8 @@ def _tested(sweep: ols.Sweep, fits: dict[int, ols.Fit], layout: ols.Layout, plan
                 )
             yield pd.DataFrame(rows, columns=_TESTED.names)
 
-    return _second_pass(sweep, bundles).mapInPandas(finish, _TESTED)
+    both = solved.select("model_id", "fit").join(_second_pass(sweep, path), "model_id")
+    return both.select("model_id", "sums", "fit").mapInPandas(finish, _TESTED)
 
 
 def run_robust_sweep(sweep: ols.Sweep, plan: DataFrame, estimation: str = "tested") -> DataFrame:
@@ -181,13 +179,11 @@ def run_robust_sweep(sweep: ols.Sweep, plan: DataFrame, estimation: str = "teste
     spark = plan.sparkSession
     # raw rows are read and parsed once: both passes run over the written model columns
     sweep = ols.staged(sweep, scratch_path(spark, "robust-frame"))
-    solved = ols.solve_plan(sweep, plan, keep_fit=True)
     path = scratch_path(spark, "robust-fits")
+    solved = ols.solve_plan(sweep, plan, keep_fit=True)
     solved.write.parquet(path)
     solved = spark.read.schema(solved.schema).parquet(path)
-    rows = solved.select("model_id", "target", "predictors", "fit").collect()  # one small row a model of the plan
-    fits = {row.model_id: ols.Fit(**pickle.loads(row.fit)) for row in rows}
-    tested = _tested(sweep, fits, sweep.layout(), rows)
+    tested = _tested(sweep, solved, path)
     plain = ols.with_measures(solved.drop("fit")).drop("bp_stat", "bp_pvalue")
     joined = plain.join(tested, "model_id", "left")
     robust = F.col("hc3_pvalues").isNotNull()

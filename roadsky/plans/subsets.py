@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import comb
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadsky.functions import text
@@ -14,6 +15,30 @@ def _names(names: Sequence[str]):
     return F.array(*[F.lit(name) for name in names])
 
 
+def _model_id(targets: int, width: int, max_predictors: int) -> Column:
+    """Ids of ``t`` and ``subset``, target first, then size, then the subset itself.
+
+    Small plans tell the subset by its digits of base 1000. Others count: the
+    subsets of a size that come before, by binomial numbers, so that ids are
+    0, 1, 2, ... over the whole plan.
+    """
+    size, t = F.size("subset"), F.col("t").cast("long")
+    if max_predictors <= 5 and width <= 1000:
+        digits = F.aggregate("subset", F.lit(0).cast("long"), lambda acc, i: acc * 1000 + i)
+        return (t * 10 + size) * 10**15 + digits
+    sizes = [comb(width, k) for k in range(max_predictors + 1)]
+    if targets * sum(sizes) >= 1 << 63:
+        raise ValueError("more models than a 64-bit id can tell apart")
+    # chosen[k][m]: subsets of k out of m
+    chosen = F.array(*[F.array(*[F.lit(comb(m, k)).cast("long") for m in range(width + 1)]) for k in range(max_predictors + 1)])
+    smaller = F.array(*[F.lit(sum(sizes[1:k])).cast("long") for k in range(max_predictors + 1)])
+    # those behind: per place, subsets that go on from a later predictor
+    behind = F.aggregate(
+        F.transform("subset", lambda i, place: chosen[size - place][F.lit(width - 1) - i]), F.lit(0).cast("long"), lambda acc, n: acc + n
+    )
+    return t * sum(sizes[1:]) + smaller[size] + (chosen[size][width] - 1 - behind)
+
+
 def plan_models(
     spark: SparkSession,
     targets: Sequence[str],
@@ -27,10 +52,10 @@ def plan_models(
     Each level extends the subsets below it by a later predictor, so every
     subset appears once and in enumeration order, without any join.
     ``always_include`` names are appended, except where one is the target.
+    Ids rise by target, size and subset.
     """
     width = len(predictors)
-    if max_predictors > 5 or width > 1000:
-        raise ValueError("model ids hold at most 5 of at most 1000 predictors")
+    max_predictors = min(max_predictors, width)
     start = spark.range(len(targets) * width)
     level = start.select(
         (F.col("id") / width).cast("int").alias("t"),
@@ -57,14 +82,11 @@ def plan_models(
         formula = text.formula_plain(F.col("target"), F.col("predictors"))
     else:
         formula = text.formula(F.col("target"), F.col("predictors"))
-    # target first, then size, then the subset itself as digits of base 1000
-    rank = F.aggregate("subset", F.lit(0).cast("long"), lambda acc, i: acc * 1000 + i)
-    size = F.size("subset").cast("long")
     return (
         plan.withColumns(
             {
-                "model_id": (F.col("t").cast("long") * 10 + size) * 10**15 + rank,
-                "target": target,
+                "model_id": _model_id(len(targets), width, max_predictors),
+            "target": target,
                 "predictors": chosen,
             }
         )

@@ -96,6 +96,22 @@ def describe_schema(df: DataFrame) -> list[tuple[str, str, bool]]:
     return [(field.name, field.dataType.simpleString(), field.nullable) for field in df.schema]
 
 
+def schema_with_examples(df: DataFrame, order_by: list[str], rows: int = 3) -> DataFrame:
+    """Per column its name, type and nullability, and its values in the first rows as texts."""
+    first = preview(df.orderBy(*order_by), rows)
+    kinds = [
+        F.struct(
+            F.lit(place).alias("place"), F.lit(name).alias("name"), F.lit(kind).alias("type"), F.lit(nullable).alias("nullable"),
+            F.col(f"`{name}`").cast("string").alias("value"),
+        )
+        for place, (name, kind, nullable) in enumerate(describe_schema(df))
+    ]
+    key = F.struct(*[F.col(f"`{name}`") for name in order_by]).alias("key")
+    told = first.select(key, F.inline(F.array(*kinds)))
+    values = F.array_sort(F.collect_list(F.struct("key", "value")))
+    return told.groupBy("place", "name", "type", "nullable").agg(F.transform(values, lambda x: x["value"]).alias("examples"))
+
+
 def preview(df: DataFrame, rows: int = 5) -> DataFrame:
     """The first rows, for a look."""
     return df.limit(rows)
