@@ -1,19 +1,35 @@
 """Approximate nearest neighbours by vantage-point trees, one per shard.
 
-Nearness is the inner product. Within a shard whose longest vector has length
-M, a vector x gets the further coordinate sqrt(M^2 - |x|^2) and a query 0;
-then the nearest by distance is the one of the largest inner product, and the
-triangle inequality holds. A node keeps its vantage point and the span of
-distances in either half. A half is left out when ``factor`` times the least
-distance it can hold exceeds the query's worst neighbour so far: ``factor`` 1
-is exact search, more looks at less.
-
-Vectors are dealt to shards of about ``SHARD_VECTORS`` by a hash of the id;
-every row is in a tree. Queries come in blocks of ``BLOCK_QUERIES``; each
-block meets each shard once, and each meeting returns its best ``k`` for each
-query. Equal vectors are one point of a tree with all their ids behind it, so
-ties go to the smaller id wherever they lie. Scores are summed anew from the
-original vectors, in double precision and one fixed order.
+Nearness is the inner product. Vectors are dealt by norm first, to bands whose
+norms differ by a tenth at most, and within a band to the nearest of a few
+pivots by direction; a cell of more than ``SHARD_VECTORS`` is split by a hash
+of the id. Every row is in a tree.
+
+Within a shard whose longest vector has length M, a vector x gets the further
+coordinate sqrt(M^2 - |x|^2) and a query is scaled to length M (its order of
+neighbours does not depend on its length): all lie on one sphere, the nearest
+by distance is the one of the largest inner product, and the triangle
+inequality holds. A node keeps its vantage point and the span of distances in
+either half. A half is left out when ``factor`` times the least distance it
+can hold exceeds the query's worst neighbour so far: ``factor`` 1 is exact
+search, more looks at less.
+
+A query visits a shard of its own cell first. What it finds there bounds what
+is worth finding elsewhere: it is then sent only to cells that can still hold
+something as near, by the angle to the cell's pivot less the cell's widest
+angle (a factor-th of it), and starts there with its bound. Queries travel in
+blocks of their cell.
+
+If no factor is given, it is chosen by a bounded sample of ``SAMPLE_QUERIES``
+queries, which meet every tree: the largest of ``FACTORS`` that keeps
+``WANTED`` of their true neighbours, where each query already knows the score
+of its last one - the hardest case for recall.
+
+Equal vectors are one point of a tree with all their ids behind it. Points of
+equal product are kept by their least id, and ``SPARE`` more than asked for
+are held, so that products that differ by rounding alone are ordered by the
+scores, which are summed anew from the original vectors, in double precision
+and one fixed order. Ties go to the smaller id wherever they lie.
 
 Cases: vectors that are null, zero, or hold null or non-finite components, and
 rows with a null id take no part; rows of equal id are one vector, the
@@ -25,10 +41,11 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadsky.llm.common import stored, table
@@ -37,8 +54,18 @@ NEIGHBOURS = 20
 SHARD_VECTORS = 8192
 BLOCK_QUERIES = 1024
 LEAF = 128
-#: Measured against brute force: see the README.
-FACTOR = 3.0
+#: Norms of a band differ by this ratio at most.
+BAND = 1.1
+#: Pivots of a band, at most, and vectors they are picked from: what is known of all cells stays small.
+PIVOTS = 64
+PIVOT_SAMPLE = 512
+FACTORS = (1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 6.0)
+WANTED = 0.98
+SAMPLE_QUERIES = 128
+#: Points held beyond the neighbours asked for.
+SPARE = 12
+#: Distances this much of the radius apart count as equal when halves are left out.
+SLACK = 1e-9
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -97,35 +124,42 @@ def build_tree(ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF) -> dict:
         "ids": ids[order],
         "first": first[place],
         "count": (first[1:] - first[:-1])[place],
+        "least_id": ids[order][first[:-1]][place],
         "nodes": np.array(nodes, float),
     }
 
 
 class Search:
-    """A block of queries going down one tree together."""
-
-    def __init__(self, tree: dict, queries: np.ndarray, skip: np.ndarray, k: int, factor: float):
-        self.t, self.q, self.k, self.factor = tree, queries, k, factor
-        self.nodes = tree["nodes"]
-        self.square = (queries * queries).sum(1)
-        # one more than k: the query itself may be among them
-        self.best = np.full((len(queries), k + 1), -np.inf)
-        self.point = np.full((len(queries), k + 1), -1, np.int64)
+    """A block of queries going down one tree together. ``least``: scores that neighbours must reach."""
+
+    def __init__(self, tree: dict, queries: np.ndarray, least: np.ndarray, k: int, factor: float):
+        self.t, self.k, self.factor, self.nodes = tree, k, factor, tree["nodes"]
+        self.radius = np.sqrt(tree["most"][0])
+        scale = self.radius / np.sqrt((queries * queries).sum(1))
+        self.q, self.least = queries * scale[:, None], least * scale
+        held = k + 1 + SPARE
+        self.best = np.full((len(queries), held), -np.inf)
+        self.point = np.full((len(queries), held), -1, np.int64)
+        self.looked = 0
+
+    def away(self, product: np.ndarray) -> np.ndarray:
+        """Distance on the sphere of points with these products."""
+        return np.sqrt(np.maximum(2 * self.t["most"][0] - 2 * product, 0))
 
     def reach(self, qs: np.ndarray) -> np.ndarray:
-        """Distance of the worst neighbour held so far."""
-        return np.sqrt(np.maximum(self.square[qs] + self.t["most"][0] - 2 * self.best[qs, -1], 0))
+        """Distance of the worst neighbour that is still wanted; the query itself may be among those held."""
+        return self.away(np.maximum(self.best[qs, self.k], self.least[qs])) + SLACK * self.radius
 
     def offer(self, qs: np.ndarray, start: int, end: int) -> np.ndarray:
         product = self.q[qs] @ self.t["points"][start:end].T
-        better = np.flatnonzero((product > self.best[qs, -1:]).any(1))
+        self.looked += product.size
+        better = np.flatnonzero((product >= self.best[qs, -1:]).any(1))
         if len(better):
             mine = qs[better]
             value = np.concatenate([self.best[mine], product[better]], 1)
             point = np.concatenate([self.point[mine], np.broadcast_to(np.arange(start, end), (len(mine), end - start))], 1)
-            top = np.argpartition(-value, self.k, axis=1)[:, : self.k + 1]
-            value, point = np.take_along_axis(value, top, 1), np.take_along_axis(point, top, 1)
-            order = np.argsort(-value, axis=1, kind="stable")
+            first = np.where(point >= 0, self.t["least_id"][point], np.iinfo(np.int64).max)
+            order = np.lexsort((first, -value), axis=1)[:, : self.best.shape[1]]
             self.best[mine] = np.take_along_axis(value, order, 1)
             self.point[mine] = np.take_along_axis(point, order, 1)
         return product
@@ -138,8 +172,7 @@ class Search:
         if near < 0:
             self.offer(qs, start, end)
             return
-        product = self.offer(qs, start, start + 1)[:, 0]
-        away = np.sqrt(np.maximum(self.square[qs] + self.t["most"][0] - 2 * product, 0))
+        away = self.away(self.offer(qs, start, start + 1)[:, 0])
         least_near = np.maximum(np.maximum(away - b, a - away), 0) * self.factor
         least_far = np.maximum(np.maximum(away - d, c - away), 0) * self.factor
         inner = least_near <= least_far
@@ -149,9 +182,9 @@ class Search:
             self.go(int(child), qs[mine])
 
 
-def nearest(tree: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> pd.DataFrame:
-    """(query_id, vec_id, score) of each query's best ``k`` in the tree, itself left out."""
-    search = Search(tree, queries, query_ids, k, factor)
+def nearest(tree: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float, least: np.ndarray | None = None) -> tuple[pd.DataFrame, int]:
+    """(query_id, vec_id, score) of each query's best ``k`` in the tree, itself left out; and how many products it took."""
+    search = Search(tree, queries, np.full(len(queries), -np.inf) if least is None else least, k, factor)
     search.go(0, np.arange(len(queries)))
     q, slot = np.nonzero(search.point >= 0)
     point = search.point[q, slot]
@@ -167,42 +200,249 @@ def nearest(tree: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, fact
     q, score, ids = q[order], score[order], ids[order]
     rank = np.arange(len(q)) - np.searchsorted(q, q)
     top = rank < k
-    return pd.DataFrame({"query_id": query_ids[q[top]], "vec_id": ids[top], "score": score[top]})
+    return pd.DataFrame({"query_id": query_ids[q[top]], "vec_id": ids[top], "score": score[top]}), search.looked
+
+
+# ---- cells ---------------------------------------------------------------------
+
+
+@dataclass
+class Cells:
+    """What is known of all cells: a row each, bounded by the pivots of all bands."""
+
+    dim: np.ndarray
+    band: np.ndarray
+    pivots: list[np.ndarray]
+    widest: np.ndarray | None = None  # angle
+    short: np.ndarray | None = None
+    long: np.ndarray | None = None
+    parts: np.ndarray | None = None
+
+    def of(self, dim: int, band: int | None = None) -> np.ndarray:
+        return np.flatnonzero((self.dim == dim) & (True if band is None else self.band == band))
+
+    def cosines(self, own: np.ndarray, units: np.ndarray) -> np.ndarray:
+        return np.clip(units @ np.array([self.pivots[c] for c in own]).T, -1.0, 1.0)
+
+    def most(self, own: np.ndarray, queries: np.ndarray, factor: float) -> np.ndarray:
+        """The largest score that each query can find in each cell, with the cell's width taken as a ``factor``-th of it."""
+        lengths = np.sqrt((queries * queries).sum(1))
+        angle = np.arccos(self.cosines(own, queries / lengths[:, None])) - self.widest[own] / factor
+        cosine = np.cos(np.maximum(angle - SLACK, 0))
+        return lengths[:, None] * np.where(cosine >= 0, cosine * self.long[own], cosine * self.short[own]) * (1 + SLACK * np.sign(cosine))
+
+
+def band_of(norm: Column) -> Column:
+    """Unit vectors, which are a little longer or shorter than 1, lie in the middle of a band."""
+    return F.floor(F.log(norm) / np.log(BAND) + 0.5).cast("int")
 
 
-def build_index(vectors: DataFrame, shard_vectors: int = SHARD_VECTORS) -> DataFrame:
-    """(dim, shard, tree) over the rows of ``usable``."""
-    shards = max(1, -(-vectors.count() // shard_vectors))
+def _vectors(frame: pd.DataFrame) -> np.ndarray:
+    return np.array(frame["v"].tolist(), float)
+
+
+def _norms(vectors: np.ndarray) -> np.ndarray:
+    """Lengths, of very long and very short vectors too."""
+    most = np.abs(vectors).max(1)
+    return most * np.sqrt(((vectors / most[:, None]) ** 2).sum(1))
+
+
+def spread_out(vectors: np.ndarray, wanted: int) -> np.ndarray:
+    """Directions of up to ``wanted`` vectors, each the one farthest from those before."""
+    units = vectors / _norms(vectors)[:, None]
+    chosen, nearest_cosine = [0], units @ units[0]
+    while len(chosen) < min(wanted, len(units)):
+        far = int(nearest_cosine.argmin())
+        if nearest_cosine[far] > 1 - 1e-12:
+            break
+        chosen.append(far)
+        nearest_cosine = np.maximum(nearest_cosine, units @ units[far])
+    return units[chosen]
+
+
+def dealt(vectors: DataFrame, shard_vectors: int) -> tuple[DataFrame, Cells]:
+    """(dim, cell, part, vec_id, v) of every vector, and the cells."""
+    most = F.array_max(F.transform("v", F.abs))
+    norm = most * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / most) * (x / most)))
+    banded = vectors.select("vec_id", "v", F.size("v").alias("dim"), band_of(norm).alias("band"))
+    counts = banded.groupBy("dim", "band").agg(F.least(F.lit(PIVOTS), 4 * F.ceil(F.count("*") / shard_vectors)).cast("int").alias("wanted"))
+    order = Window.partitionBy("dim", "band").orderBy(F.xxhash64("vec_id"), "vec_id")
+    first = banded.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PIVOT_SAMPLE)
+
+    def pick(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        found = spread_out(_vectors(frame.sort_values("place")), int(frame["wanted"].iloc[0]))
+        return pd.DataFrame({"dim": key[0], "band": key[1], "v": found.tolist()})
+
+    picked = first.join(counts, ["dim", "band"]).groupBy("dim", "band").applyInPandas(pick, "dim int, band int, v array<double>")
+    rows = picked.orderBy("dim", "band", "v").collect()  # a bounded number a band
+    pivots = [np.array(r["v"], float) for r in rows]
+    cells = Cells(np.array([r["dim"] for r in rows], np.int64), np.array([r["band"] for r in rows], np.int64), pivots)
+
+    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for (dim, band), own in frame.groupby(["dim", "band"], sort=False):
+                there, vectors = cells.of(dim, band), _vectors(own)
+                norms = _norms(vectors)
+                cosine = cells.cosines(there, vectors / norms[:, None])
+                near = cosine.argmax(1)
+                angle = np.arccos(cosine[np.arange(len(own)), near])
+                yield own.drop(columns="band").assign(cell=there[near], angle=angle, norm=norms)
+
+    placed = stored(banded.mapInPandas(assign, "vec_id long, v array<double>, dim int, cell int, angle double, norm double"), "placed")
+    told = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("widest"), F.min("norm").alias("short"), F.max("norm").alias("long"))
+    cells.widest, cells.short, cells.long = (np.zeros(len(pivots)) for _ in range(3))
+    cells.parts = np.zeros(len(pivots), np.int64)
+    for row in told.collect():  # a row a cell
+        c = row["cell"]
+        cells.widest[c], cells.short[c], cells.long[c] = row["widest"], row["short"], row["long"]
+        cells.parts[c] = -(-row["n"] // shard_vectors)
+    parts = F.element_at(F.array(*[F.lit(int(p)) for p in cells.parts] or [F.lit(1)]), F.col("cell") + 1)
+    part = F.pmod(F.xxhash64("vec_id", F.lit(3)), parts).cast("int")
+    return placed.select("dim", "cell", part.alias("part"), "vec_id", "v"), cells
+
+
+@dataclass
+class Index:
+    """Trees by (cell, part), and the cells."""
+
+    trees: DataFrame
+    cells: Cells
+
+
+def build_index(vectors: DataFrame, shard_vectors: int = SHARD_VECTORS) -> Index:
+    """Trees over the rows of ``usable``."""
 
     def tree(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        built = build_tree(frame["vec_id"].to_numpy(np.int64), np.array(frame["v"].tolist(), float))
-        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "tree": [pack(**built)]})
+        built = build_tree(frame["vec_id"].to_numpy(np.int64), _vectors(frame))
+        return pd.DataFrame({"cell": [key[0]], "part": [key[1]], "tree": [pack(**built)]})
 
-    dealt = vectors.withColumns({"dim": F.size("v"), "shard": F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")})
-    return stored(dealt.groupBy("dim", "shard").applyInPandas(tree, "dim int, shard int, tree binary"), "vantage")
+    rows, cells = dealt(vectors, shard_vectors)
+    trees = rows.groupBy("cell", "part").applyInPandas(tree, "cell int, part int, tree binary")
+    return Index(stored(trees, "vantage"), cells)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, factor: float = FACTOR) -> DataFrame:
-    """(query_id, rank, vec_id, score) for ``queries`` (vec_id, v)."""
-    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+# ---- search --------------------------------------------------------------------
+
+
+def _blocks(queries: DataFrame, cells: Cells) -> DataFrame:
+    """(block, dim, home, data): queries of one home cell, the cell of the best bound, in blocks."""
+
+    def home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for dim, own in frame.groupby("dim", sort=False):
+                there = cells.of(dim)
+                bound = cells.most(there, _vectors(own), 1.0)
+                yield own.assign(home=there[bound.argmax(1)])
 
     def block(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        data = pack(ids=frame["vec_id"].to_numpy(np.int64), v=np.array(frame["v"].tolist(), float))
-        return pd.DataFrame({"dim": [key[0]], "data": [data]})
+        frame = frame.sort_values("vec_id")
+        data = pack(ids=frame["vec_id"].to_numpy(np.int64), v=_vectors(frame), least=frame["least"].to_numpy(float))
+        return pd.DataFrame({"dim": [key[0]], "home": [key[1]], "data": [data]})
+
+    named = queries.select("vec_id", "v", "least", F.size("v").alias("dim"))
+    homes = named.mapInPandas(home, "vec_id long, v array<double>, least double, dim int, home int")
+    # a home cell's queries are a share of its vectors: blocks follow the number of its parts
+    lots = F.element_at(F.array(*[F.lit(int(max(1, -(-p * SHARD_VECTORS // BLOCK_QUERIES)))) for p in cells.parts] or [F.lit(1)]), F.col("home") + 1)
+    return homes.withColumn("lot", F.pmod(F.xxhash64("vec_id", F.lit(7)), lots)).groupBy("dim", "home", "lot").applyInPandas(
+        block, "dim int, home int, data binary"
+    )
+
+
+def _meet(sent: DataFrame, index: Index, k: int, factor: float) -> DataFrame:
+    """(query_id, vec_id, score) where blocks (cell, part, data) meet trees."""
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for tree, data in zip(frame["tree"], frame["data"], strict=True):
                 held = unpack(data)
-                yield nearest(unpack(tree), held["ids"], held["v"], k, factor)
+                yield nearest(unpack(tree), held["ids"], held["v"], k, factor, held["least"])[0]
+
+    found = sent.join(index.trees, ["cell", "part"]).select("tree", "data")
+    return found.mapInPandas(meet, "query_id long, vec_id long, score double")
+
+
+def search(index: Index, queries: DataFrame, k: int = NEIGHBOURS, factor: float | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score) for ``queries`` (vec_id, v). Without a ``factor``, one is chosen."""
+    cells = index.cells
+    if not cells.pivots:
+        return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if factor is None:
+        factor, _ = choose_factor(index, queries, k)
+
+    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"cell": frame["home"], "part": np.zeros(len(frame), np.int32), "data": frame["data"]})
+
+    def further(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for dim, home, data in zip(frame["dim"], frame["home"], frame["data"], strict=True):
+                held = unpack(data)
+                there = cells.of(dim)
+                worth = cells.most(there, held["v"], factor) >= held["least"][:, None]
+                for cell, mine in zip(there.tolist(), worth.T, strict=True):
+                    if not mine.any():
+                        continue
+                    own = data if mine.all() else pack(**{name: x[mine] for name, x in held.items()})
+                    for part in range(int(cells.parts[cell])):
+                        if (cell, part) != (home, 0):
+                            yield pd.DataFrame({"cell": [cell], "part": [part], "data": [own]})
+
+    sent = "cell int, part int, data binary"
+    near = stored(_meet(_blocks(queries.withColumn("least", F.lit(float("-inf"))), cells).mapInPandas(first, sent), index, k, factor), "near")
+    last = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    known = queries.join(last.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").na.fill(float("-inf"), ["least"])
+    rest = _meet(_blocks(known, cells).mapInPandas(further, sent), index, k, factor)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = near.unionByName(rest).withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def choose_factor(index: Index, queries: DataFrame, k: int = NEIGHBOURS, wanted: float = WANTED) -> tuple[float, dict[float, tuple[float, float]]]:
+    """The largest factor that keeps ``wanted`` of the neighbours of a sample of queries; and per factor, recall and share
+    of all products that were formed. The sampled queries meet every tree: exactly first, then by each factor."""
+    cells = index.cells
+    sample = queries.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(SAMPLE_QUERIES).collect()
+    of_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for dim in {len(r["v"]) for r in sample}:
+        own = [r for r in sample if len(r["v"]) == dim]
+        of_dim[dim] = np.array([r["vec_id"] for r in own], np.int64), np.array([r["v"] for r in own], float)
+
+    def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for data in frame["tree"]:
+                tree = unpack(data)
+                ids, q = of_dim.get(tree["points"].shape[1], (None, None))
+                if ids is not None:
+                    yield nearest(tree, ids, q, k, 1.0)[0]
 
-    dealt = queries.withColumns({"dim": F.size("v"), "block": F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int")})
-    packed = dealt.groupBy("dim", "block").applyInPandas(block, "dim int, data binary")
-    shards = index.select("dim", "shard").groupBy("dim").agg(F.collect_set("shard").alias("shard"))
-    sent = packed.join(shards, "dim").select("dim", F.explode("shard").alias("shard"), "data")
-    found = sent.join(index, ["dim", "shard"]).select("tree", "data").mapInPandas(meet, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = index.trees.mapInPandas(exact, "query_id long, vec_id long, score double")
+    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).collect()  # k a sampled query
+    truth = {(r["query_id"], r["vec_id"]) for r in best}
+    last: dict[int, float] = {}
+    for r in best:
+        if r["rank"] == k:
+            last[r["query_id"]] = r["score"]
+    least_of = {dim: np.array([last.get(i, -np.inf) for i in ids.tolist()]) for dim, (ids, _) in of_dim.items()}
+
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for cell, data in zip(frame["cell"], frame["tree"], strict=True):
+                tree = unpack(data)
+                dim = tree["points"].shape[1]
+                if dim not in of_dim:
+                    continue
+                (ids, q), least = of_dim[dim], least_of[dim]
+                for factor in FACTORS:
+                    sent = cells.most(np.array([cell]), q, factor)[:, 0] >= least
+                    met, looked = nearest(tree, ids[sent], q[sent], k, factor, least[sent])
+                    kept = len(truth & set(zip(met["query_id"], met["vec_id"], strict=True)))
+                    yield pd.DataFrame({"factor": [factor], "kept": [kept], "looked": [looked], "all": [len(ids) * len(tree["points"])]})
+
+    rows = index.trees.mapInPandas(measure, "factor double, kept long, looked long, all long")
+    told = rows.groupBy("factor").agg(F.sum("kept").alias("kept"), (F.sum("looked") / F.sum("all")).alias("share")).collect()
+    measured = {r["factor"]: (r["kept"] / max(1, len(truth)), r["share"]) for r in told}
+    return max([f for f, (recall, _) in measured.items() if recall >= wanted], default=1.0), measured
 
 
 def op9_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,3 +63,49 @@ def test_few_and_none(spark):
     assert [tuple(r) for r in found] == [(0, 1, 1, 0.5)]
     none = vantage.usable(table(spark, [(0, [0.0, 0.0])]))
     assert vantage.search(vantage.build_index(none), none).count() == 0
+
+
+def recall(found, want, k=20):
+    got = {}
+    for r in found:
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    return np.mean([len(got.get(q, set()) & {i for i, _ in want[q]}) / len(want[q]) for q in want])
+
+
+@pytest.mark.parametrize("shard", [150, 10_000])
+def test_ties_of_whole_numbers_at_factor_one(spark, shard):
+    r = np.random.default_rng(9)
+    rows = [(int(i), r.integers(-2, 3, 6).astype(float).tolist()) for i in r.permutation(1500)]
+    vectors = vantage.usable(table(spark, rows))
+    found = vantage.search(vantage.build_index(vectors, shard), vectors.filter("vec_id % 20 = 0"), 20, 1.0).collect()
+    got = {}
+    for x in sorted(found, key=lambda x: (x["query_id"], x["rank"])):
+        got.setdefault(x["query_id"], []).append((x["vec_id"], x["score"]))
+    assert got == brute(rows, lambda q: q % 20 == 0, 20)
+
+
+def shapes(kind, n=4000, width=24):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(n, width))
+    if kind == "clustered":
+        x = r.normal(size=(40, width))[r.integers(0, 40, n)] + 0.15 * x
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "one long":
+        x[7] *= 3
+    if kind == "lognormal":
+        x *= r.lognormal(0, 1, (n, 1))
+    return [(i, v.tolist()) for i, v in enumerate(x)]
+
+
+@pytest.mark.parametrize("kind", ["unit", "one long", "lognormal", "clustered"])
+def test_recall_of_the_chosen_factor(spark, kind):
+    rows = shapes(kind)
+    vectors = vantage.usable(table(spark, rows))
+    index = vantage.build_index(vectors, 800)
+    assert index.trees.count() >= 4
+    queries = vectors.filter("vec_id % 20 = 0")
+    want = brute(rows, lambda q: q % 20 == 0, 20)
+    factor, measured = vantage.choose_factor(index, queries)
+    assert recall(vantage.search(index, queries, 20, factor).collect(), want) >= 0.9
+    if kind == "clustered":
+        assert measured[factor][1] < 0.3
