@@ -17,8 +17,8 @@ search, more looks at less.
 A query visits a shard of its own cell first. What it finds there bounds what
 is worth finding elsewhere: it is then sent only to cells that can still hold
 something as near, by the angle to the cell's pivot less the cell's widest
-angle (a factor-th of it), and starts there with its bound. Queries travel in
-blocks of their cell.
+angle, relaxed by the factor as well, and starts there with its bound. Queries
+travel in blocks of their cell.
 
 If no factor is given, it is chosen by a bounded sample of ``SAMPLE_QUERIES``
 queries, which meet every tree: the largest of ``FACTORS`` that keeps
@@ -225,10 +225,12 @@ class Cells:
         return np.clip(units @ np.array([self.pivots[c] for c in own]).T, -1.0, 1.0)
 
     def most(self, own: np.ndarray, queries: np.ndarray, factor: float) -> np.ndarray:
-        """The largest score that each query can find in each cell, with the cell's width taken as a ``factor``-th of it."""
+        """The largest score that each query can find in each cell. Relaxed, the angle between query and cell is
+        ``factor`` times its least, but no more than with a cell of a ``factor``-th of its width."""
         lengths = np.sqrt((queries * queries).sum(1))
-        angle = np.arccos(self.cosines(own, queries / lengths[:, None])) - self.widest[own] / factor
-        cosine = np.cos(np.maximum(angle - SLACK, 0))
+        angle, widest = np.arccos(self.cosines(own, queries / lengths[:, None])), self.widest[own]
+        least = np.minimum(np.maximum(angle - widest, 0) * factor, np.maximum(angle - widest / factor, 0))
+        cosine = np.cos(np.maximum(least - SLACK, 0))
         return lengths[:, None] * np.where(cosine >= 0, cosine * self.long[own], cosine * self.short[own]) * (1 + SLACK * np.sign(cosine))
 
 
