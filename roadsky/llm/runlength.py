@@ -29,12 +29,13 @@ same place. A *span* is the stretch of text whose windows share such an anchor.
 Marks are then joined to the documents, which travel compressed.
 
 Spans and windows are told apart by a 64-bit hash together with a 32-bit
-anchor; shards compare the bytes themselves.
+anchor; shards compare the bytes themselves. Rows are told apart by their id
+and a 62-bit hash of their text.
 
 Cases: null and empty texts keep nothing and lose nothing; rows of equal id
 and text are one document listed twice, with one result each; rows of equal id
-and different texts are ordered by a hash of the text where start and id are
-equal; a null id comes after all others. Columns beside id and text are not
+and different texts are ordered by a hash of the text; a null id comes after
+all others, among themselves by that hash. Columns beside id and text are not
 looked at.
 """
 
@@ -57,11 +58,18 @@ GRAM = 32
 HOT_SPANS = 20_000
 #: Spans in a shard, about.
 SHARD_SPANS = 20_000
+#: Bytes of spans in a shard, about.
+SHARD_BYTES = 3_000_000
 _LAST_ID = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _VALUE = np.random.default_rng(5).integers(1, 1 << 63, 256).astype(np.uint64) | np.uint64(1)
 _MARK, _SPAN, _PART, _HOT = 1, 0, 2, 3
-_ROW = "kind int, key int, span long, doc long, at long, n int"
+#: Characters of 9 bits that fit a number: what suffixes are sorted by first.
+_PACKED = 7
+#: Tags of rows without an id are above this, those of others below.
+_NO_ID = 1 << 62
+_ROW = "kind int, key int, span long, doc long, tag long, at long, n int"
+_ROW_TYPES = {"kind": "int32", "key": "int32", "span": "int64", "doc": "int64", "tag": "int64", "at": "int64", "n": "int32"}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -95,19 +103,17 @@ class Prefix:
         return _mixed((self.sums[end] - self.sums[start]) * self.power[start] + (end - start).astype(np.uint64))
 
 
-def text_tag(raw: bytes) -> int:
-    """16 bits that tell rows of equal id apart."""
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=2).digest(), "little")
+def text_tag(raw: bytes, no_id: bool) -> int:
+    """Tells rows of equal id apart, and rows without an id from others."""
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little") >> 2 | (_NO_ID if no_id else 0)
 
 
-def spans_of(docs: list[int], raws: list[bytes], length: int = LENGTH, gram: int = GRAM) -> pd.DataFrame:
+def spans_of(docs: list[int], tags: list[int], raws: list[bytes], length: int = LENGTH, gram: int = GRAM) -> pd.DataFrame:
     """Spans (kind 0) of the texts; those that repeat an earlier one of the same block are marks (kind 1)."""
-    keep = [i for i, r in enumerate(raws) if len(r) >= length]
-    empty = pd.DataFrame({"kind": [], "key": [], "span": [], "doc": [], "at": [], "n": []}).astype(
-        {"kind": "int32", "key": "int32", "span": "int64", "doc": "int64", "at": "int64", "n": "int32"}
-    )
+    # in document order, so that what is found is sorted by document and place
+    keep = sorted((i for i, r in enumerate(raws) if len(r) >= length), key=lambda i: (docs[i], tags[i]))
     if not keep:
-        return empty
+        return pd.DataFrame({name: np.zeros(0, kind) for name, kind in _ROW_TYPES.items()})
     data = np.frombuffer(b"".join(raws[i] for i in keep), np.uint8)
     sizes = np.array([len(raws[i]) for i in keep], np.int64)
     first = bounds(sizes)
@@ -129,42 +135,61 @@ def spans_of(docs: list[int], raws: list[bytes], length: int = LENGTH, gram: int
     end = start + n + length - 1
     span = Prefix(data).of(start, end)
     owner = np.searchsorted(first, start, "right") - 1
-    ids = np.array([docs[i] for i in keep], np.int64)[owner]
-    tags = np.array([text_tag(raws[i]) for i in keep], np.int64)[owner]
-    at = (start - first[owner]) << 16 | tags
     key = (h[at_anchor] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-    order = np.lexsort((at, ids, span, key))
-    key, span, ids, at, n = (x[order] for x in (key, span, ids, at, n))
-    first_of, later = _leaders(key, span, ids, at)
-    out = pd.DataFrame({"kind": np.int32(_SPAN), "key": key, "span": span.view(np.int64), "doc": ids, "at": at, "n": n.astype(np.int32)})
-    marks = merged_marks(ids[later], at[later], n[later])
-    return pd.concat([out[first_of], marks], ignore_index=True) if len(marks) else out[first_of]
+    order = np.lexsort((span, key))
+    ids, own_tags = np.array([docs[i] for i in keep], np.int64), np.array([tags[i] for i in keep], np.int64)
+    owner, at = owner[order], (start - first[owner])[order]
+    rows = pd.DataFrame(
+        {
+            "kind": np.full(len(order), _SPAN, np.int32),
+            "key": key[order],
+            "span": span[order].view(np.int64),
+            "doc": ids[owner],
+            "tag": own_tags[owner],
+            "at": at,
+            "n": n[order].astype(np.int32),
+        }
+    )
+    first_of, later = _leaders(rows, None)
+    marks = merged_marks(rows[later])
+    return pd.concat([rows[first_of], marks], ignore_index=True) if len(marks) else rows[first_of]
+
 
+def _leaders(rows: pd.DataFrame, before: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows: which are the first of their span, and which stand later; a row listed twice is neither.
 
-def _leaders(key: np.ndarray, span: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted rows: which are the first of their span, and which stand later; a row listed twice is neither."""
-    new = np.ones(len(key), bool)
+    ``before``: (key, span, doc, tag, at) of the first row of the span that was open when these rows began.
+    """
+    key, span, doc, tag, at = (rows[c].to_numpy() for c in ("key", "span", "doc", "tag", "at"))
+    new = np.ones(len(rows), bool)
     new[1:] = (key[1:] != key[:-1]) | (span[1:] != span[:-1])
-    leader = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-    return new, (doc != doc[leader]) | (at != at[leader])
+    new[0] = before is None or (key[0], span[0]) != before[:2]
+    leader = np.maximum.accumulate(np.where(new, np.arange(len(rows)), -1))
+    later = (doc != doc[leader]) | (tag != tag[leader]) | (at != at[leader])
+    if before is not None:
+        going_on = leader < 0
+        later[going_on] = (doc[going_on] != before[2]) | (tag[going_on] != before[3]) | (at[going_on] != before[4])
+    return new, later & ~new
 
 
-def merged_marks(doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+def merged_marks(rows: pd.DataFrame) -> pd.DataFrame:
     """Marks with neighbours joined; dealt to tasks by where they stand, not by what they say."""
-    order = np.lexsort((at >> 16, at & 0xFFFF, doc))
-    doc, at, n = doc[order], at[order], n[order].astype(np.int64)
+    doc, tag, at, n = (rows[c].to_numpy() for c in ("doc", "tag", "at", "n"))
+    order = np.lexsort((at, tag, doc))
+    doc, tag, at, n = doc[order], tag[order], at[order], n[order].astype(np.int64)
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + (n[:-1] << 16))
+    new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (at[1:] != at[:-1] + n[:-1])
     begin = np.flatnonzero(new)
     n = np.add.reduceat(n, begin) if len(begin) else n
-    doc, at = doc[begin], at[begin]
-    where = _mixed(doc.astype(np.uint64) * np.uint64(_BASE) + at.astype(np.uint64))
+    doc, tag, at = doc[begin], tag[begin], at[begin]
+    where = _mixed((doc ^ tag).astype(np.uint64) * np.uint64(_BASE) + at.astype(np.uint64))
     return pd.DataFrame(
         {
             "kind": np.full(len(doc), _MARK, np.int32),
             "key": (where & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32),
             "span": np.zeros(len(doc), np.int64),
             "doc": doc,
+            "tag": tag,
             "at": at,
             "n": n.astype(np.int32),
         }
@@ -172,20 +197,17 @@ def merged_marks(doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> pd.DataFrame
 
 
 def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Over rows sorted by (kind, key, span, doc, at): later equal spans become marks, first ones of anchors with
-    several spans stay as parts, first ones of an anchor with one span go."""
-    rest = None
-
-    def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        key, span = rows["key"].to_numpy(), rows["span"].to_numpy()
-        new_key = np.ones(len(rows), bool)
-        new_key[1:] = key[1:] != key[:-1]
-        new_span, later = _leaders(key, span, rows["doc"].to_numpy(), rows["at"].to_numpy())
-        group = np.cumsum(new_key) - 1
-        different = np.bincount(group[new_span], minlength=group[-1] + 1)[group]
-        kind = np.where(~new_span, _MARK, np.where(different > HOT_SPANS, _HOT, _PART))
-        keep = later | (new_span & (different > 1))
-        return rows[keep].assign(kind=kind[keep].astype(np.int32))
+    """Over rows sorted by (kind, key, span, doc, tag, at): later equal spans become marks, first ones of anchors with
+    several spans stay as parts, first ones of an anchor with one span go.
+
+    Rows are judged as they come. Of the anchor that is still open at the end of a frame, only first ones are held, and
+    no more than ``HOT_SPANS``: beyond that they are handed on as hot.
+    """
+    open_key, before, held, hot = None, None, [], False
+
+    def closed() -> Iterator[pd.DataFrame]:
+        if sum(map(len, held)) > 1 and not hot:
+            yield pd.concat(held, ignore_index=True).assign(kind=np.int32(_PART))
 
     for frame in frames:
         spans = frame[frame["kind"] == _SPAN]
@@ -193,15 +215,42 @@ def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield frame[frame["kind"] == _MARK]
         if not len(spans):
             continue
-        if rest is not None:
-            spans = pd.concat([rest, spans], ignore_index=True)
-        open_key = spans["key"].iloc[-1]
-        closed = int(np.searchsorted(spans["key"].to_numpy(), open_key))
-        if closed:
-            yield decide(spans.iloc[:closed])
-        rest = spans.iloc[closed:]
-    if rest is not None:
-        yield decide(rest)
+        new, later = _leaders(spans, before)
+        if later.any():
+            yield spans[later].assign(kind=np.int32(_MARK))
+        last = spans[new].tail(1)
+        if len(last):
+            before = tuple(last[c].iloc[0] for c in ("key", "span", "doc", "tag", "at"))
+        leaders = spans[new]
+        if not len(leaders):
+            continue
+        keys = leaders["key"].to_numpy()
+        edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        counts = np.diff(np.append(edge, len(keys)))
+        if open_key is not None and keys[0] != open_key:
+            yield from closed()
+            held, hot = [], False
+        # the frame's first anchor goes on from the last frame, its last one goes on in the next
+        first_end, last_start = int(counts[0]), int(edge[-1])
+        if len(edge) > 1:
+            held.append(leaders.iloc[:first_end])
+            if hot or sum(map(len, held)) > HOT_SPANS:
+                yield pd.concat(held, ignore_index=True).assign(kind=np.int32(_HOT))
+            else:
+                yield from closed()
+            held, hot = [], False
+            size = np.repeat(counts, counts)
+            whole = np.arange(len(keys))
+            whole = (whole >= first_end) & (whole < last_start) & (size > 1)
+            if whole.any():
+                kind = np.where(size[whole] > HOT_SPANS, _HOT, _PART).astype(np.int32)
+                yield leaders[whole].assign(kind=kind)
+        held.append(leaders.iloc[last_start:])
+        open_key = keys[-1]
+        if hot or sum(map(len, held)) > HOT_SPANS:
+            yield pd.concat(held, ignore_index=True).assign(kind=np.int32(_HOT))
+            held, hot = [], True
+    yield from closed()
 
 
 class RunLengthIndex:
@@ -213,15 +262,18 @@ class RunLengthIndex:
         joined = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.int64) + len(texts)
         joined[self.ends] = np.arange(len(texts))
         n = len(joined)
-        order, ranks, size, at_half = None, joined, 1, None
+        order, ranks, open_places, size = self._begun(joined, len(texts), min(_PACKED, length))
+        half, at_half = None, None
         while True:
-            order, ranks, distinct = self._doubled(ranks, size)
-            size *= 2
-            if size * 2 > length and at_half is None:
+            if half is None and size * 2 > length:
                 # two strings of this size, overlapping, make one of ``length``
-                at_half, half = ranks, size
-            if distinct == n:
+                half, at_half = size, ranks.copy()
+            if not len(open_places):
                 break
+            open_places = self._doubled(order, ranks, open_places, size)
+            size *= 2
+        if half is None:
+            half, at_half = length, ranks
         shifted = np.concatenate([at_half[length - half :], np.full(length - half, -1)])
         same = (at_half[order][1:] == at_half[order][:-1]) & (shifted[order][1:] == shifted[order][:-1])
         last = joined[order - 1]
@@ -238,16 +290,52 @@ class RunLengthIndex:
         self.size = n
 
     @staticmethod
-    def _doubled(ranks: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Order and ranks by twice as many characters."""
-        after = np.concatenate([ranks[size:], np.full(min(size, len(ranks)), -1)])
-        keys = (ranks.astype(np.uint64) << np.uint64(32)) | (after + 1).astype(np.uint64)
-        order = np.argsort(keys)
-        ordered = keys[order]
-        dense = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-        out = np.empty(len(keys), np.int64)
-        out[order] = dense
-        return order, out, int(dense[-1]) + 1
+    def _begun(joined: np.ndarray, signs: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(order, ranks, open places, size): suffixes by their first ``size`` characters, up to a closing sign.
+
+        A rank is the first place of its group in the order; open places are those of groups of several.
+        """
+        n = len(joined)
+        code = np.where(joined < signs, 0, joined - signs + 1).astype(np.uint64)
+        packed, ended = np.zeros(n, np.uint64), np.zeros(n, bool)
+        for i in range(size):
+            own = np.zeros(n, np.uint64)
+            own[: n - i] = code[i:]
+            ended |= own == 0
+            packed = (packed << np.uint64(9)) | np.where(ended, np.uint64(0), own)
+        # closing signs are ranked by their order, which a stable sort keeps
+        order = np.argsort(packed, kind="stable")
+        ordered = packed[order]
+        new = np.ones(n, bool)
+        new[1:] = (ordered[1:] != ordered[:-1]) | ended[order[1:]]
+        ranks, open_places = RunLengthIndex._ranked(order, new, np.arange(n))
+        out = np.empty(n, np.int64)
+        out[order] = ranks
+        return order, out, open_places, size
+
+    @staticmethod
+    def _ranked(order: np.ndarray, new: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank per place, and the places whose group has several."""
+        ranks = np.maximum.accumulate(np.where(new, places, 0))
+        alone = new & np.append(new[1:], True)
+        return ranks, places[~alone]
+
+    @staticmethod
+    def _doubled(order: np.ndarray, ranks: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+        """Sorts the open places by twice as many characters, in place; what is open still."""
+        suffix = order[places]
+        group = ranks[suffix]
+        after = suffix + size
+        behind = np.where(after < len(ranks), ranks[np.minimum(after, len(ranks) - 1)] + 1, 0)
+        keys = (group.astype(np.uint64) << np.uint64(32)) | behind.astype(np.uint64)
+        by = np.argsort(keys)
+        suffix, keys = suffix[by], keys[by]
+        order[places] = suffix
+        new = np.ones(len(places), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        rank, open_places = RunLengthIndex._ranked(order, new, places)
+        ranks[suffix] = rank
+        return open_places
 
     def stream(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(text, position, class of the suffix there), all texts a character further back each time."""
@@ -276,27 +364,39 @@ class RunLengthIndex:
 def shard_marks(frame: pd.DataFrame, length: int = LENGTH) -> pd.DataFrame:
     """Marks of the windows of a shard's spans that are not the first of their text."""
     # a document listed twice has sent its spans twice
-    frame = frame.drop_duplicates(["doc", "at"]).sort_values(["doc", "at"], kind="stable")
+    frame = frame.drop_duplicates(["doc", "tag", "at"]).sort_values(["doc", "tag", "at"], kind="stable")
     texts = [bytes(t) for t in frame["bytes"]]
     index = RunLengthIndex(texts, length)
     again = np.flatnonzero(index.repeats())
     text = np.searchsorted(index.ends, again)
     begins = np.concatenate([[0], index.ends[:-1] + 1])
-    offset = again - begins[text]
-    doc, at = frame["doc"].to_numpy()[text], frame["at"].to_numpy()[text] + (offset << 16)
-    return merged_marks(doc, at, np.ones(len(doc), np.int64))
+    doc, tag, at = (frame[c].to_numpy()[text] for c in ("doc", "tag", "at"))
+    return merged_marks(pd.DataFrame({"doc": doc, "tag": tag, "at": at + again - begins[text], "n": np.ones(len(doc), np.int64)}))
+
+
+def named(frame: pd.DataFrame) -> tuple[list[int], list[int], list[bytes]]:
+    """(doc, tag, text as bytes) of rows: ``doc`` stands for the id, behind all others if null."""
+    raws = [(t or "").encode() for t in frame["text"]]
+    none = frame["doc_id"].isna().tolist()
+    docs = [_LAST_ID if gone else int(i) for i, gone in zip(frame["id_text"], none, strict=True)]
+    return docs, [text_tag(raw, gone) for raw, gone in zip(raws, none, strict=True)], raws
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    # pandas holds whole numbers beside nulls as doubles, which lose digits: the id travels as text as well
+    return docs.select("doc_id", F.col("doc_id").cast("long").cast("string").alias("id_text"), "text")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc, packed): texts compressed for the shuffle; ``doc`` stands for the id, behind all others if null."""
+    """(doc, tag, packed): texts compressed for the shuffle."""
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = zstandard.ZstdCompressor(level=3)
         for frame in frames:
-            yield frame[["doc"]].assign(packed=[packer.compress((t or "").encode()) for t in frame["text"]])
+            ids, tags, raws = named(frame)
+            yield pd.DataFrame({"doc": ids, "tag": tags, "packed": [packer.compress(raw) for raw in raws]})
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("doc"), "text")
-    return rows.mapInPandas(pack, "doc long, packed binary")
+    return _rows(docs).mapInPandas(pack, "doc long, tag long, packed binary")
 
 
 def _unpacked(packed: bytes) -> bytes:
@@ -308,33 +408,29 @@ def decisions(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
 
     def spans(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts, ids = frame["text"].tolist(), frame["doc"].tolist()
-            for part in chunks(texts):
-                yield spans_of(ids[part], [(t or "").encode() for t in texts[part]], length, gram)
+            ids, tags, raws = named(frame)
+            for part in chunks(raws):
+                yield spans_of(ids[part], tags[part], raws[part], length, gram)
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("doc"), "text")
-    found = rows.mapInPandas(spans, _ROW)
-    ordered = found.repartition("key").sortWithinPartitions("kind", "key", "span", "doc", "at")
+    found = _rows(docs).mapInPandas(spans, _ROW)
+    ordered = found.repartition("key").sortWithinPartitions("kind", "key", "span", "doc", "tag", "at")
     return stored(ordered.mapInPandas(judge, _ROW), "spans")
 
 
 def span_texts(texts: DataFrame, parts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(kind, key, doc, at, bytes) of the spans in ``parts``."""
+    """(kind, key, doc, tag, at, bytes) of the spans in ``parts``."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for doc, packed, wanted in zip(frame["doc"], frame["packed"], frame["wanted"], strict=True):
+            for doc, tag, packed, wanted in zip(frame["doc"], frame["tag"], frame["packed"], frame["wanted"], strict=True):
                 raw = _unpacked(packed)
-                tag = text_tag(raw)
-                for w in wanted:
-                    if w["at"] & 0xFFFF == tag:
-                        start = w["at"] >> 16
-                        out.append((w["kind"], w["key"], doc, w["at"], raw[start : start + w["n"] + length - 1]))
-            yield pd.DataFrame(out, columns=["kind", "key", "doc", "at", "bytes"])
+                out += [(w["kind"], w["key"], doc, tag, w["at"], raw[w["at"] : w["at"] + w["n"] + length - 1]) for w in wanted]
+            yield pd.DataFrame(out, columns=["kind", "key", "doc", "tag", "at", "bytes"])
 
-    wanted = parts.groupBy("doc").agg(F.collect_list(F.struct("kind", "key", "at", "n")).alias("wanted"))
-    return texts.join(wanted, "doc").mapInPandas(cut, "kind int, key int, doc long, at long, bytes binary")
+    # a set: of a document listed many times, each span once
+    wanted = parts.groupBy("doc", "tag").agg(F.collect_set(F.struct("kind", "key", "at", "n")).alias("wanted"))
+    return texts.join(wanted, ["doc", "tag"]).mapInPandas(cut, "kind int, key int, doc long, tag long, at long, bytes binary")
 
 
 def hot_marks(spans: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -342,41 +438,42 @@ def hot_marks(spans: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for key, doc, at, data in zip(frame["key"], frame["doc"], frame["at"], frame["bytes"], strict=True):
+            for key, doc, tag, at, data in zip(*(frame[c] for c in ("key", "doc", "tag", "at", "bytes")), strict=True):
                 start = np.arange(len(data) - length + 1)
                 h = Prefix(np.frombuffer(data, np.uint8)).of(start, start + length)
-                yield pd.DataFrame({"key": key, "h": h.view(np.int64), "doc": doc, "at": at + (start << 16)})
+                yield pd.DataFrame({"key": key, "h": h.view(np.int64), "doc": doc, "tag": tag, "at": at + start})
 
-    every = spans.mapInPandas(windows, "key int, h long, doc long, at long")
-    place = F.struct("doc", "at")
+    every = spans.mapInPandas(windows, "key int, h long, doc long, tag long, at long")
+    place = F.struct("doc", "tag", "at")
     first = every.groupBy("key", "h").agg(F.min(place).alias("first"))
-    later = spread_lookup(every, first, ["key", "h"], [F.col("doc"), F.col("at")]).filter(place != F.col("first"))
-    return later.select("doc", "at", F.lit(1).alias("n"))
+    later = spread_lookup(every, first, ["key", "h"], [F.col("doc"), F.col("tag"), F.col("at")]).filter(place != F.col("first"))
+    return later.select("doc", "tag", "at", F.lit(1).alias("n"))
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc, at, n): windows at ``at >> 16`` and the n - 1 after it stand earlier; the low bits are the text's tag."""
+    """(doc, tag, at, n): windows at ``at`` and the n - 1 after it stand earlier."""
     found = decisions(docs, length, gram)
     parts = found.filter(F.col("kind").isin(_PART, _HOT))
-    sizes = {r["kind"]: r["n"] for r in parts.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    marks = found.filter(F.col("kind") == _MARK).select("doc", "at", "n")
+    told = parts.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.col("n") + length).alias("bytes")).collect()
+    sizes = {r["kind"]: (r["n"], r["bytes"]) for r in told}
+    marks = found.filter(F.col("kind") == _MARK).select("doc", "tag", "at", "n")
     if not sizes:
         return marks
     texts = span_texts(packed_texts(docs), parts, length)
-    shards = max(1, -(-sizes.get(_PART, 0) // SHARD_SPANS))
+    spans, size = sizes.get(_PART, (0, 0))
+    shards = max(1, -(-spans // SHARD_SPANS), -(-size // SHARD_BYTES))
     shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
-    small = texts.filter(F.col("kind") == _PART).select(shard, "doc", "at", "bytes").groupBy("shard")
-    more = small.applyInPandas(lambda frame: shard_marks(frame, length), _ROW).select("doc", "at", "n")
-    if sizes.get(_HOT):
+    small = texts.filter(F.col("kind") == _PART).select(shard, "doc", "tag", "at", "bytes").groupBy("shard")
+    more = small.applyInPandas(lambda frame: shard_marks(frame, length), _ROW).select("doc", "tag", "at", "n")
+    if _HOT in sizes:
         more = more.unionByName(hot_marks(texts.filter(F.col("kind") == _HOT), length))
     return marks.unionByName(more)
 
 
 def cover(raw: bytes, at: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs [start, end) of bytes that the windows cover."""
-    begin = at >> 16
-    order = np.argsort(begin, kind="stable")
-    begin, end = begin[order], (begin + n + length - 1)[order]
+    order = np.argsort(at, kind="stable")
+    begin, end = at[order], (at + n + length - 1)[order]
     reach = np.maximum.accumulate(end)
     new = np.concatenate([[True], begin[1:] > reach[:-1]])
     return begin[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]
@@ -384,28 +481,28 @@ def cover(raw: bytes, at: np.ndarray, n: np.ndarray, length: int) -> tuple[np.nd
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, kept binary, n_bytes, n_removed, n_spans) of every row."""
-    marks = repeated_passages(docs, length, gram).groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("marks"))
+    marks = repeated_passages(docs, length, gram).groupBy("doc", "tag").agg(F.collect_set(F.struct("at", "n")).alias("marks"))
 
     def strip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for doc, packed, found in zip(frame["doc"], frame["packed"], frame["marks"], strict=True):
+            for packed, found in zip(frame["packed"], frame["marks"], strict=True):
                 raw, removed, spans = _unpacked(packed), 0, 0
                 kept = raw
                 if found is not None and len(found):
                     at, n = np.array([m["at"] for m in found]), np.array([m["n"] for m in found])
-                    mine = (at & 0xFFFF) == text_tag(raw)
-                    if mine.any():
-                        begin, end = cover(raw, at[mine], n[mine], length)
-                        removed, spans = int((end - begin).sum()), len(begin)
-                        edges = [0, *np.column_stack([begin, end]).ravel().tolist(), len(raw)]
-                        kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                out.append((None if doc == _LAST_ID else doc, kept, len(raw), removed, spans))
-            made = pd.DataFrame(out, columns=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
-            yield made.assign(doc_id=pd.array(made["doc_id"].tolist(), "Int64"))
-
-    joined = packed_texts(docs).join(marks, "doc", "left")
-    return joined.mapInPandas(strip, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+                    begin, end = cover(raw, at, n, length)
+                    removed, spans = int((end - begin).sum()), len(begin)
+                    edges = [0, *np.column_stack([begin, end]).ravel().tolist(), len(raw)]
+                    kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                out.append((kept, len(raw), removed, spans))
+            made = pd.DataFrame(out, columns=["kept", "n_bytes", "n_removed", "n_spans"])
+            yield made.assign(doc=frame["doc"].to_numpy(), tag=frame["tag"].to_numpy())
+
+    joined = packed_texts(docs).join(marks, ["doc", "tag"], "left")
+    found = joined.mapInPandas(strip, "doc long, tag long, kept binary, n_bytes long, n_removed long, n_spans long")
+    doc_id = F.when(F.col("tag") < _NO_ID, F.col("doc")).alias("doc_id")
+    return found.select(doc_id, "kept", "n_bytes", "n_removed", "n_spans")
 
 
 def op5_runlength(spark: SparkSession, sf_dir: str) -> DataFrame:

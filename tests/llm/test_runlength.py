@@ -93,3 +93,43 @@ def test_repeated_rows_and_ids(spark, documents, tmp_path):
 def test_empty(spark, documents, tmp_path):
     documents([]).write.parquet(f"{tmp_path}/documents.parquet")
     assert runlength.op5_runlength(spark, str(tmp_path)).count() == 0
+
+
+def test_many_rows_without_an_id(spark, documents, tmp_path):
+    """Each keeps its own text: nothing is taken from one for what stands twice in another."""
+    r = random.Random(6)
+    say = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    rows = [(None, say(r.randint(90, 260))) for _ in range(2000)]
+    passage = say(150)
+    rows += [(None, say(40) + passage + say(40)) for _ in range(6)] + [(2**63 - 1, passage), (3, passage)]
+    documents(rows).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    found = runlength.op5_runlength(spark, str(tmp_path)).collect()
+    got = sorted((-1 if x["doc_id"] is None else x["doc_id"], x["kept_sha256"], x["n_removed"]) for x in found)
+    ordered = sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, runlength.text_tag(x[1].encode(), x[0] is None)))
+    named = [(i, text) for i, (_, text) in enumerate(ordered)]
+    want = brute(named, 100)
+    expected = sorted((-1 if ordered[i][0] is None else ordered[i][0], sha, removed) for i, (_, removed, _, sha) in want.items())
+    assert got == expected and sum(x[2] > 0 for x in got) == 7
+
+
+@pytest.mark.parametrize("limit", [1, 3, 100])
+def test_judging_does_not_depend_on_frames(limit, monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(runlength, "HOT_SPANS", limit)
+    r = random.Random(limit)
+    rows = sorted((0, r.randrange(12) ** 2 // 9, r.randrange(4), r.randrange(6), r.randrange(2), r.randrange(3)) for _ in range(400))
+    frame = pd.DataFrame([(*x, 1) for x in rows], columns=["kind", "key", "span", "doc", "tag", "at", "n"])
+    spans = {}
+    for _, key, span, *place in rows:
+        spans.setdefault(key, {}).setdefault(span, []).append(tuple(place))
+    expected = set()
+    for key, own in spans.items():
+        for span, places in own.items():
+            expected |= {(1, key, span, *p) for p in places if p != min(places)}
+            if len(own) > 1:
+                expected.add((3 if len(own) > limit else 2, key, span, *min(places)))
+    for size in (1, 2, 7, 50, 1000):
+        parts = [frame.iloc[a : a + size] for a in range(0, len(frame), size)]
+        out = pd.concat(list(runlength.judge(iter(parts))))
+        assert {tuple(x[:-1]) for x in out.itertuples(index=False)} == expected
