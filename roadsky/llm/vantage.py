@@ -45,7 +45,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadsky.llm.common import stored, table
@@ -194,7 +194,9 @@ def nearest(tree: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, fact
     ends = np.cumsum(count)
     ids = tree["ids"][np.repeat(tree["first"][point], count) + np.arange(int(count.sum())) - np.repeat(ends - count, count)]
     q, score = np.repeat(q, count), np.repeat(score, count)
-    other = ids != query_ids[q]
+    # what falls short of the query's bound is not among its neighbours; products at the bound may differ by rounding
+    least = search.least / (search.radius / np.sqrt((queries * queries).sum(1)))
+    other = (ids != query_ids[q]) & (score >= least[q] - SLACK * np.abs(least[q]))
     q, score, ids = q[other], score[other], ids[other]
     order = np.lexsort((ids, -score, q))
     q, score, ids = q[order], score[order], ids[order]
@@ -234,9 +236,9 @@ class Cells:
         return lengths[:, None] * np.where(cosine >= 0, cosine * self.long[own], cosine * self.short[own]) * (1 + SLACK * np.sign(cosine))
 
 
-def band_of(norm: Column) -> Column:
+def band_of(norms: np.ndarray) -> np.ndarray:
     """Unit vectors, which are a little longer or shorter than 1, lie in the middle of a band."""
-    return F.floor(F.log(norm) / np.log(BAND) + 0.5).cast("int")
+    return np.floor(np.log(norms) / np.log(BAND) + 0.5).astype(np.int32)
 
 
 def _vectors(frame: pd.DataFrame) -> np.ndarray:
@@ -264,9 +266,15 @@ def spread_out(vectors: np.ndarray, wanted: int) -> np.ndarray:
 
 def dealt(vectors: DataFrame, shard_vectors: int) -> tuple[DataFrame, Cells]:
     """(dim, cell, part, vec_id, v) of every vector, and the cells."""
-    most = F.array_max(F.transform("v", F.abs))
-    norm = most * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / most) * (x / most)))
-    banded = vectors.select("vec_id", "v", F.size("v").alias("dim"), band_of(norm).alias("band"))
+
+    def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for _, own in frame.groupby("dim", sort=False):
+                norms = _norms(_vectors(own))
+                yield own.assign(norm=norms, band=band_of(norms))
+
+    sized = vectors.select("vec_id", "v", F.size("v").alias("dim"))
+    banded = stored(sized.mapInPandas(measured, "vec_id long, v array<double>, dim int, norm double, band int"), "banded")
     counts = banded.groupBy("dim", "band").agg(F.least(F.lit(PIVOTS), 4 * F.ceil(F.count("*") / shard_vectors)).cast("int").alias("wanted"))
     order = Window.partitionBy("dim", "band").orderBy(F.xxhash64("vec_id"), "vec_id")
     first = banded.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PIVOT_SAMPLE)
@@ -283,14 +291,13 @@ def dealt(vectors: DataFrame, shard_vectors: int) -> tuple[DataFrame, Cells]:
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for (dim, band), own in frame.groupby(["dim", "band"], sort=False):
-                there, vectors = cells.of(dim, band), _vectors(own)
-                norms = _norms(vectors)
-                cosine = cells.cosines(there, vectors / norms[:, None])
+                there = cells.of(dim, band)
+                cosine = cells.cosines(there, _vectors(own) / own["norm"].to_numpy()[:, None])
                 near = cosine.argmax(1)
                 angle = np.arccos(cosine[np.arange(len(own)), near])
-                yield own.drop(columns="band").assign(cell=there[near], angle=angle, norm=norms)
+                yield own.drop(columns="band").assign(cell=there[near], angle=angle)
 
-    placed = stored(banded.mapInPandas(assign, "vec_id long, v array<double>, dim int, cell int, angle double, norm double"), "placed")
+    placed = stored(banded.mapInPandas(assign, "vec_id long, v array<double>, dim int, norm double, cell int, angle double"), "placed")
     told = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("widest"), F.min("norm").alias("short"), F.max("norm").alias("long"))
     cells.widest, cells.short, cells.long = (np.zeros(len(pivots)) for _ in range(3))
     cells.parts = np.zeros(len(pivots), np.int64)
