@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -28,6 +29,49 @@ def test_disguised_words_are_restored():
         assert toxicity.decode(seen, model) == meant
     assert toxicity.plain_words("m.o.r.o.n") == ([], ["moron"])
     assert not toxicity.disguised("garden") and toxicity.disguised("gaaarden") and not toxicity.disguised("2024")
+    assert toxicity.decode("m o r o n", model) == "moron" and toxicity.in_symbols("455") and not toxicity.in_symbols("4x5")
+
+
+def test_probes_are_restored():
+    """Hidden beside other single letters, stretched beyond any word, in symbols alone, by doubling, by separators."""
+    counts = toxicity.trigram_counts([*CALM, *HARSH, "you", "what", "stupid", "ass", "a", "a", "i"] * 50)
+    reader = toxicity.Reader(toxicity.language_model(counts.astype(float)))
+    probes = {
+        "what a m o r o n": "moron", "y o u i d i o t": "idiot", "you l o s e r a": "loser", "st" + "u" * 30 + "pid": "stupid",
+        "@$$": "ass", "455": "ass", "iidiot": "idiot", "idioot": "idiot", "id-iot": "idiot", "m-o-r-o-n": "moron", "l.0.s.3.r": "loser",
+        "i d i o t " + "m o r o n " * 20: "moron",
+    }
+    for text, word in probes.items():
+        assert word in reader.words(text), text
+    assert reader.words("moron moron MORON")["moron"] == 3
+
+
+def test_decoding_takes_the_best_of_all_paths():
+    model = toxicity.language_model(toxicity.trigram_counts([*CALM, *HARSH]).astype(float))
+    r = random.Random(12)
+    for _ in range(300):
+        symbols = "".join(r.choice("aabiot013@$! ") for _ in range(r.randint(1, 7)))
+        best = -np.inf
+        for path in itertools.product(*toxicity.lattice(symbols)):
+            codes = [0, 0, *(0 if x == " " else ord(x) - 96 for x in "".join(path)), 0]
+            best = max(best, sum(model[codes[k - 2], codes[k - 1], codes[k]] for k in range(2, len(codes))))
+        found = toxicity.decode(symbols, model)
+        codes = [0, 0, *(0 if x == " " else ord(x) - 96 for x in found), 0]
+        assert np.isclose(sum(model[codes[k - 2], codes[k - 1], codes[k]] for k in range(2, len(codes))), best)
+
+
+def test_logistic_ends_where_the_gradient_vanishes():
+    r = np.random.default_rng(3)
+    x = (r.random((500, 12)) < 0.2) * r.uniform(0.5, 3, (500, 12))
+    y = (r.random(500) < 1 / (1 + np.exp(1 - x @ r.normal(size=12)))).astype(float)
+    doc, word = np.nonzero(x)
+    by = r.permutation(len(doc))
+    weights, intercept = toxicity._logistic(y, doc[by], word[by], x[doc, word][by], 12, 0.3)
+    wrong = 1 / (1 + np.exp(-(x @ weights + intercept))) - y
+    assert np.abs(x.T @ wrong + 0.3 * weights).max() < 1e-6 and abs(wrong.sum()) < 1e-6
+    # labels that a feature tells apart completely still have a finite answer
+    weights, _ = toxicity._logistic(np.array([1.0, 1, 0, 0]), np.array([0, 1]), np.array([0, 0]), np.array([1.0, 1.0]), 1)
+    assert 0 < weights[0] < 50
 
 
 def test_scores_plain_and_disguised(spark, documents, labels):
