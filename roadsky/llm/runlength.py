@@ -253,6 +253,22 @@ def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from closed()
 
 
+class Marks:
+    """Marked places among ``size`` as bits, 64 to a word, with the number of marks before each word."""
+
+    def __init__(self, places: np.ndarray, size: int):
+        bits = np.zeros(-(-size // 64) * 64, np.uint8)
+        bits[places] = 1
+        self.words = np.packbits(bits, bitorder="little").view("<u8")
+        self.before = bounds(np.bitwise_count(self.words).astype(np.int64))[:-1]
+
+    def up_to(self, place: np.ndarray) -> np.ndarray:
+        """How many marks stand at or before each place."""
+        word = place >> 6
+        low = np.uint64(0xFFFFFFFFFFFFFFFF) >> (63 - (place & 63)).astype(np.uint64)
+        return self.before[word] + np.bitwise_count(self.words[word] & low)
+
+
 class RunLengthIndex:
     """The run-compressed transform of texts, each closed by a sign of its own (ranked by order, before all bytes)."""
 
@@ -286,8 +302,10 @@ class RunLengthIndex:
         self.samples = order[starts], order[starts + run_length - 1]
         self.run_ends = starts + run_length - 1
         # ranks at which a class of suffixes that agree on ``length`` bytes begins
-        self.classes = np.flatnonzero(np.concatenate([[True], ~same]))
-        self.size = n
+        classes = np.flatnonzero(np.concatenate([[True], ~same]))
+        self.size, self.class_count = n, len(classes)
+        # runs and classes are looked up at scattered ranks: by counting bits, not by bisection
+        self.run_marks, self.class_marks = Marks(starts, n), Marks(classes, n)
 
     @staticmethod
     def _begun(joined: np.ndarray, signs: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -342,18 +360,18 @@ class RunLengthIndex:
         begins = np.concatenate([[0], self.ends[:-1] + 1])
         text, place, rank = np.arange(len(self.ends)), self.ends.copy(), np.arange(len(self.ends))
         while len(text):
-            run = np.searchsorted(self.starts, rank, "right") - 1
+            run = self.run_marks.up_to(rank) - 1
             head, tail = rank == self.starts[run], rank == self.run_ends[run]
             if (place[head] != self.samples[0][run[head]]).any() or (place[tail] != self.samples[1][run[tail]]).any():
                 raise AssertionError("the index does not lead back through its own text")
-            yield text, place, np.searchsorted(self.classes, rank, "right") - 1
+            yield text, place, self.class_marks.up_to(rank) - 1
             more = place > begins[text]
             text, place = text[more], place[more] - 1
             rank = self.leads[run[more]] + rank[more] - self.starts[run[more]]
 
     def repeats(self) -> np.ndarray:
         """Per position whether its string of ``length`` bytes stands earlier in the texts."""
-        first = np.full(len(self.classes), self.size)
+        first = np.full(self.class_count, self.size)
         found = np.zeros(self.size, np.int64)
         for _, place, group in self.stream():
             np.minimum.at(first, group, place)
