@@ -5,8 +5,14 @@ leave out (``p``, ``li``, ``dt``, ``td``, ``tr``, ``option`` and the end of
 ``head``). ``render`` walks it: hidden elements go, white space collapses
 outside ``pre``, blocks start lines, paragraphs and headings stand apart by an
 empty line, list items get their marker and hang under it, table cells of a
-column start below one another. All visible text comes out, whatever the
-nesting; below ``DEEPEST`` levels elements no longer nest, their text stays.
+column start below one another. Of a closed ``details`` the summary shows; what
+is invisible by ``visibility`` may hold visible parts. All visible text comes
+out, laid out the same at any depth: the walk keeps its own stack.
+
+Cells of a column are aligned to its widest cell. Only where that would make a
+table more than ``PADDING`` times as long as its text (one very long cell beside
+thousands of rows) are columns padded less, to the widest measure that keeps
+to it.
 
 Cases: null and empty pages give an empty text; text without tags is a
 paragraph; unclosed comments, quotes and tags end with the page; repeated rows
@@ -17,7 +23,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
+from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +33,9 @@ from pyspark.sql import functions as F
 
 from roadsky.llm.common import fresh, table
 
-DEEPEST = 200
-#: Columns wider than this are not padded further.
-WIDEST = 40
+#: Characters of padding for each character of a table's text, at most; small tables are always aligned.
+PADDING = 64
+SMALL_TABLE = 1_000_000
 
 # Element names by what the standard says of them.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,7 +72,8 @@ _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _STOP = re.compile(r"[\"'>]")
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_NO_DISPLAY = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)\b", re.I)
 
 
 class Element:
@@ -138,10 +147,15 @@ def parse(page: str) -> Element:
     """The tree of a page; its root stands above html."""
     root = Element("#root", {})
     stack = [root]
+    opened: Counter = Counter()  # how many of each are on the stack, so as not to look for what is not there
 
     def close_to(names: set[str], beyond: set[str]) -> None:
+        if not any(opened[name] for name in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
+                for element in stack[i:]:
+                    opened[element.tag] -= 1
                 del stack[i:]
                 return
             if stack[i].tag in beyond:
@@ -150,8 +164,8 @@ def parse(page: str) -> Element:
     def push(tag: str, attributes: dict[str, str]) -> Element:
         element = Element(tag, attributes)
         stack[-1].children.append(element)
-        if len(stack) < DEEPEST:
-            stack.append(element)
+        stack.append(element)
+        opened[tag] += 1
         return element
 
     def leave_head() -> None:
@@ -168,7 +182,7 @@ def parse(page: str) -> Element:
         elif kind == "end":
             if name == "br":
                 stack[-1].children.append(Element("br", {}))
-            elif name == "p" and not any(e.tag == "p" for e in stack):
+            elif name == "p" and not opened["p"]:
                 stack[-1].children.append(Element("p", {}))
             elif name not in VOID:
                 inside = set() if name in ("table", "html", "body") else {"table"}
@@ -182,7 +196,7 @@ def parse(page: str) -> Element:
                     attributes.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
             if name not in HEAD_ONLY:
                 leave_head()
-            if name in ("html", "body") and any(e.tag == name for e in stack):
+            if name in ("html", "body") and opened[name]:
                 continue
             if name in CLOSES_P:
                 close_to({"p"}, {"table", "td", "th", "caption", "button", "object"})
@@ -201,13 +215,42 @@ def parse(page: str) -> Element:
     return root
 
 
-def visible(element: Element) -> bool:
+def displayed(element: Element) -> bool:
+    """Whether an element takes part in the layout at all."""
     a = element.attributes
     if element.tag in HIDDEN or "hidden" in a or (element.tag == "dialog" and "open" not in a):
         return False
     return not ("style" in a and _NO_DISPLAY.search(a["style"]))
 
 
+class Mode(NamedTuple):
+    """What an element inherits: whether white space is kept, and whether text shows."""
+
+    pre: bool = False
+    shown: bool = True
+
+    def inside(self, element: Element, pre: bool = False) -> Mode:
+        told = _VISIBILITY.findall(element.attributes["style"]) if "style" in element.attributes else []
+        shown = told[-1].lower() == "visible" if told else self.shown
+        return Mode(self.pre or pre, shown)
+
+
+Step = Generator["Step", Any, Any]
+
+
+def run(step: Step) -> Any:
+    """Result of a step that yields the steps it waits for: calls of any depth on a stack of our own."""
+    stack, value = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
 class Writer:
     """Lines of a block under construction: collapses white space and keeps at most one empty line between blocks."""
 
@@ -252,43 +295,53 @@ def _number(text: str, default: int, most: int = 1000) -> int:
     return min(most, int(digits[1])) if digits else default
 
 
-def _blocks(element: Element, pre: bool = False) -> list[str]:
+def _blocks(element: Element, mode: Mode) -> Step:
     """The lines of an element's children."""
     writer = Writer()
-    _walk(element, writer, pre)
+    yield _walk(element, writer, mode)
     writer.end_block()
     return writer.lines
 
 
-def _walk(element: Element, writer: Writer, pre: bool) -> None:
-    for child in element.children:
+def _children(element: Element) -> list:
+    """What of an element is laid out: of closed details the first summary."""
+    if element.tag == "details" and "open" not in element.attributes:
+        return [x for x in element.children if not isinstance(x, str) and x.tag == "summary"][:1]
+    return element.children
+
+
+def _walk(element: Element, writer: Writer, mode: Mode) -> Step:
+    for child in _children(element):
         if isinstance(child, str):
-            (writer.plain if pre else writer.text)(child)
+            if mode.shown:
+                (writer.plain if mode.pre else writer.text)(child)
             continue
         tag = child.tag
-        if not visible(child):
+        if not displayed(child):
             continue
         if tag == "br":
-            writer.line_break()
+            if mode.shown:
+                writer.line_break()
             continue
         if tag == "hr":
             writer.end_block(True)
             continue
+        own = mode.inside(child, tag in ("pre", "textarea"))
         if tag not in BLOCK:
-            _walk(child, writer, pre or tag == "textarea")
+            yield _walk(child, writer, own)
             continue
         apart = tag in APART and not (tag in LISTS and element.tag == "li")
         writer.end_block(apart)
         if tag in LISTS:
-            _list(child, writer, pre)
+            yield _list(child, writer, own)
         elif tag == "table":
-            _table(child, writer, pre)
+            yield _table(child, writer, own)
         elif tag in ("blockquote", "dd"):
-            _hang(writer, "  ", _blocks(child, pre))
+            _hang(writer, "  ", (yield _blocks(child, own)))
         elif tag == "li":
-            _hang(writer, "- ", _blocks(child, pre))
+            _hang(writer, "- ", (yield _blocks(child, own)))
         else:
-            _walk(child, writer, pre or tag == "pre")
+            yield _walk(child, writer, own)
         writer.end_block(apart)
 
 
@@ -297,20 +350,20 @@ def _hang(writer: Writer, marker: str, lines: list[str]) -> None:
         writer.add([(marker if i == 0 else " " * len(marker)) + x if x else "" for i, x in enumerate(lines)])
 
 
-def _list(element: Element, writer: Writer, pre: bool) -> None:
+def _list(element: Element, writer: Writer, mode: Mode) -> Step:
     number = _number(element.attributes.get("start", ""), 1, 10**9) if element.tag == "ol" else None
     for child in element.children:
         if isinstance(child, str) or child.tag != "li":
             # what does not belong into a list is shown where it stands
             if isinstance(child, str) or child.tag not in LISTS:
-                _walk(_of(child), writer, pre)
-            elif visible(child):
-                _hang(writer, "  ", _blocks(_of(child), pre))
+                yield _walk(_of(child), writer, mode)
+            elif displayed(child):
+                _hang(writer, "  ", (yield _blocks(_of(child), mode)))
             writer.end_block()
-        elif visible(child):
+        elif displayed(child):
             if number is not None:
                 number = _number(child.attributes.get("value", ""), number, 10**9)
-            _hang(writer, "- " if number is None else f"{number}. ", _blocks(child, pre))
+            _hang(writer, "- " if number is None else f"{number}. ", (yield _blocks(child, mode.inside(child))))
             if number is not None:
                 number += 1
 
@@ -321,40 +374,46 @@ def _of(child: Element | str) -> Element:
     return holder
 
 
-def _rows(element: Element) -> Iterator[Element]:
-    for child in element.children:
-        if not isinstance(child, str) and visible(child):
+def _rows(element: Element, mode: Mode) -> Iterator[tuple[Element, Mode]]:
+    """Rows, those inside row groups too, with what they inherit."""
+    left = [(element, mode, iter(element.children))]
+    while left:
+        _, own, children = left[-1]
+        child = next(children, None)
+        if child is None:
+            left.pop()
+        elif not isinstance(child, str) and displayed(child):
             if child.tag in ROWS:
-                yield from _rows(child)
+                left.append((child, own.inside(child), iter(child.children)))
             else:
-                yield child
+                yield child, own
 
 
-def _table(element: Element, writer: Writer, pre: bool) -> None:
+def _table(element: Element, writer: Writer, mode: Mode) -> Step:
     """Rows with the cells of a column below one another; a cell that spans columns or rows keeps their places free."""
     for child in element.children:
-        if isinstance(child, str) and child.strip():
+        if isinstance(child, str) and child.strip() and mode.shown:
             writer.text(child)
     writer.end_block()
     taken: dict[int, int] = {}
     grid: list[list[tuple[int, int, list[str]]]] = []
-    for row in _rows(element):
+    for row, inherited in _rows(element, mode):
         if row.tag != "tr":
-            lines = _blocks(_of(row), pre)
+            lines = yield _blocks(_of(row), inherited)
             if lines:
                 grid.append([(0, 0, lines)])
             continue
-        cells, at = [], 0
+        cells, at, in_row = [], 0, inherited.inside(row)
         for cell in row.children:
             if isinstance(cell, str) or cell.tag not in ("td", "th"):
-                lines = _blocks(_of(cell), pre)
+                lines = yield _blocks(_of(cell), in_row)
                 wide = 0
                 if not lines:
                     continue
-            elif not visible(cell):
+            elif not displayed(cell):
                 continue
             else:
-                lines, wide = _blocks(cell, pre), _number(cell.attributes.get("colspan", ""), 1)
+                lines, wide = (yield _blocks(cell, in_row.inside(cell))), _number(cell.attributes.get("colspan", ""), 1)
             while taken.get(at, 0) > 0:
                 at += 1
             wide = max(1, wide)
@@ -369,12 +428,8 @@ def _table(element: Element, writer: Writer, pre: bool) -> None:
     for cells in grid:
         for at, wide, lines in cells:
             if wide == 1 and lines:
-                width[at] = min(WIDEST, max(width.get(at, 0), max(map(len, lines))))
-    starts: dict[int, int] = {}
-    place = 0
-    for column in range(max((at + wide for cells in grid for at, wide, _ in cells), default=0)):
-        starts[column] = place
-        place += width.get(column, 0) + 2 if width.get(column) else 0
+                width[at] = max(width.get(at, 0), max(map(len, lines)))
+    starts = _starts(grid, width, _measure(grid, width))
     for cells in grid:
         height = max((len(lines) for _, _, lines in cells), default=0)
         for i in range(height):
@@ -386,12 +441,41 @@ def _table(element: Element, writer: Writer, pre: bool) -> None:
             writer.add([line.rstrip()])
 
 
+Grid = list[list[tuple[int, int, list[str]]]]
+
+
+def _starts(grid: Grid, width: dict[int, int], most: int) -> dict[int, int]:
+    """Where each column begins, if none is wider than ``most``."""
+    starts, place = {}, 0
+    for column in range(max((at + wide for cells in grid for at, wide, _ in cells), default=0)):
+        starts[column] = place
+        place += min(width.get(column, 0), most) + 2 if width.get(column) else 0
+    return starts
+
+
+def _measure(grid: Grid, width: dict[int, int]) -> int:
+    """The widest measure of columns at which padding stays in proportion to the text."""
+    own = sum(len(x) for cells in grid for _, _, lines in cells for x in lines)
+    # lines are padded as far as the last cell they reach into
+    last = Counter()
+    for cells in grid:
+        for i in range(max((len(lines) for _, _, lines in cells), default=0)):
+            last[max((at for at, _, lines in cells if i < len(lines) and lines[i]), default=0)] += 1
+    most = max(width.values(), default=0)
+    while most > 1:
+        starts = _starts(grid, width, most)
+        if sum(starts.get(at, 0) * n for at, n in last.items()) <= SMALL_TABLE + PADDING * own:
+            break
+        most //= 2
+    return most
+
+
 def render(page: str | None) -> str:
     """The visible text of a page."""
     if not page:
         return ""
     writer = Writer()
-    _walk(parse(page.replace("\r\n", "\n").replace("\0", "")), writer, False)
+    run(_walk(parse(page.replace("\r\n", "\n").replace("\0", "")), writer, Mode()))
     writer.end_block()
     return "\n".join(writer.lines).strip("\n")
 
@@ -401,12 +485,12 @@ def extract_text(pages: DataFrame, page: str = "html", keep: list[str] | None =
     names = [c for c in (keep or ["page_id"]) if c != "text"]
     own = fresh(names, "_page")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rendered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield frame[names].assign(text=[render(x) for x in frame[own]])
 
     schema = pages.select(*names).schema.add("text", "string")
-    return pages.select(*names, F.col(page).alias(own)).mapInPandas(run, schema)
+    return pages.select(*names, F.col(page).alias(own)).mapInPandas(rendered, schema)
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
