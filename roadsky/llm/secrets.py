@@ -5,7 +5,9 @@ splitting the text by it: the pieces between and the matches alternate, so the
 running sum of their lengths gives every start and end in code points.
 
 Strings of 20 and more letters, digits and ``+ / - _`` get an encoding by the
-characters they hold (hex, base 32, 36 or 64). Under the hypothesis of
+characters they hold: hex, base 32 or 36 in one case, lower case with ``- _``,
+base 64 in both forms, or all of these characters together. Every such string
+with digits and letters is tested. Under the hypothesis of
 independent uniform symbols three tests are taken: chi-squared over the
 alphabet, runs about its middle, and serial correlation of neighbours. Fisher
 joins their two-sided p-values. A small value means ordered text. Within a
@@ -51,8 +53,11 @@ ALPHABETS = {
     "HEX": _DIGITS + "ABCDEF",
     "base32": _UPPER + "234567",
     "base36": _DIGITS + _LOWER,
+    "BASE36": _DIGITS + _UPPER,
+    "base38": _DIGITS + _LOWER + "-_",
     "base64": _UPPER + _LOWER + _DIGITS + "+/",
     "base64url": _UPPER + _LOWER + _DIGITS + "-_",
+    "all": _UPPER + _LOWER + _DIGITS + "+/-_",
 }
 
 
@@ -100,15 +105,17 @@ def base_spans(text: Column) -> Column:
 
 def encoding(core: Column) -> Column:
     """The name of the smallest alphabet that holds the string, null where it is only letters or only digits."""
-    lower, upper, digit = core.rlike("[a-z]"), core.rlike("[A-Z]"), core.rlike("[0-9]")
     return (
-        F.when(~digit | ~(lower | upper), F.lit(None))
+        F.when(~core.rlike("[0-9]") | ~core.rlike("[A-Za-z]"), F.lit(None))
         .when(core.rlike("^[0-9a-f]+$"), "hex")
         .when(core.rlike("^[0-9A-F]+$"), "HEX")
         .when(core.rlike("^[A-Z2-7]+$"), "base32")
         .when(core.rlike("^[a-z0-9]+$"), "base36")
-        .when(lower & upper & core.rlike("^[A-Za-z0-9+/]+$"), "base64")
-        .when(lower & upper & core.rlike("^[A-Za-z0-9_-]+$"), "base64url")
+        .when(core.rlike("^[A-Z0-9]+$"), "BASE36")
+        .when(core.rlike("^[a-z0-9_-]+$"), "base38")
+        .when(core.rlike("^[A-Za-z0-9+/]+$"), "base64")
+        .when(core.rlike("^[A-Za-z0-9_-]+$"), "base64url")
+        .otherwise("all")
     )
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import string
@@ -54,6 +55,54 @@ def test_random_strings_are_found_and_ordered_ones_are_not(spark, documents):
     assert all(told[len(keys) + i] == "" for i in range(len(ordered)))
 
 
+KEYS = {
+    "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": string.ascii_uppercase + "234567", "base36": string.ascii_lowercase + string.digits,
+    "BASE36": string.ascii_uppercase + string.digits, "base38": string.ascii_lowercase + string.digits + "-_",
+    "base64": string.ascii_letters + string.digits + "+/", "base64url": string.ascii_letters + string.digits + "-_",
+    "all": string.ascii_letters + string.digits + "+/-_",
+}
+
+
+def test_keys_of_every_alphabet_are_found(spark, documents):
+    r = random.Random(7)
+    rows = [(1000 * k + i, "key " + "".join(r.choice(a) for _ in range(32)) + " end") for k, a in enumerate(KEYS.values()) for i in range(100)]
+    docs = documents(rows)
+    found = secrets.with_spans(docs, secrets.levels(docs)).select("doc_id", F.size("_spans").alias("n")).collect()
+    hits = [0] * len(KEYS)
+    for row in found:
+        hits[row["doc_id"] // 1000] += row["n"] > 0
+    # a key without any digit or letter is no candidate: of 32 hex digits that is one in millions, of 64 signs one in 150
+    assert all(h >= 95 for h in hits), dict(zip(KEYS, hits, strict=True))
+
+
+def plain_half_fisher(core, alphabet):
+    """Chi-squared, runs and serial correlation as in a textbook, each to a two-sided normal tail."""
+    n, size = len(core), len(alphabet)
+    codes = [alphabet.index(c) for c in core]
+    chi = sum((core.count(a) - n / size) ** 2 / (n / size) for a in alphabet)
+    z = [(chi - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n)]
+    centred = [c - (size - 1) / 2 for c in codes]
+    runs = 1 + sum((a > 0) != (b > 0) for a, b in zip(centred, centred[1:], strict=False))
+    z.append((runs - (1 + (n - 1) / 2)) / math.sqrt((n - 1) / 4))
+    z.append(sum(a * b for a, b in zip(centred, centred[1:], strict=False)) / ((size * size - 1) / 12) / math.sqrt(n - 1))
+    return -sum(math.log(math.erfc(min(abs(x), 12) / math.sqrt(2))) for x in z)
+
+
+def test_battery_equals_a_plain_computation(spark):
+    r = random.Random(2)
+    cases = []
+    for name, alphabet in secrets.ALPHABETS.items():
+        for n in (20, 33, 64):
+            core = "".join(r.choice(alphabet) for _ in range(n - 2)) + "a1"
+            cases.append((core if set(core) <= set(alphabet) else core[:-2].ljust(n, alphabet[1]), name, alphabet))
+    frame = spark.createDataFrame([(c, a, float(len(c)), float(len(a))) for c, _, a in cases], "core string, alphabet string, n double, size double")
+    s = F.struct("core", "alphabet", "n", "size")
+    s = s.withField("squares", secrets._squares(s)).withField("walked", secrets._walk(s))
+    found = [row["half"] for row in frame.select(secrets._half_fisher(s).alias("half")).collect()]
+    for (core, _, alphabet), half in zip(cases, found, strict=True):
+        assert math.isclose(half, plain_half_fisher(core, alphabet), rel_tol=2e-3, abs_tol=1e-3), core
+
+
 def test_redaction(spark, documents):
     key = "0123456789abcdef01234567"
     docs = documents([(1, f"é token = {key}, rest"), (2, "clean"), (3, None), (None, f"{key} {key}"), (2, "clean")])
