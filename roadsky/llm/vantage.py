@@ -53,7 +53,7 @@ from roadsky.llm.common import stored, table
 NEIGHBOURS = 20
 SHARD_VECTORS = 8192
 BLOCK_QUERIES = 1024
-LEAF = 128
+LEAF = 256
 #: Norms of a band differ by this ratio at most.
 BAND = 1.1
 #: Pivots of a band, at most, and vectors they are picked from: what is known of all cells stays small.
@@ -153,15 +153,22 @@ class Search:
     def offer(self, qs: np.ndarray, start: int, end: int) -> np.ndarray:
         product = self.q[qs] @ self.t["points"][start:end].T
         self.looked += product.size
-        better = np.flatnonzero((product >= self.best[qs, -1:]).any(1))
-        if len(better):
-            mine = qs[better]
-            value = np.concatenate([self.best[mine], product[better]], 1)
-            point = np.concatenate([self.point[mine], np.broadcast_to(np.arange(start, end), (len(mine), end - start))], 1)
-            first = np.where(point >= 0, self.t["least_id"][point], np.iinfo(np.int64).max)
-            order = np.lexsort((first, -value), axis=1)[:, : self.best.shape[1]]
-            self.best[mine] = np.take_along_axis(value, order, 1)
-            self.point[mine] = np.take_along_axis(point, order, 1)
+        # what neither beats the worst one held nor reaches the bound is passed over
+        bar = np.maximum(self.best[qs, -1], self.least[qs] - SLACK * self.t["most"][0])
+        row, column = np.nonzero(product >= bar[:, None])
+        if len(row):
+            some = np.unique(row)
+            held = np.nonzero(self.point[qs[some]] >= 0)
+            query = np.concatenate([qs[some[held[0]]], qs[row]])
+            value = np.concatenate([self.best[qs[some]][held], product[row, column]])
+            point = np.concatenate([self.point[qs[some]][held], start + column])
+            order = np.lexsort((self.t["least_id"][point], -value, query))
+            query, value, point = query[order], value[order], point[order]
+            first = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+            place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+            top = place < self.best.shape[1]
+            self.best[query[top], place[top]] = value[top]
+            self.point[query[top], place[top]] = point[top]
         return product
 
     def go(self, node: int, qs: np.ndarray) -> None:
