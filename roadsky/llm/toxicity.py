@@ -78,6 +78,7 @@ LEET = {
 _CUT = re.compile(r"[^\w@$!|+]+|_+")
 _EDGES = "!|+,.;:?$%&*#-_()[]{}\"'"
 _SPACED = re.compile(r"(?<![\w@$!|+])[\w@$!|+](?:[ ._*\-][\w@$!|+]){2,}(?![\w@$!|+])")
+_TWICE = re.compile(r"(.)\1")
 _LETTERS = 28
 
 
@@ -173,7 +174,7 @@ def disguised(word: str) -> bool:
         return False
     if not word.isalpha():
         return any(x.isalpha() for x in word) and any(x in LEET for x in word)
-    return len(word) >= 4 and any(x == y for x, y in zip(word, word[1:], strict=False))
+    return len(word) >= 4 and _TWICE.search(word) is not None
 
 
 def in_symbols(word: str) -> bool:
@@ -200,13 +201,23 @@ def plain_words(token: str) -> tuple[list[str], list[str]]:
     return plain, [x for x in [*plain, *hidden] if disguised(x) or in_symbols(x) or (joined and x.isalpha() and x not in plain)]
 
 
+def skeleton(word: str) -> str:
+    """A word with each repeated letter once."""
+    return "".join(x for i, x in enumerate(word) if i == 0 or x != word[i - 1])
+
+
 class Reader:
-    """Words of a text, restored where they are hidden; what was decoded is remembered."""
+    """Words of a text, restored where they are hidden; what was decoded is remembered.
+
+    ``wanted``: skeletons of all words and beginnings that matter, if known. A
+    word of letters alone keeps its skeleton when it is restored, so one whose
+    skeleton begins with none of these need not be decoded.
+    """
 
-    def __init__(self, model: np.ndarray):
-        self.model = model
+    def __init__(self, model: np.ndarray, wanted: set[str] | None = None):
+        self.model, self.wanted = model, wanted
+        self.longest = max(map(len, wanted), default=0) if wanted is not None else 0
         self.restored: dict[str, list[str]] = {}
-        self.tokens: dict[str, list[str]] = {}
 
     def restore(self, symbols: str) -> list[str]:
         """The words that ``symbols`` most likely stand for."""
@@ -216,30 +227,37 @@ class Reader:
             self.restored[symbols] = decode(symbols, self.model).split()
         return self.restored[symbols]
 
+    def matters(self, symbols: str) -> bool:
+        if self.wanted is None or not symbols.isalpha():
+            return True
+        bare = skeleton(symbols)
+        return any(bare[:k] in self.wanted for k in range(1, min(len(bare), self.longest) + 1))
+
     def of_token(self, token: str) -> list[str]:
         """Its words and the restored ones that do not stand there already."""
-        if token not in self.tokens:
-            if len(self.tokens) >= REMEMBERED:
-                self.tokens.clear()
-            plain, hidden = plain_words(token)
-            found = dict.fromkeys(w for h in hidden for w in self.restore(h))
-            self.tokens[token] = [*plain, *(w for w in found if w not in plain)]
-        return self.tokens[token]
+        plain, hidden = plain_words(token)
+        if not hidden:
+            return plain
+        found = dict.fromkeys(w for h in hidden if self.matters(h) for w in self.restore(h))
+        return [*plain, *(w for w in found if w not in plain)]
+
+    def spaced(self, lowered: str, tokens: Counter) -> Iterator[tuple[str, int]]:
+        """Words written letter by letter, and how often."""
+        if sum(n for x, n in tokens.items() if len(x) == 1 and x != "|") >= 3:
+            for run, n in Counter(_SPACED.findall(lowered)).items():
+                for word in self.restore(re.sub(r"[ ._*\-]", " ", run)):
+                    if len(word) > 1:
+                        yield word, n
 
     def words(self, text: str | None) -> Counter:
         """How often each word stands in a whole text."""
         lowered = (text or "").lower()
-        out: Counter = Counter()
-        tokens = Counter(lowered.split())
+        out, tokens = Counter(), Counter(lowered.split())
         for token, n in tokens.items():
             for word in self.of_token(token):
                 out[word] += n
-        if sum(n for x, n in tokens.items() if len(x) == 1 and x != "|") >= 3:
-            for spaced, n in Counter(_SPACED.findall(lowered)).items():
-                letters = re.sub(r"[ ._*\-]", " ", spaced)
-                for word in self.restore(letters):
-                    if len(word) > 1:
-                        out[word] += n
+        for word, n in self.spaced(lowered, tokens):
+            out[word] += n
         return out
 
 
@@ -265,22 +283,33 @@ class Scorer:
 
 
 class FeatureReader:
-    """The weighed features of texts, with what a worker remembers."""
+    """The weighed features of texts, with what a worker remembers of tokens: most have none."""
 
     def __init__(self, scorer: Scorer):
-        self.words, self.read, self.known = scorer.words, Reader(scorer.model), {}
+        self.weighed = scorer.words
+        self.read = Reader(scorer.model, {skeleton(w.rstrip("-")) for w in scorer.words})
+        self.tokens: dict[str, tuple[str, ...]] = {}
+
+    def of_words(self, words: list[str]) -> tuple[str, ...]:
+        return tuple(x for word in words for x in features_of(word) if x in self.weighed)
 
     def features(self, text: str | None) -> dict[str, float]:
         """Weighed features in a whole text, by the logarithm of their counts."""
         total: dict[str, int] = {}
-        for word, n in self.read.words(text).items():
-            own = self.known.get(word)
+        lowered = (text or "").lower()
+        tokens = Counter(lowered.split())
+        if len(self.tokens) > 4 * REMEMBERED:
+            self.tokens.clear()
+        known = self.tokens.get
+        for token, n in tokens.items():
+            own = known(token)
             if own is None:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                own = self.known[word] = [x for x in features_of(word) if x in self.words]
+                own = self.tokens[token] = self.of_words(self.read.of_token(token))
             for x in own:
                 total[x] = total.get(x, 0) + n
+        for word, n in self.read.spaced(lowered, tokens):
+            for x in self.of_words([word]):
+                total[x] = total.get(x, 0) + n
         return {x: math.log2(1 + n) for x, n in total.items()}
 
 

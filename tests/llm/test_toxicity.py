@@ -100,3 +100,20 @@ def test_without_labels_or_rows(spark, documents, labels):
     docs, known = sample(20)
     assert {r["predicted"] for r in toxicity.toxicity_scores(documents(docs), labels([])).collect()} == {0}
     assert toxicity.toxicity_scores(documents([]), labels(known)).count() == 0
+
+
+def test_what_need_not_be_decoded_changes_nothing():
+    r = random.Random(4)
+    model = toxicity.language_model(toxicity.trigram_counts([*CALM, *HARSH] * 20).astype(float))
+    weighed = {x: 1.0 for w in [*HARSH, "letter", "bass"] for x in toxicity.features_of(w)}
+    reader = toxicity.Scorer(weighed, 0.0, model).reader()
+    every = toxicity.Reader(model)
+    for _ in range(400):
+        words = [r.choice([*CALM, *HARSH, "letter", "bass", "i", "d", "0"]) for _ in range(8)]
+        text = " ".join("".join(x * r.choice([1, 1, 1, 2, 3]) for x in w) for w in words)
+        expected = {}
+        for word, n in every.words(text).items():
+            for x in toxicity.features_of(word):
+                if x in weighed:
+                    expected[x] = expected.get(x, 0) + n
+        assert reader.features(text) == {x: np.log2(1 + n) for x, n in expected.items()}, text
