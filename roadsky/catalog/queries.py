@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from roadsky.catalog import sqltext as S
 from roadsky.catalog.views import incidents, readings, table
 from roadsky.functions import conditions, speed, text, times
-from roadsky.operators import clean, fill, ols, profile, ranking, residuals, robust, sample
+from roadsky.operators import clean, dictionary, fill, ols, profile, ranking, residuals, robust, sample
 from roadsky.operators.vectors import assemble, standardise
 from roadsky.plans import studies
 from roadsky.plans.subsets import (
@@ -1173,3 +1173,33 @@ def run_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label that a run at the time of an event would have."""
     labelled = table(spark, sf_dir, "events").select(text.run_label(F.col("ts")).alias("label"))
     return labelled.groupBy("label").agg(F.count("*").alias("n"))
+
+
+_RATINGS = ["good", "bad", "neutral"]
+
+
+@query(
+    "document_ratings_from_table",
+    """WITH words AS (
+  SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{8,}')) AS entry FROM documents
+), entries AS MATERIALIZED (
+  SELECT entry, CASE WHEN substr(md5(entry), 2, 2) IN ('00', '01') THEN 1 WHEN substr(md5(entry), 2, 1) = '5' THEN 2 ELSE 3 END AS place
+  FROM words WHERE substr(md5(entry), 1, 1) IN ('0', '1', '2', '3')
+), rated AS (
+  SELECT doc_id, min(place) AS place FROM (SELECT doc_id, lower(text) AS text FROM documents) d JOIN entries e ON contains(d.text, e.entry)
+  GROUP BY doc_id
+)
+SELECT d.doc_id, CASE r.place WHEN 1 THEN 'good' WHEN 2 THEN 'bad' WHEN 3 THEN 'neutral' ELSE 'unknown' END AS rating
+FROM documents d LEFT JOIN rated r ON r.doc_id = d.doc_id""",
+)
+def document_ratings_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents rated by a dictionary of thousands of entries that lives in a table."""
+    documents = table(spark, sf_dir, "documents")
+    words = documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0))).alias("entry")).distinct()
+    digest = F.md5("entry")
+    rating = (
+        F.when(F.substring(digest, 2, 2).isin("00", "01"), "good").when(F.substring(digest, 2, 1) == "5", "bad").otherwise("neutral")
+    )
+    entries = words.filter(F.substring(digest, 1, 1).isin("0", "1", "2", "3")).withColumn("rating", rating)
+    rated = dictionary.rating_from_entries(documents.select("doc_id", "text"), "text", entries, _RATINGS, "rating")
+    return rated.select("doc_id", "rating")

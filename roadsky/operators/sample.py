@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import os
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_PREFIX = 5  # hex digits: 16**5 buckets, about a million
-# An edge of at most this many rows may be sorted by one task.
-EDGE_ROWS = 1_000_000
+_PREFIX = 5  # hex digits that decide a split
+_DIGITS = 3  # hex digits of one counting pass: at most 4,096 counts reach the driver
+# At most this many rows around the end of a sample are told to the driver by their hashes.
+EDGE_ROWS = 10_000
 
 
 def row_hash(keys: Sequence[str], seed: int = 0) -> Column:
@@ -18,24 +22,54 @@ def row_hash(keys: Sequence[str], seed: int = 0) -> Column:
     return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
 
 
-def _edge(rows: DataFrame, level: Column, wanted: Column) -> Row | None:
-    """Where, in the order of ``level``, the first ``wanted`` rows end.
+@dataclass
+class Edge:
+    """Where the ``wanted`` smallest texts of a column end.
 
-    ``wanted`` may use ``total``, the number of all rows. Rows are counted per
-    level value, and only the counts are put in order.
+    Texts below ``bound`` belong to them, and ``left`` rows of those that
+    begin with it (all of them if ``left`` is None).
     """
-    counts = rows.groupBy(level.alias("level")).agg(F.count("*").alias("rows"))
-    running = Window.orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return (
-        counts.withColumn("upto", F.sum("rows").over(running))
-        .withColumn("total", F.sum("rows").over(whole))
-        .withColumn("wanted", F.floor(wanted))
-        .filter(F.col("upto") >= F.col("wanted"))
-        .orderBy("level")
-        .select("level", "rows", (F.col("wanted") - F.col("upto") + F.col("rows")).alias("left"))
-        .first()
-    )
+
+    bound: str
+    left: int | None
+
+
+def smallest(rows: DataFrame, name: str, wanted: Callable[[int], int], edge_rows: int = EDGE_ROWS) -> Edge | None:
+    """The edge of the ``wanted(number of rows)`` smallest texts of hex digits, all of one length; None if there are none.
+
+    Selection by counting: rows are counted by their next digits, the digits
+    in which the sample ends are fixed, and only rows that begin with them are
+    counted again. What all of them have in common is skipped, so a group of
+    equal texts costs no passes. Every pass is a plain aggregate; no rows are
+    sorted, and what reaches the driver is bounded.
+    """
+    prefix, left, column = "", None, F.col(name)
+    while True:
+        at = F.substring(column, 1, len(prefix) + _DIGITS).alias("level")
+        inside = rows.filter(column.startswith(prefix)) if prefix else rows
+        counted = inside.groupBy(at).agg(F.count("*").alias("n"), F.min(name).alias("least"), F.max(name).alias("most"))
+        levels = sorted(counted.collect())  # at most 16 ** _DIGITS
+        if left is None:
+            left = wanted(sum(level["n"] for level in levels))
+        if not left:
+            return None
+        for level in levels:
+            if level["n"] >= left:
+                break
+            left -= level["n"]
+        else:
+            return Edge("g", None)  # beyond all digits: every row
+        prefix = os.path.commonprefix([level["least"], level["most"]])
+        if level["n"] == left:
+            return Edge(prefix, None)
+        if level["least"] == level["most"]:
+            return Edge(prefix, left)
+        if level["n"] <= edge_rows:
+            break
+    for row in sorted(rows.filter(column.startswith(prefix)).groupBy(name).count().collect()):  # at most edge_rows
+        if row["count"] >= left:
+            return Edge(row[name], left if row["count"] > left else None)
+        left -= row["count"]
 
 
 def sample_exact(
@@ -48,42 +82,30 @@ def sample_exact(
     """Exactly ``int(rows * fraction)`` rows: those with the smallest key hash.
 
     Rows with equal keys follow in the order of the hash of the whole row. The
-    sample grows with the data, so there is no sort and no top-k. A count per
-    hash prefix (at most a million rows, whatever the data) shows in which
-    prefix the sample ends; rows below it pass a plain filter. If that prefix
-    still holds many rows, because a key is a large group, it is narrowed to
-    one key and then to one prefix of the row hash. At the last edge equal rows
-    are folded to a count, and the last ones are cut off by running count.
+    sample grows with the data, so there is no sort and no top-k: its end in
+    the order of the two hashes is found by counting (:func:`smallest`), and
+    rows below it pass a plain filter. Only of the row at the edge itself are
+    copies folded and the last ones cut off.
     """
-    keys = list(keys or df.columns)
-    hashed = df.withColumn("_hash", row_hash(keys, seed)).withColumn("_row", row_hash(df.columns, seed))
-    levels = [F.substring("_hash", 1, _PREFIX), F.col("_hash"), F.substring("_row", 1, _PREFIX)]
-    wanted = F.col("total") * F.lit(fraction)
-    below, at_edge = F.lit(False), F.lit(True)
-    for level in levels:
-        edge = _edge(hashed.filter(at_edge), level, wanted)
-        if edge is None:
-            return df.limit(0)
-        below = below | (at_edge & (level < edge["level"]))
-        at_edge = at_edge & (level == edge["level"])
-        left = edge["left"]
-        wanted = F.lit(left)
-        if edge["rows"] <= edge_rows:
-            break
-
-    names = df.columns
-    order = Window.orderBy("_hash", "_row", *names).rowsBetween(Window.unboundedPreceding, 0)
+    keys, names = list(keys or df.columns), df.columns
+    hashed = df.withColumn("_hash", F.concat(row_hash(keys, seed), row_hash(names, seed)))
+    edge = smallest(hashed.select("_hash"), "_hash", lambda rows: math.floor(rows * fraction), edge_rows)
+    if edge is None:
+        return df.limit(0)
+    below = hashed.filter(F.substring("_hash", 1, len(edge.bound)) <= edge.bound if edge.left is None else F.col("_hash") < edge.bound)
+    if edge.left is None:
+        return below.select(*names)
+    # rows of equal hashes are copies of one row
+    at_edge = hashed.filter(F.col("_hash") == edge.bound).groupBy("_hash", *names).agg(F.count("*").alias("_copies"))
+    order = Window.partitionBy("_hash").orderBy(*names).rowsBetween(Window.unboundedPreceding, 0)
     cut = (
-        hashed.filter(at_edge)
-        .groupBy("_hash", "_row", *names)
-        .agg(F.count("*").alias("_copies"))
-        .withColumn("_upto", F.sum("_copies").over(order))
-        .withColumn("_take", F.least("_copies", F.lit(left) - F.col("_upto") + F.col("_copies")))
+        at_edge.withColumn("_upto", F.sum("_copies").over(order))
+        .withColumn("_take", F.least("_copies", F.lit(edge.left) - F.col("_upto") + F.col("_copies")))
         .filter(F.col("_take") > 0)
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_take"))))
         .select(*names)
     )
-    return hashed.filter(below).select(*names).unionByName(cut)
+    return below.select(*names).unionByName(cut)
 
 
 def sample_approximate(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:

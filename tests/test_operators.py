@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from roadsky.operators import clean, fill, impact, profile, sample
+from roadsky.operators import clean, dictionary, fill, impact, profile, sample
 from roadsky.schemas import INCIDENT_COLUMNS
 
 
@@ -258,3 +258,51 @@ def test_impact_and_crosstab(spark):
 
 def test_schema_names():
     assert len(INCIDENT_COLUMNS) == 30 and INCIDENT_COLUMNS[0] == "ID"
+
+
+def test_sampling_has_no_task_for_all_rows(spark):
+    df = spark.range(5000).withColumn("x", F.col("id") % 7)
+    plan = sample.sample_exact(df, 0.3, ["x"], seed=2)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Sort" not in plan.replace("SortAggregate", "").replace("Sort [_hash", "")
+
+
+@pytest.mark.parametrize("wanted", [0, 1, 7, 500, 999, 1000])
+@pytest.mark.parametrize("edge_rows", [1, 10_000])
+def test_selection_by_counting(spark, wanted, edge_rows):
+    texts = sorted([f"{i * i * 7919 % 16**6:06x}" for i in range(700)] + ["0f0f0f"] * 300)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    edge = sample.smallest(rows, "t", lambda n: wanted, edge_rows)
+    if not wanted:
+        assert edge is None
+        return
+    taken = [t for t in texts if t[: len(edge.bound)] < edge.bound]
+    equal = [t for t in texts if t.startswith(edge.bound)]
+    taken += equal if edge.left is None else equal[: edge.left]
+    assert taken == texts[:wanted]
+
+
+# ---- dictionaries ------------------------------------------------------------
+
+
+def test_ratings_by_entries_of_a_table(spark):
+
+    r = random.Random(4)
+    entries = [("".join(r.choice("abcé") for _ in range(r.randint(1, 5))), r.choice(["good", "bad", "neutral", "other"])) for _ in range(150)]
+    entries += [("", "good"), (None, "good"), ("SNOW", "bad"), ("snow", "good")]
+    texts = [None, "", "  ", "SnOw fall"] + ["".join(r.choice("abcéxyz ") for _ in range(r.randint(1, 12))) for _ in range(300)]
+    table = spark.createDataFrame(entries, "entry string, rating string")
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("rating", F.lit("old"))
+    order = ["bad", "good", "neutral"]
+    found = {row.id: row.rating for row in dictionary.rating_from_entries(df, "text", table, order, "rating").collect()}
+    for i, text in enumerate(texts):
+        hits = [order.index(k) for e, k in entries if e and k in order and text and text.strip() and e.lower() in text.lower()]
+        assert found[i] == (order[min(hits)] if hits else "unknown")
+    none = dictionary.rating_from_entries(df, "text", table.limit(0), order, "rating")
+    assert {row.rating for row in none.collect()} == {"unknown"}
+
+
+def test_a_dictionary_too_large_to_ship_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(dictionary, "MOST_ENTRIES", 3)
+    table = spark.createDataFrame([(f"w{i}", "good") for i in range(5)], "entry string, rating string")
+    with pytest.raises(ValueError, match="too large"):
+        dictionary.entries_of(table, ["good"])

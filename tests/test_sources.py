@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from roadsky.operators import ols
@@ -64,6 +65,51 @@ def test_resume_equals_one_run(spark, tmp_path):
     assert again.count() == 7
 
 
+def small_sweep(spark):
+    rows = [(float(i), float(i * i % 17), float((i * 7) % 13), float((i * 5) % 11)) for i in range(80)]
+    df = spark.createDataFrame(rows, "y double, a double, b double, c double")
+    return ols.prepare(df, ["a", "b", "c"], ["y"], log_label=True), plan_models(spark, ["y"], ["a", "b", "c"], 3)
+
+
+def test_a_lost_run_keeps_its_finished_batches(spark, tmp_path):
+    sweep, plan = small_sweep(spark)
+    log, calls = str(tmp_path / "log"), []
+
+    def run(todo):
+        calls.append({row.formula for row in todo.collect()})
+        if len(calls) == 3:
+            raise RuntimeError("the executor is gone")
+        return ols.run_sweep(sweep, todo)
+
+    with pytest.raises(RuntimeError):
+        modellog.resume_sweep(spark, log, plan, run, batch_models=2)
+    kept = {row.formula for row in modellog.finished_models(spark, log).collect()}
+    assert kept == calls[0] | calls[1] and modellog.manifest(spark, log).count() == 2
+    # a batch that was written but not listed does not count
+    ols.run_sweep(sweep, plan).write.parquet(str(tmp_path / "log" / "batches" / "halfway"))
+    assert {row.formula for row in modellog.finished_models(spark, log).collect()} == kept
+    whole = modellog.resume_sweep(spark, log, plan, run, batch_models=2)
+    found = [row.formula for row in whole.collect()]
+    assert len(found) == 7 and set(found) == {row.formula for row in plan.collect()}
+    assert not (calls[0] | calls[1]) & set().union(*calls[3:])
+    before = len(calls)
+    assert modellog.resume_sweep(spark, log, plan, run, batch_models=2).count() == 7 and len(calls) == before
+
+
+def test_a_repeated_batch_adds_nothing(spark, tmp_path):
+    sweep, plan = small_sweep(spark)
+    log = str(tmp_path / "log")
+    models = ols.run_sweep(sweep, plan)
+    for _ in range(2):
+        modellog.commit_batch(spark, log, "one", models)
+    assert modellog.finished_models(spark, log).count() == 7
+    # listed twice, by two runs at a time
+    twice = spark.read.schema(modellog.MANIFEST).parquet(f"{log}/manifest").withColumn("folder", F.lit("other"))
+    models.write.parquet(f"{log}/batches/other")
+    tables.append_parquet(twice, f"{log}/manifest")
+    assert modellog.finished_models(spark, log).count() == 7
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("x y(1)", "a;b", 1.5), ("z", None, 2.0)], "target string, t string, v double")
     tables.write_csv_by(df, str(tmp_path / "by"), "target")
