@@ -251,11 +251,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One document of each group: that with the smallest id. Rows without an id stand behind all others."""
-    own = fresh(docs.columns, "_id")
-    named = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))))
+    """One document of each group: that with the smallest id; rows without an id stand behind all others.
+
+    Rows are told apart by id and text together, so of two texts under one id
+    each stays or goes with its own group.
+    """
+    own = fresh(docs.columns, "_row")
+    gone = F.col("doc_id").isNull().cast("int")
+    key = F.xxhash64(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.coalesce("text", F.lit("")))
+    named = docs.withColumn(own, key)
     found = near_duplicates(named.select(F.col(own).alias("doc_id"), "text"), shingle, max_bits)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    group = found.groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("group"))
+    ids = named.groupBy(F.col(own).alias("key")).agg(F.min(gone).alias("gone"), F.min(F.col("doc_id").cast("long")).alias("id"))
+    first = group.join(ids, "key").groupBy("group").agg(F.min(F.struct("gone", "id", "key")).alias("first"))
+    kept = first.select(F.col("first.key").alias(own))
     return named.join(kept, own).dropDuplicates([own]).select(*docs.columns)
 
 

@@ -45,9 +45,9 @@ from roadsky.llm.common import held_out, table
 SAMPLE_DOCS = 20_000
 #: Features that may carry a weight, at most; the strongest by the G statistic.
 VOCABULARY = 1024
-#: Labelled documents a feature must occur in, and the G statistic it must reach (one in 130,000 does by chance).
-LEAST_DOCS = 5
-LEAST_G = 20.0
+#: Labelled documents a feature must occur in, and the G statistic it must reach (one in 1,900 does by chance).
+LEAST_DOCS = 3
+LEAST_G = 12.0
 #: Lengths of the beginnings of words that are features beside the words.
 STEMS = (4, 5, 6)
 #: Squared penalty of the weights.

@@ -101,3 +101,12 @@ def test_keep_one(spark, documents):
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "9", "None"]
     assert simhash.keep_one(documents([])).count() == 0
+
+
+def test_two_texts_under_one_id_are_two_documents(documents):
+    a = " ".join(f"first{i}" for i in range(60))
+    b = " ".join(f"second{i}" for i in range(60))
+    c = " ".join(f"third{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, b), (3, a), (3, c), (3, c), (None, c), (None, None), (None, "")]
+    kept = simhash.keep_one(documents(rows)).select("doc_id", "text").collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], (r["text"] or "")[:5]) for r in kept) == [(-1, ""), (1, "first"), (1, "secon"), (3, "third")]
