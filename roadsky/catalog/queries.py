@@ -30,6 +30,7 @@ from roadsky.schemas import (
 )
 from roadsky.session import scratch_path
 from roadsky.sources import tables
+from roadsky.sources.quoted_csv import read_quoted_csv
 from roadsky.sources.modellog import resume_sweep
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1203,3 +1204,13 @@ def document_ratings_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = words.filter(F.substring(digest, 1, 1).isin("0", "1", "2", "3")).withColumn("rating", rating)
     rated = dictionary.rating_from_entries(documents.select("doc_id", "text"), "text", entries, _RATINGS, "rating")
     return rated.select("doc_id", "rating")
+
+
+@query("csv_quoted_lines", "SELECT doc_id, source, length(text) AS n, sha256(text) AS digest FROM documents")
+def csv_quoted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with their line breaks and quotes as CSV, read back in splits."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    path = scratch_path(spark, "documents-csv")
+    documents.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    back = read_quoted_csv(spark, path, "doc_id long, text string, source string")
+    return back.select("doc_id", "source", F.length("text").alias("n"), F.sha2("text", 256).alias("digest"))

@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadsky.functions.conditions import is_missing_text
+from roadsky.session import scratch_path
+
+#: Characters of a value that travel with its hashes while values are counted.
+PREFIX = 48
+#: Candidates of a column whose values are fetched by a broadcast of their hashes.
+MOST_CANDIDATES = 10_000
 
 
 def _missing(df: DataFrame, name: str) -> Column:
@@ -36,29 +42,62 @@ def missing_share(df: DataFrame, names: Sequence[str] | None = None) -> DataFram
     return shares.select(F.inline(F.array(*rows)))
 
 
-def value_counts(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """Count of every present value of every column, values as text."""
-    names = list(names or df.columns)
+def _cells(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(Column, Value) of every present value, as text."""
     texts = df.select(
         *[F.when(~_missing(df, name), F.col(name).cast("string")).alias(name) for name in names]
     )
-    cells = texts.unpivot([], names, "Column", "Value").filter(F.col("Value").isNotNull())
-    return cells.groupBy("Column", "Value").agg(F.count("*").alias("Count"))
+    return texts.unpivot([], list(names), "Column", "Value").filter(F.col("Value").isNotNull())
+
+
+def value_counts(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """Count of every present value of every column, values as text."""
+    return _cells(df, list(names or df.columns)).groupBy("Column", "Value").agg(F.count("*").alias("Count"))
+
+
+def _keyed_counts(cells: DataFrame) -> DataFrame:
+    """(Column, first, second, prefix, Count) by two hashes of a value; of the value itself only a beginning travels."""
+    hashes = [F.xxhash64("Value").alias("first"), F.xxhash64(F.lit(1), "Value").alias("second")]
+    keyed = cells.select("Column", *hashes, F.substring("Value", 1, PREFIX).alias("prefix"))
+    return keyed.groupBy("Column", "first", "second").agg(F.min("prefix").alias("prefix"), F.count("*").alias("Count"))
 
 
 def top_values(df: DataFrame, names: Sequence[str] | None = None, top_n: int = 20) -> DataFrame:
-    """The ``top_n`` values per column with their percent of the present values.
+    """The ``top_n`` values per column with their percent of the present values; ties by value.
 
-    The counts are shuffled by (column, value) after a map-side combine. The
-    rank filter becomes a window group limit: each task passes on at most
-    ``top_n`` rows per column, so an all-distinct column never meets in one
-    task. Totals come from the same counts, one row per column.
+    Values are counted by 128 bits of hash, with their first ``PREFIX``
+    characters beside: long texts are no keys of an exchange. The best by count
+    and beginning are the candidates: ``top_n`` of a column, and those that tie
+    with the last one in both. A second pass fetches the values of candidates,
+    one row a candidate and task. A column with more than ``MOST_CANDIDATES``
+    (very many values of one count and one beginning) is counted by its whole
+    values instead. Rank filters become window group limits: each task passes
+    on ``top_n`` rows a column at most.
     """
-    counts = value_counts(df, names)
+    names = list(names or df.columns)
+    cells = _cells(df, names)
+    path = scratch_path(df.sparkSession, "value-counts")
+    _keyed_counts(cells).write.parquet(path)
+    counts = df.sparkSession.read.parquet(path)
     totals = counts.groupBy("Column").agg(F.sum("Count").alias("present"))
-    order = Window.partitionBy("Column").orderBy(F.desc("Count"), "Value")
-    best = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n)
-    return best.join(F.broadcast(totals), "Column").select(
+    order = Window.partitionBy("Column").orderBy(F.desc("Count"), "prefix", "first", "second")
+    first = counts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top_n)
+    edge = first.groupBy("Column").agg(F.max_by(F.struct("Count", "prefix"), "place").alias("edge"))
+    # a row a column
+    near = counts.join(F.broadcast(edge), "Column")
+    near = near.filter((F.col("Count") > F.col("edge.Count")) | ((F.col("Count") == F.col("edge.Count")) & (F.col("prefix") <= F.col("edge.prefix"))))
+    many = {row["Column"] for row in near.groupBy("Column").count().filter(F.col("count") > MOST_CANDIDATES).collect()}
+    few = near.filter(~F.col("Column").isin(*many)) if many else near
+    hashed = cells.withColumns({"first": F.xxhash64("Value"), "second": F.xxhash64(F.lit(1), "Value")})
+    keys = ["Column", "first", "second"]
+    # at most MOST_CANDIDATES rows a column
+    named = hashed.join(F.broadcast(few.select(*keys, "Count")), keys).groupBy(*keys, "Count").agg(F.min("Value").alias("Value"))
+    best = named.select("Column", "Value", "Count")
+    if many:
+        best = best.unionByName(value_counts(df, sorted(many)))
+    ranks = Window.partitionBy("Column").orderBy(F.desc("Count"), "Value")
+    ranked = best.withColumn("rank", F.row_number().over(ranks)).filter(F.col("rank") <= top_n)
+    return ranked.join(F.broadcast(totals), "Column").select(
         "Column",
         "Value",
         "Count",

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from roadsky.functions.conditions import is_missing_text
 from roadsky.operators.clean import to_doubles
 from roadsky.schemas import INCIDENT
+from roadsky.sources.quoted_csv import read_quoted_csv
 
 # Texts that stand for "no value" in the incident files.
 NULL_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -33,13 +34,15 @@ def read_incident_csv(
     """CSV with a header, every column as text; no inference pass over the data.
 
     ``null_words`` are read as null. ``multi_line`` allows line breaks inside
-    quotes, but then a file cannot be split over tasks.
+    quotes, at the price of a second pass over the lines.
     """
-    reader = spark.read.schema(schema).option("header", True).option("escape", '"')
-    df = reader.option("multiLine", multi_line).csv(path)
+    if multi_line:
+        df = read_quoted_csv(spark, path, schema)
+    else:
+        df = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
     if not null_words:
         return df
-    texts = [field.name for field in schema if isinstance(field.dataType, T.StringType)]
+    texts = [field.name for field in df.schema if isinstance(field.dataType, T.StringType)]
     return df.withColumns({name: _blank_out(name, null_words) for name in texts})
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -306,3 +307,30 @@ def test_a_dictionary_too_large_to_ship_is_refused(spark, monkeypatch):
     table = spark.createDataFrame([(f"w{i}", "good") for i in range(5)], "entry string, rating string")
     with pytest.raises(ValueError, match="too large"):
         dictionary.entries_of(table, ["good"])
+
+
+# ---- frequent values -----------------------------------------------------------
+
+
+@pytest.mark.parametrize("most", [10_000, 3])
+@pytest.mark.parametrize("top_n", [1, 4, 100])
+def test_top_values_by_hashes(spark, monkeypatch, most, top_n):
+    monkeypatch.setattr(profile, "MOST_CANDIDATES", most)
+    monkeypatch.setattr(profile, "PREFIX", 3)
+    r = random.Random(top_n)
+    rows = [(r.choice(["abc1", "abc2", "abcd", "b", "", " ", None]), r.choice([1, 2, None]), f"abc{i}") for i in range(80)]
+    df = spark.createDataFrame(rows, "t string, n int, u string").repartition(3)
+    found = {(x.Column, x.rank): (x.Value, x.Count, round(x.Percentage, 6)) for x in profile.top_values(df, top_n=top_n).collect()}
+    expected = {}
+    for j, name in enumerate(("t", "n", "u")):
+        present = [str(row[j]) for row in rows if row[j] is not None and str(row[j]).strip()]
+        ordered = sorted(Counter(present).items(), key=lambda x: (-x[1], x[0]))[:top_n]
+        expected |= {(name, i): (v, n, round(100 * n / len(present), 6)) for i, (v, n) in enumerate(ordered, 1)}
+    assert found == expected
+
+
+def test_long_texts_are_no_keys_of_an_exchange(spark):
+    df = spark.createDataFrame([("x" * 500 + str(i % 7),) for i in range(50)], "t string")
+    counted = profile._keyed_counts(profile._cells(df, ["t"]))._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"hashpartitioning\(([^)]*)\)", counted)
+    assert keys and all("Value" not in k for k in keys)

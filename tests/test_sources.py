@@ -1,4 +1,6 @@
+import csv
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from roadsky.plans.subsets import plan_models
 from roadsky.schemas import INCIDENT, MODEL_LOG_FULL, MODEL_LOG_SHORT, MODEL_RESULT
 from roadsky.session import scratch_path, shared_folder
 from roadsky.operators.ranking import numeric_log
-from roadsky.sources import modellog, tables
+from roadsky.sources import modellog, quoted_csv, tables
 
 
 def test_incident_csv(spark, tmp_path):
@@ -65,6 +67,40 @@ def test_resume_equals_one_run(spark, tmp_path):
     assert again.count() == 7
 
 
+@pytest.mark.parametrize("size", ["7b", "23b", "100b", "1000b", "10m"])
+def test_quoted_lines_in_splits_of_any_size(spark, tmp_path, size):
+    r = random.Random(5)
+    bits = ["a", "é", "日", ",", '"', "\n", "\r\n", " ", "x" * 30, '""', "\n\n"]
+    written = []
+    for name in ("one", "two"):
+        rows = [[str(i), "".join(r.choice(bits) for _ in range(r.randint(0, 12))) + "|"] for i in range(60)]
+        rows.append(["60", "long " + "\n" * 90 + "|"])
+        with open(tmp_path / f"{name}.csv", "w", newline="") as out:
+            csv.writer(out, lineterminator="\n").writerows([["id", "t"], *rows])
+        written += [(int(i), t) for i, t in rows]
+    with open(tmp_path / "empty.csv", "w") as out:
+        out.write("")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        lines = quoted_csv._lines(spark, str(tmp_path / "*.csv"))
+        splits = lines.select("file", "start").distinct().count()
+        found = quoted_csv.read_quoted_csv(spark, str(tmp_path / "*.csv"), "id int, t string")
+        assert sorted(map(tuple, found.collect())) == sorted(written)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert splits > 20 if size == "100b" else splits >= 2
+
+
+def test_quoted_lines_with_windows_ends_and_without_header(spark, tmp_path):
+    path = tmp_path / "w.csv"
+    path.write_bytes(b'1,"a\r\nb"\r\n2,plain\r\n\r\n3,"say ""so"""\r\n')
+    found = quoted_csv.read_quoted_csv(spark, str(path), "id int, `t (x)` string", header=False)
+    assert sorted(map(tuple, found.collect())) == [(1, "a\r\nb"), (2, "plain"), (3, 'say "so"')]
+
+
 def small_sweep(spark):
     rows = [(float(i), float(i * i % 17), float((i * 7) % 13), float((i * 5) % 11)) for i in range(80)]
     df = spark.createDataFrame(rows, "y double, a double, b double, c double")
