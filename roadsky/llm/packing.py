@@ -70,7 +70,7 @@ GAP = 1e-5
 #: Bytes of text that are encoded at once; a longer text is one step.
 STEP_BYTES = 4_000_000
 #: Different stretches that a task remembers, about.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, number long"
 
 
@@ -103,8 +103,8 @@ class Encoder:
         self.units = {"\n": 0}
         self.unit_flat, self.unit_sizes = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def learn(self, stretches: list[str]) -> None:
-        plain = [s for s in stretches if s.isascii() and s.isprintable() and "<|" not in s]
+    def learn(self, plain: list[str], others: list[str]) -> None:
+        """Remember new stretches: those of printable ASCII without a special token's beginning, and all others."""
         if plain:
             units = _PARTS.findall("\n".join(plain).lower())
             new = [u for u in dict.fromkeys(units) if u not in self.units]
@@ -116,7 +116,6 @@ class Encoder:
             counts = self.unit_sizes[codes]
             between = np.flatnonzero(codes == 0)
             self.add(plain, self.unit_flat[ranges(bounds(self.unit_sizes)[codes], counts)], np.diff(bounds(counts)[[0, *between, len(codes)]]))
-        others = [s for s in stretches if not (s.isascii() and s.isprintable() and "<|" not in s)]
         for start in range(0, len(others), 2000):
             some = others[start : start + 2000]
             found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
@@ -146,7 +145,12 @@ class Encoder:
         coded = listed.flatten().dictionary_encode()
         stretches = coded.dictionary.to_pylist()
         with self.without_collector():
-            self.learn([s for s in stretches if s not in self.index])
+            new = [s not in self.index for s in stretches]
+            odd = pc.match_substring_regex(coded.dictionary, r"[^!-~]|<\|").to_pylist()
+            self.learn(
+                [s for s, n, o in zip(stretches, new, odd, strict=True) if n and not o],
+                [s for s, n, o in zip(stretches, new, odd, strict=True) if n and o],
+            )
         entry = np.fromiter(map(self.index.__getitem__, stretches), np.int64, len(stretches))
         used = entry[coded.indices.to_numpy(zero_copy_only=False)]
         # the end mark of each text stands behind its own stretches
