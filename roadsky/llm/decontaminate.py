@@ -11,8 +11,9 @@ can match nothing. A window is ``n`` consecutive words of an item, or the
 whole of a shorter item.
 
 The benchmark is the stated query set. It reaches the tasks in blocks of at
-most ``BLOCK_WORDS`` words, written to the shared folder and read one at a
-time, so neither the driver nor a task holds more of it than one block.
+most ``BLOCK_WORDS`` words (or of one longer item), packed by tasks, written to
+the shared folder and read one at a time: no task holds more than one block,
+and the driver only their names.
 
 Words are compared by a 64-bit hash of their bytes; a match needs every word
 of a window to agree.
@@ -25,10 +26,12 @@ hits nothing; repeated documents get one result each.
 from __future__ import annotations
 
 import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,23 +132,35 @@ def pack_block(items: list[tuple], n: int) -> bytes:
 
 
 def write_blocks(benchmark: DataFrame, n: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[str]:
-    """The benchmark in blocks in the shared folder; the driver holds one block at a time."""
+    """The benchmark in blocks in the shared folder, packed by tasks; only the blocks' paths reach the driver."""
     folder = scratch_path(benchmark.sparkSession, "benchmark")
-    out, held, words = [], [], 0
-
-    def flush() -> None:
-        out.append(f"{folder}/block-{len(out):05d}.npz")
-        write_bytes(out[-1], pack_block(held, n))
-
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        held.append((row["item_id"], row["text"]))
-        words += len(row["text"] or "") // 2 + 1
-        if words >= block_words:
-            flush()
-            held, words = [], 0
-    if held:
-        flush()
-    return out
+    items = benchmark.select("item_id", "text")
+    words = F.floor(F.length(F.coalesce("text", F.lit(""))) / 2) + 1
+    total = items.agg(F.sum(words).alias("words")).first()["words"] or 0
+    parts = max(1, -(-total // block_words))
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, written, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush() -> pd.DataFrame:
+            # a name of its own for each attempt of a task
+            path = f"{folder}/block-{part:06d}-{written:06d}-{uuid.uuid4().hex}.npz"
+            write_bytes(path, pack_block(held, n))
+            return pd.DataFrame({"path": [path]})
+
+        for frame in frames:
+            for item, text in zip(frame["item"], frame["text"], strict=True):
+                held.append((item, text))
+                size += len(text or "") // 2 + 1
+                if size >= block_words:
+                    yield flush()
+                    held, size, written = [], 0, written + 1
+        if held:
+            yield flush()
+
+    dealt = items.select(F.col("item_id").cast("string").alias("item"), "text").repartition(parts, F.xxhash64("item", "text"))
+    packed = dealt.sortWithinPartitions("item", "text").mapInPandas(pack, "path string")
+    return sorted(row["path"] for row in packed.collect())  # a row a block
 
 
 def _load(path: str, cache: dict) -> dict:

@@ -205,7 +205,9 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.letters = np.array(sorted({ord(c) for t in vocabulary.texts for c in t}), np.uint32)
-        usable = [r for r, t in enumerate(vocabulary.texts) if vocabulary.left[r] >= 0 and len(t) <= ORDER]
+        usable = [r for r, t in enumerate(vocabulary.texts) if vocabulary.left[r] >= 0]
+        if any(len(vocabulary.texts[r]) > ORDER for r in usable):
+            raise ValueError(f"the vocabulary has pieces of more than {ORDER} characters: a suffix array of that order cannot find them")
         self.pieces = np.array(usable, np.int64)
         self.lengths = np.array([len(vocabulary.texts[r]) for r in usable], np.int64)
         flat = self._codes("".join(vocabulary.texts[r].ljust(ORDER, "\n") for r in usable)).reshape(-1, ORDER)
