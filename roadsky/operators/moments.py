@@ -296,9 +296,14 @@ class Blocks:
     def rows(self) -> Iterator[tuple[int, int, bytes, bool]]:
         """(model, low, block, overflowed) of the models that have rows."""
         for models, _, _, _, held, met in self.groups:
-            for row in np.flatnonzero(met[:, 0]).tolist():
-                block = Limbs(held.low, held.data[:, row]).carried()
-                yield int(models[row]), block.low, block.data.astype(np.int32).tobytes(), bool(met[row, 1])
+            there = np.flatnonzero(met[:, 0])
+            for some in np.array_split(there, -(-len(there) // 10_000) or 1):
+                if not len(some):
+                    continue
+                blocks = Limbs(held.low, held.data[:, some]).carried()
+                data = np.ascontiguousarray(blocks.data.transpose(1, 0, 2)).astype(np.int32)
+                for model, block, bad in zip(models[some].tolist(), data, met[some, 1].tolist(), strict=True):
+                    yield model, blocks.low, block.tobytes(), bad
 
 
 def in_lots(rows: Iterable, size: int) -> Iterator[list]:
