@@ -84,7 +84,7 @@ def test_ties_of_whole_numbers_at_factor_one(spark, shard):
     assert got == brute(rows, lambda q: q % 20 == 0, 20)
 
 
-def shapes(kind, n=4000, width=24):
+def shapes(kind, n=2400, width=24):
     r = np.random.default_rng(2)
     x = r.normal(size=(n, width))
     if kind == "clustered":
@@ -101,7 +101,7 @@ def shapes(kind, n=4000, width=24):
 def test_recall_of_the_chosen_factor(spark, kind):
     rows = shapes(kind)
     vectors = vantage.usable(table(spark, rows))
-    index = vantage.build_index(vectors, 800)
+    index = vantage.build_index(vectors, 500)
     assert index.trees.count() >= 4
     queries = vectors.filter("vec_id % 20 = 0")
     want = brute(rows, lambda q: q % 20 == 0, 20)
