@@ -334,3 +334,5 @@ def test_long_texts_are_no_keys_of_an_exchange(spark):
     counted = profile._keyed_counts(profile._cells(df, ["t"]))._jdf.queryExecution().executedPlan().toString()
     keys = re.findall(r"hashpartitioning\(([^)]*)\)", counted)
     assert keys and all("Value" not in k for k in keys)
+    longest = profile._keyed_counts(profile._cells(df, ["t"])).agg(F.max(F.length("key"))).first()[0]
+    assert longest == profile.PREFIX + 33
