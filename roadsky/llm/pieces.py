@@ -43,7 +43,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ORDER = 16
 LONG = 64
 #: Different stretches that a task remembers, at most.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _STRETCH = re.compile("▁+[^▁\n]*|[^▁\n]+|\n")
 _ALIEN = 0xFFFF
 _SLOTS = 1 << 20
@@ -384,7 +384,7 @@ def encode_documents(docs: DataFrame, text: str = "text", keep: list[str] | None
         encoder, decoder = Encoder(vocabulary), Decoder(vocabulary.decoded)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            for part in chunks(texts, 2_000_000):
+            for part in chunks(texts, 1_000_000):
                 mine = texts[part]
                 ids, at = encoder.encode(mine)
                 back = decoder.decode(ids, at)

@@ -298,7 +298,7 @@ class FeatureReader:
         total: dict[str, int] = {}
         lowered = (text or "").lower()
         tokens = Counter(lowered.split())
-        if len(self.tokens) > 4 * REMEMBERED:
+        if len(self.tokens) > 2 * REMEMBERED:
             self.tokens.clear()
         known = self.tokens.get
         for token, n in tokens.items():
