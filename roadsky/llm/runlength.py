@@ -57,9 +57,9 @@ GRAM = 32
 #: Spans of one anchor that may go to one shard.
 HOT_SPANS = 20_000
 #: Spans in a shard, about.
-SHARD_SPANS = 20_000
+SHARD_SPANS = 8_000
 #: Bytes of spans in a shard, about.
-SHARD_BYTES = 3_000_000
+SHARD_BYTES = 1_200_000
 _LAST_ID = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _VALUE = np.random.default_rng(5).integers(1, 1 << 63, 256).astype(np.uint64) | np.uint64(1)
