@@ -42,6 +42,8 @@ from roadsky.session import scratch_path
 WINDOW = 10
 #: Words of benchmark items that are held at once.
 BLOCK_WORDS = 1_000_000
+#: Characters of text that are searched at once.
+STEP_CHARS = 500_000
 _BASE = 0x9E3779B97F4A7C15
 _MIX = 0xD6E8FEB86659FD93
 #: Words that lead a window and decide which positions enter the suffix array.
@@ -275,7 +277,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, columns: list[str], n: int =
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
         for frame in frames:
-            for part in chunks(frame[own].tolist(), 2_000_000):
+            for part in chunks(frame[own].tolist(), STEP_CHARS):
                 piece = frame.iloc[part]
                 found = find_matches(piece[own].tolist(), paths, cache)
                 columns_found = dict(zip(names, map(list, zip(*found, strict=True)), strict=True))

@@ -136,15 +136,18 @@ def part_links(values: np.ndarray, codes: np.ndarray, part: int, masks: np.ndarr
         flips = masks[mask_codes == (code ^ part)]
         if len(flips):
             variants.append((values[mine][:, None] ^ flips[None, :]).ravel())
-            owners.append(np.repeat(mine, len(flips)))
+            owners.append(np.repeat(mine.astype(np.int32), len(flips)))
     none = np.zeros(0, np.uint64)
     if not variants:
         return none, none
     variant, owner = np.concatenate(variants), np.concatenate(owners)
+    variants.clear(), owners.clear()
     order = np.argsort(variant, kind="stable")
     variant, owner = variant[order], owner[order]
-    same = variant[1:] == variant[:-1]
-    a, b = owner[:-1][same], owner[1:][same]
+    del order
+    same = np.flatnonzero(variant[1:] == variant[:-1])
+    a, b = owner[same], owner[same + 1]
+    del variant, owner
     if not len(a):
         return none, none
     near = np.bitwise_count(values[a] ^ values[b]) <= 2 * int(np.bitwise_count(masks).max())

@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 
-from roadsky.llm import runlength
+from roadsky.llm import decontaminate, runlength
 from roadsky.llm.common import BATCH_BYTES, chunks, table
 
 
@@ -45,3 +45,16 @@ def test_spans_of_a_batch_take_a_bounded_step():
             runlength.spans_of(ids[part], ids[part], raws[part])
 
     assert _peak(run) < 160 << 20
+
+
+def test_benchmark_search_of_a_batch_takes_a_bounded_step(tmp_path):
+    texts = _texts(2_000_000)
+    path = str(tmp_path / "block.npz")
+    decontaminate.write_bytes(path, decontaminate.pack_block([(1, texts[0])], 10))
+
+    def run():
+        cache = {}
+        for part in chunks(texts, decontaminate.STEP_CHARS):
+            decontaminate.find_matches(texts[part], [path], cache)
+
+    assert _peak(run) < 40 << 20
