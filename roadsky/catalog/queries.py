@@ -562,7 +562,8 @@ SELECT "ID", "State", start_utc, {filled} AS condition FROM timed""",
         """
         raw = incidents(spark, sf_dir)
         source, target = scratch_path(spark, "raw-csv"), scratch_path(spark, "filled-incidents")
-        tables.write_csv(raw, source)
+        # text of this kind shrinks to a fraction; a file is still read by one task
+        tables.write_csv(raw, source, compression="gzip", rows_a_file=1_000_000)
         filled = studies.filled_incidents(tables.read_incident_csv(spark, source, raw.schema), method)
         slim = clean.renamed(filled, {"Weather_Conditions": "condition"}, drop=["Congestion_Speed", "EndTime"])
         tables.write_parquet(slim, target, sort_by=["State", "StartTime"])

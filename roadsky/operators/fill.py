@@ -18,12 +18,16 @@ looked up by its key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadsky.session import scratch_path
 
@@ -56,37 +60,85 @@ def fill_missing(
     # The bounds come from a sample and the rows are read twice below: written once, they stay as they are.
     path = scratch_path(df.sparkSession, "fill")
     dealt = dealt.withColumn(_RANGE, F.spark_partition_id())
-    dealt.write.parquet(path)
+    if method in ("backward", "forward_then_backward"):
+        # looking ahead is looking back over the reversed order
+        against = dealt.sortWithinPartitions(*group, *[F.desc(name) for name in order])
+        dealt = _locally(against, values, group, "_bwd_")
+    if method != "backward":
+        along = dealt.sortWithinPartitions(*group, *order)
+        dealt = _locally(along, values, group, "_first_" if method == "first_seen" else "_fwd_")
+    dealt.write.option("compression", "zstd").parquet(path)
     rows = df.sparkSession.read.schema(dealt.schema).parquet(path)
 
     carry = _carried(rows, values, group, order)
     same_part = reduce(and_, [F.col(name).eqNullSafe(F.col(f"_c_{name}")) for name in parts])
-    along, against = _windows(parts, order)
-    local = rows.withColumns(
-        {
-            key: value
-            for v in values
-            for key, value in (
-                (f"_fwd_{v}", F.last(v, ignorenulls=True).over(along)),
-                (f"_bwd_{v}", F.last(v, ignorenulls=True).over(against)),
-                (f"_first_{v}", F.first(v, ignorenulls=True).over(along)),
-            )
-        }
-    )
-    found = {
-        v: _pick(
-            method,
-            F.col(v),
-            F.coalesce(f"_fwd_{v}", f"_from_before_{v}"),
-            F.coalesce(f"_bwd_{v}", f"_from_behind_{v}"),
-            F.coalesce(f"_earliest_{v}", f"_first_{v}"),
-        ).alias(v)
-        for v in values
-    }
-    joined = local.join(F.broadcast(carry), same_part, "left")
+    found = {v: _pick(method, v).alias(v) for v in values}
+    joined = rows.join(F.broadcast(carry), same_part, "left")
     return joined.select(*[found.get(name, F.col(f"`{name}`")) for name in df.columns])
 
 
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before; nulls are equal, and so are NaNs."""
+    a, b = column.slice(1), column.slice(0, len(column) - 1)
+    if pa.types.is_nested(column.type):
+        return np.array([x != y for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], bool)
+    differ = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+    if pa.types.is_floating(column.type):
+        both = pc.and_(pc.fill_null(pc.is_nan(a), False), pc.fill_null(pc.is_nan(b), False))
+        differ = differ & ~both.to_numpy(zero_copy_only=False)
+    none = [pc.is_null(x).to_numpy(zero_copy_only=False) for x in (a, b)]
+    return differ | (none[0] != none[1])
+
+
+def _locally(ordered: DataFrame, values: Sequence[str], group: Sequence[str], prefix: str) -> DataFrame:
+    """``<prefix><value>`` of each row: the last value of its group so far in its range, or the first one for ``_first_``.
+
+    Rows come sorted, so a range needs no exchange of its own and only the last row's state is held.
+    """
+    own = ordered.schema
+    schema = T.StructType([*own.fields, *[T.StructField(f"{prefix}{v}", own[v].dataType) for v in values]])
+    names = ordered.columns
+    group_at, value_at = [names.index(g) for g in group], [names.index(v) for v in values]
+    first_only = prefix == "_first_"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, carried = None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            at = np.arange(n)
+            columns = [batch.column(i) for i in group_at]
+            new = np.zeros(n, bool)
+            for i, column in enumerate(columns):
+                if before is None:
+                    new[1:] |= _changes(column)
+                else:
+                    new |= _changes(pa.concat_arrays([before[i], column]))
+            if before is None:
+                new[0] = True
+            before = [column.slice(n - 1, 1) for column in columns]
+            begun = np.maximum.accumulate(np.where(new, at, -1))  # -1: the group goes on from the batch before
+            made = []
+            for k, i in enumerate(value_at):
+                column = batch.column(i)
+                held = pa.nulls(1, column.type) if carried is None else carried[k]
+                there = pc.is_valid(column).to_numpy(zero_copy_only=False)
+                # place 0 is what was held, a row's own value is one further on
+                if first_only:
+                    seen = np.maximum.accumulate(np.where(there, at, -1))
+                    earlier = np.append(-1, seen[:-1]) >= np.maximum(begun, 0)
+                    there &= ~earlier & ((begun >= 0) | (held.null_count == 1))
+                found = np.maximum.accumulate(np.where(there, at, -1))
+                known = found >= np.maximum(begun, 0)
+                place = pa.array(np.where(known, found + 1, 0), mask=~known & (begun >= 0))
+                made.append(pa.concat_arrays([held, column]).take(place))
+            carried = [column.slice(n - 1, 1) for column in made]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], schema.names)
+
+    return ordered.mapInArrow(run, schema)
+
+
 def _carried(rows: DataFrame, values: Sequence[str], group: Sequence[str], order: Sequence[str]) -> DataFrame:
     """What each range of a group gets from the ranges before and behind it.
 
@@ -111,22 +163,13 @@ def _carried(rows: DataFrame, values: Sequence[str], group: Sequence[str], order
     return carry.withColumnsRenamed({name: f"_c_{name}" for name in parts})
 
 
-def _pick(method: str, value: Column, forward: Column, backward: Column, first: Column) -> Column:
+def _pick(method: str, v: str) -> Column:
+    near, ahead, first = (f"`{name}_{v}`" for name in ("_fwd", "_bwd", "_first"))
+    before, behind, earliest = (f"`{name}_{v}`" for name in ("_from_before", "_from_behind", "_earliest"))
     if method == "forward":
-        return F.coalesce(value, forward)
+        return F.coalesce(near, before)
     if method == "backward":
-        return F.coalesce(value, backward)
+        return F.coalesce(ahead, behind)
     if method == "first_seen":
-        return F.coalesce(value, first)
-    return F.coalesce(value, forward, backward)
-
-
-def _windows(parts: Sequence[str], order: Sequence[str]) -> tuple:
-    """Growing frames along the order and against it.
-
-    Looking ahead is a growing frame over the reversed order: a frame from the
-    current row to the end would be rescanned for every row.
-    """
-    along = Window.partitionBy(*parts).orderBy(*order)
-    against = Window.partitionBy(*parts).orderBy(*[F.desc(name) for name in order])
-    return tuple(w.rowsBetween(Window.unboundedPreceding, 0) for w in (along, against))
+        return F.coalesce(f"`{v}`", earliest, first)
+    return F.coalesce(near, before, ahead, behind)

@@ -84,9 +84,10 @@ def append_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
-    """Replace a CSV folder."""
-    df.write.mode("overwrite").option("header", header).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, header: bool = True, compression: str = "none", rows_a_file: int = 0) -> None:
+    """Replace a CSV folder; ``rows_a_file`` bounds files that compression makes unsplittable."""
+    writer = df.write.mode("overwrite").option("header", header).option("escape", '"')
+    writer.option("compression", compression).option("maxRecordsPerFile", rows_a_file).csv(path)
 
 
 def write_csv_by(df: DataFrame, path: str, by: str, separator: str = ";") -> None:

@@ -115,6 +115,30 @@ def test_fills_match_brute_force(series, method, ranges):
     assert len(found) == len(rows) and dict(found) == brute_fill(rows, method)
 
 
+@pytest.mark.parametrize("method", fill.METHODS)
+def test_rows_of_a_fill_are_dealt_once(series, method):
+    """The ranges are filled where they were made: what is read back needs no exchange but that of the small carry."""
+    filled = fill.fill_missing(series[1], ["v"], ["g"], "t", ["id"], method)
+    plan = filled._jdf.queryExecution().optimizedPlan().toString()
+    around = [line for line in plan.splitlines() if "Window" in line]
+    assert around and all("_range" in line and "_head_" in line or "_tail_" in line or "_from_" in line for line in around)
+    assert not any("_row_hash" in line for line in around)
+
+
+def test_fills_over_many_batches(spark):
+    """Groups that go on over Arrow batches, and groups of NaN and null."""
+    rows = [(g, i, "a" if i % 7 == 3 else None) for g in (1.0, float("nan"), None) for i in range(40)]
+    df = spark.createDataFrame(rows, "g double, t int, v string")
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "6")
+    try:
+        for method, missing in (("forward", 9), ("first_seen", 9), ("backward", 3 * 1), ("forward_then_backward", 0)):
+            found = fill.fill_missing(df, ["v"], ["g"], "t", [], method, 1).collect()
+            assert len(found) == 120 and sum(r.v is None for r in found) == missing, method
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+
+
 def test_fill_knows_its_methods(series):
     with pytest.raises(ValueError, match="method"):
         fill.fill_missing(series[1], ["v"], ["g"], "t", ["id"], "sideways")
