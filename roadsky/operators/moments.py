@@ -7,7 +7,9 @@ its own rows and hands on one table; Spark sums the tables.
 Sums are exact. Every number is cut at fixed places (multiples of 2^20) into
 pieces of 20 bits. Products of pieces are whole numbers below 2^40, so a
 matrix product over 8,192 rows loses nothing in doubles, in whatever order it
-adds. Pieces of one weight are added as whole numbers (``Limbs``). What comes
+adds. Only columns that have a piece of a weight enter its products: whole
+numbers below 2^20 have one. Pieces of one weight are added as whole numbers
+(``Limbs``). What comes
 out does not depend on the number of partitions, their order, or the blocks,
 down to the last bit, and sums about the mean are formed without losing digits,
 however far the mean lies: there is no second pass.
@@ -127,11 +129,14 @@ class Limbs:
         return out
 
 
-def cut(block: np.ndarray) -> tuple[int, list[np.ndarray]]:
-    """(weight of the first, pieces): whole numbers below 2^20 of falling weights 2^(20 s) that add up to ``block``."""
+def cut(block: np.ndarray) -> tuple[int, list[tuple[np.ndarray, np.ndarray]], int]:
+    """(weight of the first, pieces, columns): whole numbers below 2^20 of falling weights 2^(20 s) that add up to ``block``.
+
+    A piece holds only the columns (rows of ``block``) in which it is not zero: their places, and their numbers.
+    """
     most = float(np.abs(block).max(initial=0.0))
     weight = -(-int(np.frexp(most)[1]) // PIECE) - 1
-    rest, found, first = block.copy(), [], weight
+    at, rest, found, first = np.arange(len(block)), block.copy(), [], weight
     while True:
         # powers of two: nothing is rounded; beyond 2^±1000 ldexp keeps them in range
         if abs(weight) < 50:
@@ -140,21 +145,24 @@ def cut(block: np.ndarray) -> tuple[int, list[np.ndarray]]:
         else:
             piece = np.trunc(np.ldexp(rest, -PIECE * weight))
             rest -= np.ldexp(piece, PIECE * weight)
-        found.append(piece)
-        if not rest.any():
-            return first, found
+        there, left = piece.any(1), rest.any(1)
+        found.append((at[there], piece[there]))
+        if not left.any():
+            return first, found, len(block)
+        at, rest = at[left], rest[left]
         weight -= 1
 
 
-def products(first: int, pieces: Sequence[np.ndarray]) -> Limbs:
+def products(first: int, pieces: Sequence[tuple[np.ndarray, np.ndarray]], size: int) -> Limbs:
     """Exact sums of z z', upper triangle, of at most ``ROWS`` columns of z given in pieces."""
-    size, count = len(pieces[0]), len(pieces)
-    stack = np.concatenate(pieces)
-    both = (stack @ stack.T).astype(np.int64).reshape(count, size, count, size)
+    count = len(pieces)
+    ends = np.cumsum([0, *(len(at) for at, _ in pieces)])
+    stack = np.concatenate([piece for _, piece in pieces])
+    both = (stack @ stack.T).astype(np.int64)
     levels = np.zeros((2 * count - 1, size, size), np.int64)
-    for a in range(count):
-        for b in range(count):
-            levels[2 * (count - 1) - a - b] += both[a, :, b]
+    for a, (down, _) in enumerate(pieces):
+        for b, (across, _) in enumerate(pieces):
+            levels[2 * (count - 1) - a - b][np.ix_(down, across)] += both[ends[a] : ends[a + 1], ends[b] : ends[b + 1]]
     upper = np.triu_indices(size)
     return Limbs(2 * (first - count + 1), levels[:, upper[0], upper[1]]).carried()
 
@@ -228,23 +236,24 @@ def partial_tables(frame: DataFrame, columns: Sequence[str], pairs: Sequence[tup
 
         for block in read_blocks(batches):
             missing = np.isnan(block)
+            if missing.any():
+                packed = np.ascontiguousarray(np.packbits(missing, axis=0).T)
+                keys, group = np.unique(packed.view(f"V{packed.shape[1]}").ravel(), return_inverse=True)
+                # rows that lack the same columns stand together
+                block = block[:, np.argsort(group, kind="stable")]
+                ends = np.cumsum([0, *np.bincount(group, minlength=len(keys))])
+                groups = [(key.tobytes(), slice(*own)) for key, own in zip(keys, zip(ends, ends[1:]), strict=True)]
+            else:
+                groups = [(bytes(-(-len(block) // 8)), slice(None))]
             with np.errstate(over="ignore"):
                 basis = extend(block, pairs)
             infinite = np.isinf(basis)
             z = np.ones((len(basis) + 1, basis.shape[1]))
             z[1:] = np.where(np.isfinite(basis), basis, 0.0)
-            first, pieces = cut(z)
-            if missing.any():
-                packed = np.ascontiguousarray(np.packbits(missing, axis=0).T)
-                keys, group = np.unique(packed.view(f"V{packed.shape[1]}").ravel(), return_inverse=True)
-                order = np.argsort(group, kind="stable")
-                ends = np.cumsum(np.bincount(group, minlength=len(keys)))
-                groups = [(key.tobytes(), own) for key, own in zip(keys, np.split(order, ends[:-1]), strict=True)]
-            else:
-                groups = [(bytes(-(-len(block) // 8)), None)]
+            first, pieces, size = cut(z)
             for mask, rows in groups:
-                found = products(first, pieces if rows is None else [piece[:, rows] for piece in pieces])
-                overflowed = (infinite if rows is None else infinite[:, rows]).any(1)
+                found = products(first, [(at, piece[:, rows]) for at, piece in pieces], size)
+                overflowed = infinite[:, rows].any(1)
                 if mask in sums:
                     sums[mask], bad[mask] = sums[mask].plus(found), bad[mask] | overflowed
                 else:

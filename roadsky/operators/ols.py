@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from roadsky.functions import tails, text
 from roadsky.operators import moments as M
 from roadsky.schemas import MODEL_RESULT
+from roadsky.session import compiled_projections
 
 # Relative size below which a direction of the scaled design counts as absent,
 # and spread relative to the mean below which a column counts as constant.
@@ -127,6 +128,7 @@ def prepare(
     ``missing="global"`` drops a row that lacks any model column;
     ``"per_model"`` drops it only for the models that use the column.
     """
+    compiled_projections(df.sparkSession)
     predictors, targets = list(predictors), list(targets)
     for name in targets:
         if isinstance(df.schema[name].dataType, T.StringType):

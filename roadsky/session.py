@@ -29,6 +29,22 @@ def local_session(app_name: str = "roadsky", cores: str = "*", **conf: str) -> S
     return spark
 
 
+#: Bytes of a generated method that the JVM still compiles; it interprets longer ones.
+COMPILED_BYTES = 8000
+_METHOD = "spark.sql.codegen.hugeMethodLimit"
+
+
+def compiled_projections(spark: SparkSession) -> None:
+    """Plans whose fused code would be too long a method to be compiled run by operator, whose code Spark splits.
+
+    The projection of 50 to 100 model columns is such a method, and interpreted
+    it is many times slower. A setting of the session; a smaller one is left as
+    it is. Results do not depend on it.
+    """
+    if int(spark.conf.get(_METHOD)) > COMPILED_BYTES:
+        spark.conf.set(_METHOD, str(COMPILED_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, taken from ``spark.checkpoint.dir``.
 

@@ -171,3 +171,27 @@ def test_no_rows(spark):
     plan = plan_models(spark, ["y"], ["a"], 1)
     assert residuals.residual_summary(sweep, plan).count() == 0
     assert robust.run_robust_sweep(sweep, plan).first().status == "INSUFFICIENT"
+
+
+def test_whole_numbers_have_one_piece():
+    whole = np.arange(-50.0, 50.0).reshape(4, 25)
+    z = np.vstack([np.ones(25), whole, numbers(4, 25, 1)])
+    first, pieces, size = M.cut(z)
+    held = np.zeros_like(z)
+    for down, (at, piece) in enumerate(pieces):
+        held[at] += np.ldexp(piece, M.PIECE * (first - down))
+    assert size == len(z) and np.array_equal(held, z)
+    assert len(pieces) > 1 and sum(len(at) for at, _ in pieces) <= len(z) - 1 + len(pieces)
+
+
+def test_wide_projections_are_no_method_that_the_jvm_only_interprets(spark):
+    name = "spark.sql.codegen.hugeMethodLimit"
+    df = frame_of(spark, [[1.0, 2.0]], ["x", "y"])
+    held = spark.conf.get(name)
+    try:
+        for before, after in (("65535", "8000"), ("4000", "4000")):
+            spark.conf.set(name, before)
+            ols.prepare(df, ["x"], ["y"], log_label=False)
+            assert spark.conf.get(name) == after
+    finally:
+        spark.conf.set(name, held)
