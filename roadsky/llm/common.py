@@ -9,27 +9,14 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadsky.session import scratch_path
+from roadsky.session import BATCH_BYTES, bounded_batches, scratch_path  # noqa: F401
 
 #: Characters of text that one vectorised step handles at once: arrays of a word a character, several at a time.
 CHUNK_CHARS = 1_000_000
-#: Bytes of rows that go to Python at once, about: each batch is held by Spark, by Arrow and as objects of Python.
-BATCH_BYTES = 8 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Rows of one equal key are dealt out to this many tasks at most.
 SALTS = 64
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Batches for Python by their bytes as well: ten thousand rows of text are far more than ten thousand numbers.
-
-    A setting of the session; a smaller one is left as it is. Results do not depend on it.
-    """
-    held = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH)))
-    if not 0 < held <= BATCH_BYTES:
-        spark.conf.set(_BATCH, str(BATCH_BYTES))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,7 +2,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from roadsky.operators import clean, dictionary, fill, impact, profile, sample
@@ -333,6 +336,35 @@ def test_a_dictionary_too_large_to_ship_is_refused(spark, monkeypatch):
         dictionary.entries_of(table, ["good"])
 
 
+@pytest.mark.parametrize("same", [False, True])
+def test_best_places_down_the_tree(monkeypatch, same):
+    monkeypatch.setattr(dictionary, "POSITIONS", 7)
+    if same:  # mixes that are equal, until they get a salt
+        mix = dictionary.Steps.mix
+        monkeypatch.setattr(dictionary.Steps, "mix", lambda self, nodes, words: mix(self, nodes, words) if self.salt else words & np.uint64(1))
+    r = random.Random(9)
+    base = ["".join(r.choice("ab\0é€") for _ in range(r.randint(1, 40))) for _ in range(60)]
+    entries = list(dict.fromkeys(base + [x[: r.randint(1, len(x))] + y[: r.randint(0, 9)] for x in base for y in base[:6]]))
+    entries = [x for x in entries if len(x) > 2]
+    places = [r.choice([0, 1, 1, 2, 2, 2]) for _ in entries]
+    texts = [None, "", *base, *(x[1:] for x in base), *(x[:-1] for x in base), *(x[r.randint(0, 9) :] + y for x in base for y in base[:4])]
+    expected = [min((p for e, p in zip(entries, places) if t and e in t), default=dictionary.NONE) for t in texts]
+    assert len(set(expected)) == 4
+    tree = dictionary.Tree(pa.array(entries), np.array(places))
+    assert tree.best_places(pa.array(["bbb", *texts])[1:]).tolist() == expected
+
+
+def test_a_dictionary_is_small_in_a_worker_and_not_in_the_job(spark):
+    entries = [f"{i * 7919 % 100_000:05d}entry{i}" for i in range(100_000)]
+    tree = dictionary.Tree(pa.array(entries), np.zeros(len(entries), int))
+    arrays = [x for last, on in tree.levels for steps in [*last.values(), on] if steps for x in vars(steps).values() if isinstance(x, np.ndarray)]
+    assert sum(x.nbytes for x in arrays) + sum(marks.there.nbytes for marks in tree.marks.values()) < 80 * len(entries)
+    table = spark.range(20_000).select(F.md5(F.col("id").cast("string")).alias("entry"), F.lit("good").alias("rating"))
+    assert len(cloudpickle.dumps(dictionary.entries_of(table, ["good"]))) < 1000
+    rated = dictionary.rating_from_entries(table.select("entry"), "entry", table, ["good"], "rating")
+    assert rated.filter("rating = 'good'").count() == 20_000
+
+
 # ---- frequent values -----------------------------------------------------------
 
 
