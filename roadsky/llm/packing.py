@@ -1,10 +1,10 @@
 """Packing documents into sequences: linear grouping for the long pieces, best fit for the short ones.
 
-Tokens. Each task splits its texts at ASCII blanks, has every different
-stretch encoded once by the public tokenizer, and puts the ids together; the
-tokenizer drops blanks and never looks across them. A document's ids and the
-end mark are cut every ``LENGTH`` tokens; pieces are rows of a few numbers
-from here on.
+Tokens. Each task cuts its texts into the public tokenizer's units, many texts
+at once, has every different unit encoded once by the tokenizer, and puts the
+ids together; the tokenizer drops blanks and never looks across them. A
+document's ids and the end mark are cut every ``LENGTH`` tokens; pieces are
+rows of a few numbers from here on.
 
 Plan. There are at most ``LENGTH`` different lengths, so a histogram of them
 is bounded by that at any size of the corpus, and the plan is made from
@@ -69,13 +69,22 @@ MOST_COLUMNS = 4000
 GAP = 1e-5
 #: Bytes of text that are encoded at once; a longer text is one step.
 STEP_BYTES = 4_000_000
-#: Different stretches that a task remembers, about.
+#: Different units that a task remembers, about.
 REMEMBERED = 400_000
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, number long"
 
 
-#: What the tokenizer's pre-tokenizer cuts lower-cased ASCII into (fixed by the vocabulary file; tested against it).
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|\n|[^a-z0-9\n]+")
+#: Kinds of bytes: blanks, letters, digits, other printable ASCII, and those that only the whole tokenizer reads.
+_BLANK, _LETTER, _DIGIT, _OTHER, _ALIEN = range(5)
+_KIND, _LOWER = np.full(256, _ALIEN, np.uint8), np.arange(256, dtype=np.uint8)
+_KIND[33:127], _KIND[[*range(9, 14), 32]], _KIND[48:58] = _OTHER, _BLANK, _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_LOWER[65:91] += 32
+#: Bytes as the characters that the tokenizer's model knows them by, in UTF-16: Latin-1's, but for those that do not print.
+_BYTE_LEVEL = np.arange(256, dtype="<u2")
+_BYTE_LEVEL[[*range(0x7F, 0xA1), 0xAD]] = 256 + 33 + np.arange(35)
+#: Stands behind each text; cut out as a unit, it is the end mark.
+_END = "\n"
 
 
 def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,12 +92,64 @@ def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
 
 
+def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """What the tokenizer's pre-tokenizer cuts ``texts`` into, lower-cased; which are end marks; which are left whole.
+
+    The rules are fixed by the vocabulary file and tested against it: runs of
+    letters, runs of other characters, single digits, and ``'s 't 're 've 'm
+    'll 'd`` where a run of others would start. Printable ASCII and Latin-1
+    letters, which normalization leaves as they are but for their case, are cut
+    here, on bytes. A stretch between blanks that holds anything else, or may
+    hold a special token, is one unit, left whole.
+    """
+    ended = pa.concat_arrays([pc.fill_null(texts.cast(pa.large_string()), ""), pa.array([""], pa.large_string())])
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, len(ended)], ended), pa.scalar(_END, pa.large_string()))
+    raw = np.frombuffer(joined.buffers()[2], np.uint8)[: int(pc.binary_length(joined)[0].as_py())]
+    ends = np.cumsum(pc.binary_length(ended).to_numpy()[:-1] + 1) - 1
+    kind, low = _KIND[raw], _LOWER[raw]
+    lead = np.flatnonzero(raw == 0xC3)
+    lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]  # no signs of multiplication and division
+    kind[lead] = kind[lead + 1] = _LETTER
+    low[lead + 1] |= 0x20 * (raw[lead + 1] < 0x9F).astype(np.uint8)
+    blank = kind == _BLANK
+    starts = kind == _DIGIT
+    starts[:1] = True
+    starts[1:] |= kind[1:] != kind[:-1]
+    starts &= ~blank
+
+    mark = np.flatnonzero(low == ord("'"))
+    mark = mark[starts[mark]]
+    one, two = low[mark + 1], low[np.minimum(mark + 2, len(low) - 1)]
+    suffix = np.isin(one, [*b"stmd"]) + 2 * (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
+    mark, suffix = mark[suffix > 0], suffix[suffix > 0]
+    starts[mark + 1] = False
+    behind = mark + suffix + 1
+    starts[behind[kind[behind] == _LETTER]] = True
+
+    strange = np.flatnonzero(kind == _ALIEN)
+    special = np.flatnonzero(raw == ord("<"))
+    strange = np.append(strange, special[raw[special + 1] == ord("|")])
+    blanks = np.flatnonzero(blank)
+    after = np.unique(np.searchsorted(blanks, strange))
+    whole = np.where(after > 0, blanks[after - 1] + 1, 0)
+    own = ranges(whole, blanks[after] - whole)
+    low[own], starts[own] = raw[own], False
+    starts[whole] = True
+
+    inside = ~blank
+    inside[ends] = starts[ends] = True
+    stops = inside.copy()
+    stops[:-1] &= starts[1:] | ~inside[1:]
+    first = np.flatnonzero(starts)
+    sizes = np.flatnonzero(stops) + 1 - first
+    held = [None, pa.py_buffer(bounds(sizes)), pa.py_buffer(low[inside])]
+    return pa.Array.from_buffers(pa.large_string(), len(first), held), np.searchsorted(first, ends), np.searchsorted(first, whole)
+
+
 class Encoder:
-    """Ids of many texts at once: every different stretch between ASCII blanks is encoded once, and remembered.
+    """Ids of many texts at once: every different unit is encoded once by the tokenizer's model, and remembered.
 
-    Stretches of printable ASCII are cut into the tokenizer's units here, and
-    units go to its model; all others, and those that may hold a special
-    token, go through the whole tokenizer.
+    Units that ``units`` left whole go through the whole tokenizer.
     """
 
     def __init__(self, data: str, end_id: int = END_ID):
@@ -97,34 +158,22 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """Back to the end mark alone, which is entry 0; unit 0 stands between stretches and has no ids."""
-        self.index: dict[str, int] = {}
+        """Back to the end mark alone, which is entry 0."""
+        self.index: dict[str, int] = {_END: 0}
         self.flat, self.sizes = np.array([self.end_id], np.uint32), np.array([1])
-        self.units = {"\n": 0}
-        self.unit_flat, self.unit_sizes = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def learn(self, stretches: list[str]) -> None:
-        plain = [s for s in stretches if s.isascii() and s.isprintable() and "<|" not in s]
-        if plain:
-            units = _PARTS.findall("\n".join(plain).lower())
-            new = [u for u in dict.fromkeys(units) if u not in self.units]
-            self.units.update(zip(new, range(len(self.units), len(self.units) + len(new)), strict=True))
-            tokenize = self.tokenizer.model.tokenize
-            ids, sizes = flattened([[token.id for token in tokenize(u)] for u in new])
-            self.unit_flat, self.unit_sizes = np.append(self.unit_flat, ids), np.append(self.unit_sizes, sizes)
-            codes = np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
-            counts = self.unit_sizes[codes]
-            between = np.flatnonzero(codes == 0)
-            self.add(plain, self.unit_flat[ranges(bounds(self.unit_sizes)[codes], counts)], np.diff(bounds(counts)[[0, *between, len(codes)]]))
-        others = [s for s in stretches if not (s.isascii() and s.isprintable() and "<|" not in s)]
-        for start in range(0, len(others), 2000):
-            some = others[start : start + 2000]
+
+    def learn(self, plain: list[str], whole: list[str]) -> None:
+        tokenize = self.tokenizer.model.tokenize
+        as_bytes = _BYTE_LEVEL[np.frombuffer(" ".join(plain).encode(), np.uint8)].tobytes().decode("utf-16-le").split(" ")
+        self.add(plain, *flattened([[token.id for token in tokenize(u)] for u in as_bytes if u]))
+        for start in range(0, len(whole), 2000):
+            some = whole[start : start + 2000]
             found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
             self.add(some, *flattened([encoding.ids for encoding in found]))
 
-    def add(self, stretches: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def add(self, new: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         at = len(self.sizes)
-        self.index.update(zip(stretches, range(at, at + len(stretches)), strict=True))
+        self.index.update(zip(new, range(at, at + len(new)), strict=True))
         self.flat, self.sizes = np.append(self.flat, ids), np.append(self.sizes, sizes)
 
     @contextmanager
@@ -142,20 +191,19 @@ class Encoder:
         """All ids, each text's followed by the end mark, and where each text's ids start."""
         if len(self.index) > REMEMBERED:
             self.forget()
-        listed = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-        coded = listed.flatten().dictionary_encode()
-        stretches = coded.dictionary.to_pylist()
+        found, ends, whole = units(texts)
+        coded = found.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        different = coded.dictionary.to_numpy(zero_copy_only=False)
+        as_is = np.zeros(len(different), bool)
+        as_is[codes[whole]] = True
         with self.without_collector():
-            self.learn([s for s in stretches if s not in self.index])
-        entry = np.fromiter(map(self.index.__getitem__, stretches), np.int64, len(stretches))
-        used = entry[coded.indices.to_numpy(zero_copy_only=False)]
-        # the end mark of each text stands behind its own stretches
-        offsets = listed.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-        offsets = offsets - offsets[0]
-        used = np.insert(used, offsets[1:], 0)
-        counts = self.sizes[used]
-        ids = self.flat[ranges(bounds(self.sizes)[used], counts)]
-        return ids, bounds(counts)[offsets + np.arange(len(offsets))]
+            self.learn(*([u for u in own.tolist() if u not in self.index] for own in (different[~as_is], different[as_is])))
+        entry = np.fromiter(map(self.index.__getitem__, different.tolist()), np.int64, len(different))
+        sizes, starts = self.sizes[entry], bounds(self.sizes)[entry]
+        counts = sizes[codes]
+        at = bounds(counts)
+        return self.flat[ranges(starts[codes], counts)], at[np.append(0, ends + 1)]
 
 
 def steps_of(sizes: np.ndarray, limit: int) -> Iterator[slice]:

@@ -33,6 +33,42 @@ def test_ids_are_those_of_the_library(library):
         assert ids[at[i] : at[i + 1]].tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 0]
 
 
+def test_ids_around_every_kind_of_character(library):
+    with open(P.TOKENIZER, encoding="utf-8") as source:
+        encoder = P.Encoder(source.read())
+    points = [*range(1, 0x600), *range(0x1E00, 0x2200), 0x3042, 0x65E5, 0xAC00, 0xFB01, 0xFF21, 0x1F600]
+    rows = [f"aB{chr(c)}c's {chr(c)}' '{chr(c)} {chr(c)}é É{chr(c)}" for c in points]
+    r = random.Random(7)
+    pool = ["a", "S", "t", "re", "LL", "d", "'", "'", "0", "9", ".", "<", "|", "<|", " ", " ", "\n", "\x1c", "\x7f", "é", "É", "ß", "Þ", "×", "÷", "\u0301", "\u00a0", "ſ", "İ", "日", "<|endoftext|>"]
+    rows += [None if r.random() < 0.02 else "".join(r.choices(pool, k=r.randint(0, 20))) for _ in range(4000)]
+    for start in range(0, len(rows), 999):
+        some = rows[start : start + 999]
+        # a slice of a longer array, as steps are
+        ids, at = encoder.encode(pa.array(["x", *some, "y"]).slice(1, len(some)))
+        for i, text in enumerate(some):
+            assert ids[at[i] : at[i + 1]].tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 0]
+
+
+def test_a_word_is_encoded_once_whatever_stands_around_it():
+    with open(P.TOKENIZER, encoding="utf-8") as source:
+        encoder = P.Encoder(source.read())
+    words = ["hello", "été", "straße", "world", "don't"]
+    marks = ["", ",", ".", "!", "?", ";", ":", ")", "\"", "..."]
+    rows = [f"({w}{m} {w.capitalize()}{m}{n}" for w in words for m in marks for n in range(100)]
+
+    class Model:
+        """The tokenizer's model alone."""
+
+        def __init__(self, model):
+            self.model = model
+
+    encoder.tokenizer = Model(encoder.tokenizer.model)
+    ids, at = encoder.encode(pa.array(rows))
+    assert len(at) == len(rows) + 1 and at[-1] == len(ids)
+    # five words ("don't" is two units), marks alone or joined, ten digits, the end mark
+    assert len(encoder.index) <= 6 + len(marks) + 10 + 1
+
+
 def check(rows, found, library, length):
     """Pieces cut from whole documents, each in one place, sequences without gaps."""
     expected = {}
